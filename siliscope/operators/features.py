@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from siliscope.functions.columns import bin_index, ratio
 from siliscope.operators import components as cmp
-from siliscope.operators.geometry import Geometry, by_wafer, chips, with_chip_polar, with_polar
+from siliscope.operators.geometry import Geometry, with_chip_polar, with_polar
+from siliscope.sources.staging import stage_by
 
 
 def _valid() -> Column:
@@ -75,14 +76,6 @@ def edge_center_density(polar: DataFrame) -> DataFrame:
     return polar.withColumn("zone5", bin_index(F.col("radius"), 5)).groupBy("sample_id").agg(*_edge_aggs())
 
 
-def pixel_families(polar: DataFrame) -> DataFrame:
-    """Densities, radial zones, angular sectors and edge rates in one pass over the pixels."""
-    return (polar.withColumns({"zone5": bin_index(F.col("radius"), 5), "sector": bin_index(F.col("theta"), 12)})
-            .groupBy("sample_id")
-            .agg(*_global_aggs(), *_bin_aggs("zone5", _zone_names(5)), *_bin_aggs("sector", _sector_names(12)),
-                 *_edge_aggs()))
-
-
 def edge_chip_faces(polar: DataFrame, geo: Geometry, face_of: str = "valid") -> DataFrame:
     """Pixels of edge chips with their position between the chip's inner and outer face, 0 to 1.
 
@@ -109,11 +102,16 @@ def edge_chip_faces(polar: DataFrame, geo: Geometry, face_of: str = "valid") ->
     )
 
 
-def edge_face_density(polar: DataFrame, geo: Geometry, face_of: str = "valid") -> DataFrame:
+def edge_face_rates(polar: DataFrame, geo: Geometry, face_of: str = "valid") -> DataFrame:
+    """Fail-rate difference of the outer and inner faces; wafers without an edge chip have no row."""
     inner, outer = F.col("face") < 0.34, F.col("face") > 0.66
-    faces = edge_chip_faces(polar, geo, face_of).groupBy("sample_id").agg(
+    return edge_chip_faces(polar, geo, face_of).groupBy("sample_id").agg(
         (ratio(F.count_if(outer & _fails()), F.count_if(outer))
          - ratio(F.count_if(inner & _fails()), F.count_if(inner))).alias("edge_chip_outer_minus_inner_density"))
+
+
+def edge_face_density(polar: DataFrame, geo: Geometry, face_of: str = "valid") -> DataFrame:
+    faces = edge_face_rates(polar, geo, face_of)
     return (polar.select("sample_id").distinct().join(faces, "sample_id", "left")
             .fillna(0.0, ["edge_chip_outer_minus_inner_density"]))
 
@@ -135,18 +133,19 @@ def array_median(values: Column) -> Column:
     return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0
 
 
+def _peaks(prefix: str) -> dict[str, Column]:
+    """Height of a profile's peak over its median, and the share of bins at least half as high."""
+    base = array_median(F.col("profile"))
+    contrast = F.array_max("profile") - base
+    wide = F.size(F.filter("profile", lambda v: v >= base + 0.5 * contrast)) / F.size("profile").cast("double")
+    return {f"{prefix}_peak_contrast": contrast,
+            f"{prefix}_peak_width_ratio": F.when(contrast <= 1e-6, F.lit(0.0)).otherwise(wide)}
+
+
 def profile_peaks(polar: DataFrame) -> DataFrame:
     """Ring-like radial peaks and scratch-like angular peaks of 24-bin profiles."""
-
     def peaks(position: str, prefix: str) -> DataFrame:
-        p = bin_profile(polar, position, 24).withColumn("base", array_median(F.col("profile")))
-        p = p.withColumn("contrast", F.array_max("profile") - F.col("base"))
-        level = F.col("base") + 0.5 * F.col("contrast")
-        wide = F.size(F.filter("profile", lambda v: v >= level)) / F.lit(24.0)
-        return p.select("sample_id", F.col("contrast").alias(f"{prefix}_peak_contrast"),
-                        F.when(F.col("contrast") <= 1e-6, F.lit(0.0)).otherwise(wide)
-                        .alias(f"{prefix}_peak_width_ratio"))
-
+        return bin_profile(polar, position, 24).withColumns(_peaks(prefix)).drop("profile")
     return peaks("radius", "ring_radial").join(peaks("theta", "scratch_angular"), "sample_id")
 
 
@@ -166,15 +165,14 @@ def polar_features(chip_rows: DataFrame, radial: int = 3, angular: int = 12) ->
         F.map_from_entries(F.collect_list(F.struct(
             (F.col("r") * angular + F.col("a")).cast("int"),
             F.struct("severity", "fail_density", "stby")))).alias("m"))
-    out = [F.col("sample_id")]
+    out = ["sample_id"]
     for r in range(radial):
         for a in range(angular):
-            cell = F.element_at(F.col("m"), F.lit(r * angular + a))
-            name = f"polar_r{r:02d}_a{a:02d}"
-            out += [F.coalesce(cell["severity"], F.lit(0.0)).alias(f"{name}_severity"),
-                    F.coalesce(cell["fail_density"], F.lit(0.0)).alias(f"{name}_fail_density"),
-                    F.coalesce(cell["stby"], F.lit(0.0)).alias(f"stby_{name}_ratio")]
-    return cells.select(*out)
+            cell, name = f"element_at(m, {r * angular + a})", f"polar_r{r:02d}_a{a:02d}"
+            out += [f"coalesce({cell}.severity, 0.0D) AS {name}_severity",
+                    f"coalesce({cell}.fail_density, 0.0D) AS {name}_fail_density",
+                    f"coalesce({cell}.stby, 0.0D) AS stby_{name}_ratio"]
+    return cells.selectExpr(*out)
 
 
 def _tested(chip_rows: DataFrame) -> DataFrame:
@@ -332,24 +330,107 @@ def class_labels(pixels: DataFrame, classes: tuple[str, ...]) -> DataFrame:
     return pixels.groupBy("sample_id").agg(*[F.max((F.col(c) > 0).cast("int")).alias(f"label_{c}") for c in classes])
 
 
+# one pass over the pixels: every pixel counts once in each of these groupings of its wafer
+PROFILE_COUNTS = ("n_px", "n_wafer", "n_valid", "n_stby", "n_fail", "sev_sum")
+
+
+def wafer_profile(polar: DataFrame, geo: Geometry) -> DataFrame:
+    """Counts per chip, radial zone, angular sector and fine profile bin, from one pass and one shuffle.
+
+    A wafer shrinks from its millions of pixels to some hundred rows before it moves. Staged by wafer, what follows
+    groups and joins by wafer without another shuffle.
+    """
+    def key(family: str, a: Column, b: Column) -> Column:
+        return F.struct(F.lit(family).alias("family"), a.alias("a"), b.alias("b"))
+
+    none = F.lit(0)
+    keys = F.array(key("chip", F.col("chip_row"), F.col("chip_col")),
+                   key("zone", bin_index(F.col("radius"), 5), none),
+                   key("sector", bin_index(F.col("theta"), 12), none),
+                   key("radius", bin_index(F.col("radius"), 24), none),
+                   key("theta", bin_index(F.col("theta"), 24), none))
+    valid, wafer = _valid(), F.col("in_wafer") == 1
+    size = {"height": F.col("height"), "width": F.col("width"), "chip_h": geo.col("chip_h"),
+            "chip_w": geo.col("chip_w"), "grid_rows": geo.col("rows"), "grid_cols": geo.col("cols")}
+    counted = (
+        polar.select("sample_id", *[c.alias(n) for n, c in size.items()], "valid", "in_wafer", "stby", "severity",
+                     F.explode(keys).alias("k"))
+        .groupBy("sample_id", *size, "k.family", "k.a", "k.b")
+        .agg(F.count(F.lit(1)).alias("n_px"), F.count_if(wafer).alias("n_wafer"), F.count_if(valid).alias("n_valid"),
+             F.count_if(wafer & (F.col("stby") == 1)).alias("n_stby"), F.count_if(_fails()).alias("n_fail"),
+             F.sum(F.when(valid, F.col("severity")).otherwise(0)).alias("sev_sum")))
+    return counted
+
+
+def profile_chips(profile: DataFrame) -> DataFrame:
+    """The chip table of a wafer profile, with the columns of ``geometry.chips``."""
+    return profile.filter(F.col("family") == "chip").select(
+        "sample_id", F.col("a").alias("chip_row"), F.col("b").alias("chip_col"),
+        (F.col("chip_w") * (2 * F.col("b") + 1) - (F.col("width") - 1)).cast("int").alias("dx2"),
+        (F.col("chip_h") * (2 * F.col("a") + 1) - (F.col("height") - 1)).cast("int").alias("dy2"),
+        "grid_rows", "grid_cols", *PROFILE_COUNTS,
+        F.when(F.col("n_valid") > 0, F.col("sev_sum") / (F.lit(7.0) * F.col("n_valid"))).otherwise(F.lit(0.0))
+        .alias("value"),
+    ).withColumn("d2", (F.col("dx2") * F.col("dx2") + F.col("dy2") * F.col("dy2")).cast("int"))
+
+
+def profile_families(profile: DataFrame) -> DataFrame:
+    """Densities, zones, sectors, edge rates and profile peaks of a wafer profile, one aggregate."""
+    def total(name: str, family: str, a: int | None = None) -> Column:
+        hit = F.col("family") == family
+        return F.sum(F.when(hit if a is None else hit & (F.col("a") == a), F.col(name)).otherwise(0))
+
+    def grade_mean(family: str, a: int | None = None) -> Column:
+        return total("sev_sum", family, a).cast("double") / (
+            F.greatest(total("n_valid", family, a), F.lit(1)) * F.lit(7.0))
+
+    def rate(zone: int) -> Column:
+        return ratio(total("n_fail", "zone", zone), total("n_valid", "zone", zone))
+
+    def means(family: str) -> Column:
+        entry = F.struct("a", (F.col("sev_sum").cast("double") / (F.lit(7.0) * F.col("n_valid"))).alias("m"))
+        return F.map_from_entries(F.collect_list(F.when((F.col("family") == family) & (F.col("n_valid") > 0), entry)))
+
+    wide = profile.groupBy("sample_id").agg(
+        ratio(total("n_fail", "chip"), total("n_valid", "chip")).alias("total_fail_density"),
+        grade_mean("chip").alias("grade_weighted_severity"),
+        ratio(total("n_stby", "chip"), total("n_wafer", "chip")).alias("stby_ratio"),
+        *[grade_mean("zone", i).alias(n) for i, n in enumerate(_zone_names(5))],
+        *[grade_mean("sector", i).alias(n) for i, n in enumerate(_sector_names(12))],
+        rate(4).alias("edge_density"), rate(0).alias("center_density"),
+        (rate(4) - rate(0)).alias("edge_minus_center_density"),
+        means("radius").alias("m_radius"), means("theta").alias("m_theta"))
+    for family, prefix in (("radius", "ring_radial"), ("theta", "scratch_angular")):
+        found = F.col(f"m_{family}")
+        filled = F.transform(F.sequence(F.lit(0), F.lit(23)), _value_or_zero(found))
+        wide = wide.withColumn("profile", filled).withColumns(_peaks(prefix)).drop("profile", f"m_{family}")
+    return wide
+
+
+def _value_or_zero(found: Column):
+    return lambda i: F.coalesce(F.element_at(found, i), F.lit(0.0))
+
+
 def compact_features(pixels: DataFrame, geo: Geometry) -> DataFrame:
     """The fifty compact features, one row per wafer."""
     return _assemble(pixels, geo, location_aware=False)
 
 
 def all_features(pixels: DataFrame, geo: Geometry) -> DataFrame:
+    """Compact and location-aware features, one row per wafer."""
     return _assemble(pixels, geo, location_aware=True)
 
 
 def _assemble(pixels: DataFrame, geo: Geometry, location_aware: bool) -> DataFrame:
     polar = with_polar(pixels)
-    chip_rows = by_wafer(chips(pixels, geo))
-    families = [pixel_families(polar), edge_face_density(polar, geo)]
+    profile = stage_by(wafer_profile(polar, geo), "sample_id")
+    chip_rows = profile_chips(profile)
+    families = [profile_families(profile), edge_face_rates(polar, geo)]
     if location_aware:
         families.append(polar_features(chip_rows))
-    families += [profile_peaks(polar), local_hotspots(chip_rows), component_features(chip_rows),
-                 edge_localized(chip_rows), shot_contrasts(chip_rows)]
+    families += [local_hotspots(chip_rows), component_features(chip_rows), edge_localized(chip_rows),
+                 shot_contrasts(chip_rows)]
     out = families[0]
     for f in families[1:]:
         out = out.join(f, "sample_id", "left")
-    return out.fillna(0.0)
+    return out.selectExpr("sample_id", *[f"coalesce({c}, 0.0D) AS {c}" for c in out.columns if c != "sample_id"])
