@@ -128,8 +128,18 @@ def _(spark, sf):
         F.col("query_id").alias("left_id"), F.col("neighbor_id").alias("right_id"), "jaccard")
 
 
-def name_rows(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
+part("favg", "SELECT name AS feature, count(*) AS wafers, round(avg(v),6) AS mean FROM (UNPIVOT (SELECT * EXCLUDE (sample_id) "
+     "FROM f_all) ON COLUMNS(*) INTO NAME name VALUE v) GROUP BY 1", ("f_all",))
+
+
+def column_means(spark, sf, rows, schema):
+    """Wafer count and mean of every named feature column, next to what the name rules say about it."""
+    df = wafer_features(spark, sf)
+    named = spark.createDataFrame(rows, schema)
+    picked = sorted({r[-1] for r in rows})
+    means = (df.unpivot([], picked, "feature", "v").groupBy("feature")
+             .agg(F.count("v").alias("wafers"), F.round(F.avg("v"), 6).alias("mean")))
+    return means.join(F.broadcast(named), "feature")
 
 
 @query("j01_self_knn", "SELECT query_id, rank, neighbor_id, round(distance,6) AS distance FROM enn", ("enn",))
@@ -287,41 +297,34 @@ def _(spark, sf):
     return rounded9(rt.family_ablation(wafer_features(spark, sf), COMPACT, wafer_signatures(spark, sf), K))
 
 
-@query("p15_criterion_columns", f"SELECT * FROM (VALUES {', '.join(f'({c!r}, {n!r})' for c, ns in CRIT.items() for n in ns)}) v(criterion, feature) "
-       "WHERE EXISTS (SELECT 1 FROM f_compact)", ("f_compact",))
+@query("p15_criterion_columns", f"SELECT f.*, criterion FROM (VALUES {', '.join(f'({c!r}, {n!r})' for c, ns in CRIT.items() for n in ns)}) v(criterion, name) "
+       "JOIN favg f ON f.feature=v.name", ("favg",))
 def _(spark, sf):
     cols = nm.observable(wafer_features(spark, sf).columns)
-    return name_rows(spark, [(c, n) for c in nm.CRITERIA for n in nm.criterion_columns(cols, c)], "criterion string, feature string")
-
+    return column_means(spark, sf, [(c, n) for c in nm.CRITERIA for n in nm.criterion_columns(cols, c)], "criterion string, feature string")
 
-_OBS = ("CASE WHEN n IN ('sample_id','actual_net_die','cluster_id','pca_0','pca_1') OR starts_with(n,'label_') OR "
-        "ends_with(n,'_mask_ratio') THEN 0 ELSE 1 END")
 
-
-@query("p14_observable_columns", f"""SELECT n AS name, {_OBS} AS observable,
-   CASE WHEN starts_with(n,'polar_') OR starts_with(n,'stby_polar_') THEN 0 ELSE {_OBS} END AS compact
-   FROM (SELECT unnest(list_transform(['sample_id'], x -> x)) AS n UNION ALL
-   SELECT DISTINCT name FROM (UNPIVOT (SELECT * EXCLUDE (sample_id) FROM feat) ON COLUMNS(*) INTO NAME name VALUE v))""", ("feat",))
+@query("p14_observable_columns", """SELECT f.*, CASE WHEN starts_with(feature,'polar_') OR starts_with(feature,'stby_polar_') THEN 0 ELSE 1 END AS compact
+   FROM favg f""", ("favg",))
 def _(spark, sf):
-    cols = wafer_features(spark, sf).columns
-    return name_rows(spark, [(c, int(nm.is_observable(c, location_aware=True)), int(nm.is_observable(c))) for c in cols],
-                     "name string, observable int, compact int")
+    cols = nm.observable(wafer_features(spark, sf).columns, location_aware=True)
+    return column_means(spark, sf, [(int(nm.is_observable(c)), c) for c in cols], "compact int, feature string")
 
 
-@query("p17_feature_families", """SELECT n AS feature, CASE WHEN n IN ('total_fail_density','grade_weighted_severity') THEN 'global'
+@query("p17_feature_families", """SELECT feature, wafers, mean, CASE WHEN n IN ('total_fail_density','grade_weighted_severity') THEN 'global'
    WHEN n='stby_ratio' THEN 'stby' WHEN starts_with(n,'stby_polar_') THEN 'stby_spatial' WHEN starts_with(n,'radial_zone_') THEN 'radial'
    WHEN starts_with(n,'angular_sector_') THEN 'angular' WHEN starts_with(n,'polar_') THEN 'polar_spatial'
    WHEN starts_with(n,'edge_') OR n='center_density' THEN 'edge'
    WHEN starts_with(n,'ring_') OR starts_with(n,'scratch_') THEN 'ring_scratch_morphology'
    WHEN starts_with(n,'local_') THEN 'local_morphology' WHEN starts_with(n,'shot_') THEN 'shot' ELSE 'other' END AS family
-   FROM (SELECT DISTINCT name AS n FROM (UNPIVOT (SELECT * EXCLUDE (sample_id) FROM f_all) ON COLUMNS(*) INTO NAME name VALUE v))""", ("f_all",))
+   FROM (SELECT *, feature AS n FROM favg)""", ("favg",))
 def _(spark, sf):
     cols = nm.observable(wafer_features(spark, sf).columns, location_aware=True)
-    return name_rows(spark, [(c, nm.family_of(c)) for c in cols], "feature string, family string")
+    return column_means(spark, sf, [(nm.family_of(c), c) for c in cols], "family string, feature string")
 
 
-@query("p16_class_columns", """SELECT c.c AS class_name, k.k AS target_kind, n AS feature
-   FROM (SELECT DISTINCT name AS n FROM (UNPIVOT (SELECT * EXCLUDE (sample_id) FROM f_all) ON COLUMNS(*) INTO NAME name VALUE v)),
+@query("p16_class_columns", """SELECT c.c AS class_name, k.k AS target_kind, feature, wafers, mean
+   FROM (SELECT *, feature AS n FROM favg),
    (VALUES ('edge'),('shot_grid'),('stby_pattern'),('ring'),('scratch'),('local')) c(c), (VALUES ('class'),('class_location')) k(k)
    WHERE CASE WHEN starts_with(n,'polar_') THEN k='class_location' AND c IN ('edge','scratch','local')
      WHEN starts_with(n,'stby_polar_') THEN k='class_location' AND c='stby_pattern'
@@ -329,20 +332,19 @@ def _(spark, sf):
      WHEN c='shot_grid' THEN starts_with(n,'shot_') WHEN c='stby_pattern' THEN n='stby_ratio'
      WHEN c='ring' THEN starts_with(n,'ring_') OR starts_with(n,'radial_zone_')
      WHEN c='scratch' THEN starts_with(n,'scratch_') OR starts_with(n,'angular_sector_')
-     ELSE starts_with(n,'local_') OR starts_with(n,'morph_') END""", ("f_all",))
+     ELSE starts_with(n,'local_') OR starts_with(n,'morph_') END""", ("favg",))
 def _(spark, sf):
     cols = nm.observable(wafer_features(spark, sf).columns, location_aware=True)
-    return name_rows(spark, [(c, k, n) for c in C.REPORT_CLASSES for k in ("class", "class_location")
+    return column_means(spark, sf, [(c, k, n) for c in C.REPORT_CLASSES for k in ("class", "class_location")
                              for n in nm.class_columns(cols, c, k)], "class_name string, target_kind string, feature string")
 
 
-@query("u01_shared_columns", f"""SELECT n AS feature, row_number() OVER (ORDER BY o) AS position FROM (VALUES
-   {', '.join(f"('{n}', {i})" for i, n in enumerate(COMPACT))}) v(n, o) WHERE n <> 'stby_ratio' AND EXISTS (SELECT 1 FROM f_compact)""", ("f_compact",))
+@query("u01_shared_columns", f"""SELECT f.*, position FROM (SELECT n, row_number() OVER (ORDER BY o) AS position FROM (VALUES
+   {', '.join(f"('{n}', {i})" for i, n in enumerate(COMPACT))}) v(n, o) WHERE n <> 'stby_ratio') JOIN favg f ON f.feature=n""", ("favg",))
 def _(spark, sf):
-    ref = wafer_features(spark, sf).select("sample_id", *COMPACT)
-    q = ref.drop("stby_ratio")
-    shared = nm.shared_observable(q.columns, ref.columns)
-    return name_rows(spark, [(c, i + 1) for i, c in enumerate(shared)], "feature string, position long")
+    ref = ["sample_id", *COMPACT]
+    shared = nm.shared_observable([c for c in ref if c != "stby_ratio"], ref)
+    return column_means(spark, sf, [(i + 1, c) for i, c in enumerate(shared)], "position long, feature string")
 
 
 @query("r09_bootstrap_lift_ci")
