@@ -233,7 +233,7 @@ def _(spark, sf):
     return ft.edge_face_density(polar(spark, sf), GEO, face_of="all")
 
 
-@query("a31_batch_realism", """SELECT count(*) AS sample_count, round(avg(grade0_ratio),9) AS grade0_ratio_mean, min(grade0_ratio) AS grade0_ratio_min, max(grade0_ratio) AS grade0_ratio_max,
+@query("a31_batch_realism", """SELECT count(*) AS sample_count, round(avg(grade0_ratio),9) AS grade0_ratio_mean, round(min(grade0_ratio),9) AS grade0_ratio_min, round(max(grade0_ratio),9) AS grade0_ratio_max,
   round(avg(edge_fail_density-center_fail_density),9) AS edge_minus_center_fail_density_mean, sum((edge_fail_density-center_fail_density>0)::INT)::BIGINT AS edge_higher_count,
   round(avg(face_difference),9) AS face_difference_mean, sum((face_difference>0)::INT)::BIGINT AS face_higher_count, min(grade0_ratio)>0 AS grade0_present_all_samples,
   sum((edge_fail_density-center_fail_density>0)::INT)>=ceil(count(*)*0.6) AS edge_higher_majority, sum((face_difference>0)::INT)>=ceil(count(*)*0.6) AS face_higher_majority,
@@ -245,7 +245,7 @@ def _(spark, sf):
 
 
 # pattern metadata of a wafer: one entry per class it carries; the parameters follow from its number
-part("pats", """SELECT sample_id, w, 'local' AS type, ['single_blob','double_blob','triple_triangle'][w%3+1] AS mode, NULL AS seeded, NULL AS latent, NULL AS anchor FROM wl WHERE local=1
+part("pats", """SELECT sample_id, w, 'local' AS type, ['single_blob','double_blob','triple_triangle'][w%3+1] AS mode, NULL::VARCHAR AS seeded, NULL::VARCHAR AS latent, NULL::VARCHAR AS anchor FROM wl WHERE local=1
  UNION ALL SELECT sample_id, w, 'scratch', CASE WHEN w%2=0 THEN 'spin_arc' END, NULL, NULL, NULL FROM wl WHERE scratch=1
  UNION ALL SELECT sample_id, w, 'stby_pattern', CASE WHEN w%3=0 THEN 'origin_coupled' WHEN w%3=1 THEN 'latent_weighted' END, CASE WHEN w%5>0 THEN (w%2)::VARCHAR END, (w%3)::VARCHAR, NULL FROM wl WHERE stby=1
  UNION ALL SELECT sample_id, w, 'shot_grid', NULL, NULL, NULL, CASE WHEN w%3>0 THEN 'lower_left' END FROM wl WHERE shot_grid=1""", ("wl",))
