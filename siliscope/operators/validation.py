@@ -1,7 +1,7 @@
 """Rule checks on wafers, manifests and geometry: every rule is one conditional count of a single aggregate."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siliscope import constants as C
@@ -132,14 +132,15 @@ def manifest_errors(samples: DataFrame) -> DataFrame:
     """(sample index, id, errors) of exploded manifest entries; header versions come along as columns."""
     src, sid = F.col("source_type"), F.coalesce("sample_id", F.lit(""))
     real = src.isin(C.SOURCE_NPZ, C.SOURCE_PNG)
-    seen = F.count(F.lit(1)).over(Window.partitionBy("sample_id"))
+    repeated = (samples.groupBy("sample_id").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+                .withColumnRenamed("sample_id", "repeated_id"))
     rules = {
         "unsupported schema_version": ~F.col("schema_version").eqNullSafe(C.MANIFEST_VERSION),
         "unsupported feature_schema_version": ~F.col("feature_schema_version").eqNullSafe(C.FEATURE_VERSION),
         "missing source_type": src.isNull(),
         "unsupported source_type": src.isNotNull() & ~src.isin(*REQUIRED_FIELDS),
         "sample_id has other than letters, numbers and ._-": ~sid.rlike(C.SAMPLE_ID_PATTERN),
-        "duplicate sample_id": F.col("copies") > 1,
+        "duplicate sample_id": F.col("repeated_id").isNotNull(),
         "sample_id is not opaque": real & ~sid.rlike(C.OPAQUE_ID_PATTERN),
         "not pseudonymized": real & ~F.coalesce("pseudonymized", F.lit(False)),
         "geometry missing": (src == C.SOURCE_PNG) & (F.col("chip_blocks").isNull() | F.col("grid").isNull())
@@ -148,7 +149,7 @@ def manifest_errors(samples: DataFrame) -> DataFrame:
     for source, fields in REQUIRED_FIELDS.items():
         for f in fields:
             rules[f"{source} needs {f}"] = (src == source) & F.col(f).isNull()
-    return (samples.withColumn("copies", seen).withColumn("errors", _messages({k: F.coalesce(v, F.lit(False)) for k, v in rules.items()}))
+    return (samples.join(repeated, F.col("sample_id") == F.col("repeated_id"), "left").withColumn("errors", _messages({k: F.coalesce(v, F.lit(False)) for k, v in rules.items()}))
             .select("sample_id", "source_type", "errors"))
 
 

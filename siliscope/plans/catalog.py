@@ -1,7 +1,7 @@
 """All registered queries; importing the modules fills the registry."""
 from __future__ import annotations
 
-from siliscope.plans import feature_queries, region_queries, search_queries  # noqa: F401
+from siliscope.plans import feature_queries, region_queries, review_queries, search_queries  # noqa: F401
 from siliscope.plans import registry
 
 
