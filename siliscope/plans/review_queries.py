@@ -99,23 +99,42 @@ def _(spark, sf):
     return rv.sensitive_flags(reviews(spark, sf), "safe_comment", ["line_no", "query_sample_id", "neighbor_sample_id"])
 
 
-@query("p27_sensitive_documents", flag_sql("documents", "doc_id", "text"))
+# every seventh document and fifth conversation turn also says where it was stored
+part("pathdocs", "SELECT doc_id, text || CASE WHEN doc_id%7=0 THEN ' kept in /home/'||source||'/'||doc_id::VARCHAR||' for tool X' ELSE '' END AS text FROM documents")
+part("pathturns", "SELECT conv_id, turn, text || CASE WHEN (conv_id+turn)%5=0 THEN ' Recipe: '||role||conv_id::VARCHAR ELSE '' END AS text FROM conversations")
+
+
+def located_documents(spark, sf):
+    d = F.col("doc_id")
+    tail = F.concat(F.lit(" kept in /home/"), "source", F.lit("/"), d.cast("string"), F.lit(" for tool X"))
+    return demo.table(spark, sf, "documents").select(
+        "doc_id", F.concat("text", F.when(d % 7 == 0, tail).otherwise(F.lit(""))).alias("text"))
+
+
+def located_turns(spark, sf):
+    tail = F.concat(F.lit(" Recipe: "), "role", F.col("conv_id").cast("string"))
+    hit = (F.col("conv_id") + F.col("turn")) % 5 == 0
+    return demo.table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.concat("text", F.when(hit, tail).otherwise(F.lit(""))).alias("text"))
+
+
+@query("p27_sensitive_documents", flag_sql("pathdocs", "doc_id", "text"), ("pathdocs",))
 def _(spark, sf):
-    return rv.sensitive_flags(demo.table(spark, sf, "documents"), "text", ["doc_id"])
+    return rv.sensitive_flags(located_documents(spark, sf), "text", ["doc_id"])
 
 
-@query("p27_sensitive_conversations", flag_sql("conversations", "conv_id, turn", "text"))
+@query("p27_sensitive_conversations", flag_sql("pathturns", "conv_id, turn", "text"), ("pathturns",))
 def _(spark, sf):
-    return rv.sensitive_flags(demo.table(spark, sf, "conversations"), "text", ["conv_id", "turn"])
+    return rv.sensitive_flags(located_turns(spark, sf), "text", ["conv_id", "turn"])
 
 
 LEAK = "CASE " + " ".join(f"WHEN regexp_matches({{t}}, '{p}') THEN '{n}'" for n, p in rv.LEAK_PATTERNS.items()) + " END"
 
 
-@query("s17_leak_scan", f"SELECT * FROM (SELECT 'document' AS kind, doc_id AS id, {LEAK.format(t='text')} AS finding FROM documents UNION ALL "
-       f"SELECT 'page', page_id, {LEAK.format(t='html')} FROM pages) WHERE finding IS NOT NULL")
+@query("s17_leak_scan", f"SELECT * FROM (SELECT 'document' AS kind, doc_id AS id, {LEAK.format(t='text')} AS finding FROM pathdocs UNION ALL "
+       f"SELECT 'page', page_id, {LEAK.format(t='html')} FROM pages) WHERE finding IS NOT NULL", ("pathdocs",))
 def _(spark, sf):
-    d = demo.table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    d = located_documents(spark, sf).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     p = demo.table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     return rv.leak_findings(d.unionByName(p), "text", ["kind", "id"])
 
@@ -374,7 +393,7 @@ def _(spark, sf):
 
 @query("u03_missing_products", "SELECT DISTINCT product FROM files WHERE product NOT IN (SELECT product FROM geo)", ("files", "geo"))
 def _(spark, sf):
-    return files(spark, sf).select("product").exceptAll(geometry(spark, sf).select("product")).distinct()
+    return files(spark, sf).select("product").subtract(geometry(spark, sf).select("product"))
 
 
 @query("s15_batch_metadata", """SELECT count(*) AS product_count, sum(n)::BIGINT AS sample_count, count(g.product) AS explicit_geometry_count, sum((g.net_die>0)::INT)::BIGINT AS positive_net_die_count,
