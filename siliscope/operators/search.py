@@ -62,6 +62,28 @@ def vector_columns(df: DataFrame, vec: str, dim: int) -> tuple[DataFrame, list[s
     return df.select("*", *[F.get(F.col(vec), F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)]), names
 
 
+def vector_scaler(vectors: DataFrame, flat_as_one: bool = False) -> DataFrame:
+    """Mean and deviation of every position of long vectors, as two arrays per search space."""
+    df = vectors if "space" in vectors.columns else vectors.withColumn("space", F.lit("all"))
+    sd = F.stddev_pop("v")
+    sd = F.when(sd < SIGMA_FLOOR, F.lit(1.0)).otherwise(sd) if flat_as_one else F.greatest(sd, F.lit(SIGMA_FLOOR))
+    per = df.select("space", F.posexplode("vec").alias("pos", "v")).groupBy("space", "pos").agg(
+        F.avg("v").alias("mu"), sd.alias("sd"))
+    packed = per.groupBy("space").agg(F.array_sort(F.collect_list(F.struct("pos", "mu", "sd"))).alias("s"))
+    return packed.select("space", F.col("s.mu").alias("mu"), F.col("s.sd").alias("sd"))
+
+
+def standardised_vectors(vectors: DataFrame, fitted: DataFrame | None = None, flat_as_one: bool = False) -> DataFrame:
+    """(id, vec[, space]) with every position scaled; for vectors too long to be handled as columns."""
+    stats = fitted if fitted is not None else vector_scaler(vectors, flat_as_one)
+    named = "space" in vectors.columns
+    df = vectors if named else vectors.withColumn("space", F.lit("all"))
+    # one row per search space
+    scaled = df.join(F.broadcast(stats), "space").withColumn("vec", F.zip_with(
+        F.zip_with("vec", "mu", lambda v, m: v - m), F.col("sd"), lambda v, s: v / s)).drop("mu", "sd")
+    return scaled if named else scaled.drop("space")
+
+
 def vector_norm(vec: Column) -> Column:
     return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, v: acc + v * v))
 

@@ -1,7 +1,7 @@
 """All registered queries; importing the modules fills the registry."""
 from __future__ import annotations
 
-from siliscope.plans import feature_queries, map_queries, region_queries, review_queries, search_queries  # noqa: F401
+from siliscope.plans import feature_queries, map_queries, model_queries, region_queries, review_queries, search_queries  # noqa: F401
 from siliscope.plans import registry
 
 
@@ -10,4 +10,4 @@ def queries() -> dict[str, registry.Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(registry.ORACLES)
+    return registry.oracles()

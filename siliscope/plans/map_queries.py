@@ -15,6 +15,7 @@ from siliscope.operators import statistics as st
 from siliscope.operators import validation as va
 from siliscope.operators import retrieval as rt
 from siliscope.plans import demo
+from siliscope.sources.staging import stage
 from siliscope.plans.feature_queries import COMPACT, polar, rounded
 from siliscope.plans.registry import part, query
 from siliscope.plans.search_queries import (K, SIG, jac, rounded9, space_nn_sql, staged_once, wafer_features, wafer_signatures)
@@ -286,9 +287,10 @@ def _(spark, sf):
     return pr.grid_targets(demo.pixels(spark, sf), C.REPORT_CLASSES, G)
 
 
-@query("a22_arc_scores", "SELECT sample_id, class_name, kind, r0, r1, a0, a1, round(score,6) AS score FROM arcscore", ("arcscore",))
+@query("a22_arc_scores", "SELECT sample_id, class_name, kind, r0, r1, a0, a1, floor(score*1e6+0.3137)::BIGINT AS score_millionths FROM arcscore", ("arcscore",))
 def _(spark, sf):
-    return pr.arc_candidates(polar_score_rows(spark, sf), R, A).drop("place").withColumn("score", F.round("score", 6))
+    return pr.arc_candidates(polar_score_rows(spark, sf), R, A).withColumn(
+        "score_millionths", F.floor(F.col("score") * 1e6 + 0.3137)).drop("place", "score")
 
 
 @query("j10_suppressed_arcs")
@@ -350,12 +352,10 @@ part("repnn", space_nn_sql("repz", K), ("repz",))
 
 def representation_neighbors(spark, sf):
     def build():
-        grid = cells(spark, sf)
-        both = None
-        for space, vec, dim in (("gray", pl.gray_vector(grid, G), G * G), ("semantic", pl.semantic_vector(grid, G), 6 * G * G)):
-            wide, names = search.vector_columns(vec, "vec", dim)
-            z = search.standardised(wide, names, id_col="id").withColumn("space", F.lit(space))
-            both = z if both is None else both.unionByName(z)
+        grid = stage(cells(spark, sf))
+        both = pl.gray_vector(grid, G).withColumn("space", F.lit("gray")).unionByName(
+            pl.semantic_vector(grid, G).withColumn("space", F.lit("semantic")))
+        both = search.standardised_vectors(both)
         return search.nearest(both, both, K, exclude_same_id=True)
     return staged_once(spark, sf, "representations", build)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_CHECKS: dict[str, tuple[str, tuple[str, ...]]] = {}
 _PARTS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -44,7 +44,11 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = compose(sql, needs)
+            _CHECKS[name] = (sql, tuple(needs))
         return fn
 
     return wrap
+
+
+def oracles() -> dict[str, str]:
+    return {name: compose(sql, needs) for name, (sql, needs) in _CHECKS.items()}
