@@ -305,7 +305,7 @@ def train_encoder(model: Encoder, rows: DataFrame, epochs: int, rate: float, pai
                      + sizes @ (similar ** 2) @ sizes) / n ** 2
         decay = 0.5 * l2 * sum(float((w * w).sum()) for w in (m.w1, m.w2, m.wc))
         bce = float(g[-1]) / max(n * c, 1)
-        history.append({"total": bce + pair_weight * pair_loss + decay, "bce": bce, "pairwise": float(pair_loss), "l2": decay})
+        history.append({"total": float(bce + pair_weight * pair_loss + decay), "bce": bce, "pairwise": float(pair_loss), "l2": decay})
         model = replace(m, w1=m.w1 - rate * (parts[0] + l2 * m.w1), b1=m.b1 - rate * parts[1],
                         w2=m.w2 - rate * (parts[2] + l2 * m.w2), b2=m.b2 - rate * parts[3],
                         wc=m.wc - rate * (parts[4] + l2 * m.wc), bc=m.bc - rate * parts[5])

@@ -333,7 +333,7 @@ def _(spark, sf):
     return px_scores.region_table(px_scores.fail_pixels(demo.pixels(spark, sf), 3)).select("sample_id", "region", "area")
 
 
-@query("a39_component_scores", """SELECT i.sample_id, round(coalesce(max(scratch),0.0),6) AS scratch_score, round(coalesce(max(blob),0.0),6) AS blob_score, round(coalesce(least(1.0,max(area)/2500.0),0.0),6) AS area_score, round(least(1.0,count(area)/30.0::DOUBLE),6) AS component_count_score
+@query("a39_component_scores", """SELECT i.sample_id, round(coalesce(max(scratch),0.0),6) AS scratch_score, round(coalesce(max(blob),0.0),6) AS blob_score, round(least(1.0,coalesce(max(area),0)/2500.0),6) AS area_score, round(least(1.0,count(area)/30.0::DOUBLE),6) AS component_count_score
   FROM (SELECT DISTINCT sample_id FROM px) i LEFT JOIN (SELECT *, least(1.0,greatest(0.0,(el-2.5)/12.0))*least(1.0,area/600.0) AS scratch, least(1.0,4*pi()*area/greatest(per*per,1.0))*least(1.0,area/500.0)*greatest(0.0,1.0-(el-1.0)/6.0) AS blob FROM (
    SELECT sample_id, region, area, per, sqrt((l1+1e-6)/(l2+1e-6)) AS el FROM (SELECT *, ((vy+vx)+sqrt((vy-vx)**2+4*vyx*vyx))/2 AS l1, ((vy+vx)-sqrt((vy-vx)**2+4*vyx*vyx))/2 AS l2 FROM (
     SELECT sample_id, region, count(*)::DOUBLE AS area, sum(edge)::DOUBLE AS per, (count(*)*sum(y*y)-sum(y)*sum(y))::DOUBLE/(count(*)*(count(*)-1)) AS vy, (count(*)*sum(x*x)-sum(x)*sum(x))::DOUBLE/(count(*)*(count(*)-1)) AS vx,

@@ -27,6 +27,10 @@ def staged_once(spark, sf, name, build):
     return _staged[key]
 
 
+def forget_staged() -> None:
+    _staged.clear()
+
+
 def wafer_features(spark, sf):
     """All 158 features and the seven labels of every wafer."""
     def build():
