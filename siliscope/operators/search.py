@@ -23,6 +23,7 @@ TIE_DIGITS = 9          # distances equal to this many digits are ties, the lowe
 BLOCK_ROWS = 2048
 ONE_CELL_ROWS = 4096    # up to here a single cell is searched whole
 MAX_PIVOTS = 4096
+PIVOT_BYTES = 64 << 20  # all pivots together, whatever the vector length
 
 
 def finite_errors(df: DataFrame, names: list[str], id_col: str = "sample_id") -> DataFrame:
@@ -136,8 +137,9 @@ def _best_of_block(queries: pd.DataFrame, refs: pd.DataFrame, k: int) -> pd.Data
 class _Cells:
     """Pivots, radii and sizes per search space; bounded by the number of pivots, so it fits the driver."""
 
-    def __init__(self, refs: DataFrame, spaces: dict[str, int]):
-        counts = {s: min(MAX_PIVOTS, max(1, math.ceil(n / 1024))) if n > ONE_CELL_ROWS else 1
+    def __init__(self, refs: DataFrame, spaces: dict[str, int], longest: int):
+        afford = max(1, PIVOT_BYTES // (8 * max(longest, 1) * len(spaces)))
+        counts = {s: min(MAX_PIVOTS, afford, max(1, math.ceil(n / 1024))) if n > ONE_CELL_ROWS else 1
                   for s, n in spaces.items()}
         wanted = F.element_at(F.create_map(*[F.lit(v) for p in counts.items() for v in p]), F.col("space"))
         order = Window.partitionBy("space").orderBy(F.xxhash64("id"), "id")
@@ -267,10 +269,10 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, exclude_same_id:
     refs = refs_all.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= depth).drop("copy")
     # equal vectors are asked once, under a 128-bit digest of the vector
     ask = asks.select("space", "vec").distinct().withColumn("query", _digest())
-    counts = {r["space"]: r["n"] for r in refs_all.groupBy("space").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    sizes = refs_all.groupBy("space").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).collect()
+    if not sizes:
         raise ValueError("reference table is empty")
-    cells = _Cells(refs_all, counts)
+    cells = _Cells(refs_all, {r["space"]: r["n"] for r in sizes}, max(r["d"] for r in sizes))
     refs = cells.assign(refs)
     if cells.many:
         refs = stage(refs)

@@ -293,7 +293,26 @@ def _(spark, sf):
         "score_millionths", F.floor(F.col("score") * 1e6 + 0.3137)).drop("place", "score")
 
 
-@query("j10_suppressed_arcs")
+part("arcord", f"""SELECT *, (SELECT sum(1::BIGINT << ((a0+o)%{A})) FROM range(0, a1-a0) t(o))::BIGINT AS bins, CASE WHEN kind IN ('annulus','spin_arc') THEN 0 ELSE 1 END AS o0, CASE WHEN kind='radial_scratch' THEN r0 ELSE r1-r0 END AS o1,
+   CASE WHEN kind='radial_scratch' THEN r1 ELSE a1-a0 END AS o2, CASE WHEN kind='radial_scratch' THEN a1-a0 ELSE r0 END AS o3 FROM arcscore""", ("arcscore",))
+_ORD = "row_number() OVER (PARTITION BY c.sample_id, c.class_name ORDER BY round(c.score,9) DESC, c.o0, c.o1, c.o2, c.o3, c.a0) AS k"
+
+
+def _apart(p):
+    inter = f"(greatest(0, least(c.r1,{p}.r1)-greatest(c.r0,{p}.r0))*bit_count(c.bins & {p}.bins))"
+    return f"{inter}::DOUBLE/greatest(1, (c.r1-c.r0)*(c.a1-c.a0)+({p}.r1-{p}.r0)*({p}.a1-{p}.a0)-{inter}) <= 0.35"
+
+
+def _same(p):
+    return f"JOIN {p} ON {p}.sample_id=c.sample_id AND {p}.class_name=c.class_name"
+
+
+part("arc1", f"SELECT * FROM (SELECT c.*, {_ORD} FROM arcord c) WHERE k=1", ("arcord",))
+part("arc2", f"SELECT * FROM (SELECT c.*, {_ORD} FROM arcord c {_same('arc1')} WHERE {_apart('arc1')}) WHERE k=1", ("arcord", "arc1"))
+part("arc3", f"SELECT * FROM (SELECT c.*, {_ORD} FROM arcord c {_same('arc1')} {_same('arc2')} WHERE {_apart('arc1')} AND {_apart('arc2')}) WHERE k=1", ("arcord", "arc1", "arc2"))
+
+
+@query("j10_suppressed_arcs", " UNION ALL ".join(f"SELECT sample_id, class_name, {i} AS place, kind, r0, r1, a0, a1, round(score,6) AS score FROM arc{i}" for i in (1, 2, 3)), ("arc1", "arc2", "arc3"))
 def _(spark, sf):
     return arcs_found(spark, sf).withColumn("score", F.round("score", 6))
 
