@@ -14,9 +14,9 @@ from siliscope.plans.registry import part, query
 GEO = gm.Geometry(**demo.GEOMETRY)
 
 
-def rounded(df, keep=("sample_id",)):
-    """Six-digit view of every double column."""
-    return df.select(*[F.round(F.col(c), 6).alias(c) if t == "double" and c not in keep else F.col(c)
+def rounded(df, keep=("sample_id",), digits=6):
+    """Rounded view of every double column."""
+    return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" and c not in keep else F.col(c)
                        for c, t in df.dtypes])
 
 
@@ -201,8 +201,8 @@ POLAR = [n for r in range(3) for a in range(12) for n in
           f"stby_polar_r{r:02d}_a{a:02d}_ratio")]
 
 
-def r6sql(names):
-    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+def r9sql(names):
+    return ", ".join(f"round({n}, 9) AS {n}" for n in names)
 
 
 # ---- registered queries
@@ -289,27 +289,27 @@ def _(spark, sf):
         fc.ratio(F.col("n_stby"), F.col("n_wafer")).alias("stby_share"))
 
 
-@query("a08_polar_grid", f"SELECT sample_id, {r6sql(POLAR)} FROM f_polar", ("f_polar",))
+@query("a08_polar_grid", f"SELECT sample_id, {r9sql(POLAR)} FROM f_polar", ("f_polar",))
 def _(spark, sf):
-    return rounded(ft.polar_features(chip_table(spark, sf)))
+    return rounded(ft.polar_features(chip_table(spark, sf)), digits=9)
 
 
-@query("a09_profile_peaks", "SELECT r.sample_id, " + r6sql(
+@query("a09_profile_peaks", "SELECT r.sample_id, " + r9sql(
     ["ring_radial_peak_contrast", "ring_radial_peak_width_ratio", "scratch_angular_peak_contrast",
      "scratch_angular_peak_width_ratio"]) + " FROM f_ring_radial r JOIN f_scratch_angular a ON a.sample_id=r.sample_id",
        ("f_ring_radial", "f_scratch_angular"))
 def _(spark, sf):
-    return rounded(ft.profile_peaks(polar(spark, sf)))
+    return rounded(ft.profile_peaks(polar(spark, sf)), digits=9)
 
 
-@query("a10_local_hotspots", "SELECT sample_id, " + r6sql(COMPACT[28:32]) + " FROM f_hot", ("f_hot",))
+@query("a10_local_hotspots", "SELECT sample_id, " + r9sql(COMPACT[28:32]) + " FROM f_hot", ("f_hot",))
 def _(spark, sf):
-    return rounded(ft.local_hotspots(chip_table(spark, sf)))
+    return rounded(ft.local_hotspots(chip_table(spark, sf)), digits=9)
 
 
-@query("a11_component_features", "SELECT sample_id, " + r6sql(COMPACT[32:42]) + " FROM f_comp", ("f_comp",))
+@query("a11_component_features", "SELECT sample_id, " + r9sql(COMPACT[32:42]) + " FROM f_comp", ("f_comp",))
 def _(spark, sf):
-    return rounded(ft.component_features(chip_table(spark, sf)))
+    return rounded(ft.component_features(chip_table(spark, sf)), digits=9)
 
 
 @query("a11b_hot_regions", "SELECT sample_id, chip_row, chip_col, region FROM regions", ("regions",))
@@ -327,14 +327,14 @@ def _(spark, sf):
                                 "radial_span", "angular_span", "mean_value"))
 
 
-@query("a12_edge_localized", "SELECT sample_id, " + r6sql(COMPACT[42:46]) + " FROM f_eloc", ("f_eloc",))
+@query("a12_edge_localized", "SELECT sample_id, " + r9sql(COMPACT[42:46]) + " FROM f_eloc", ("f_eloc",))
 def _(spark, sf):
-    return rounded(ft.edge_localized(chip_table(spark, sf)))
+    return rounded(ft.edge_localized(chip_table(spark, sf)), digits=9)
 
 
-@query("a13_shot_contrast", "SELECT sample_id, " + r6sql(COMPACT[46:50]) + " FROM f_shot", ("f_shot",))
+@query("a13_shot_contrast", "SELECT sample_id, " + r9sql(COMPACT[46:50]) + " FROM f_shot", ("f_shot",))
 def _(spark, sf):
-    return rounded(ft.shot_contrasts(chip_table(spark, sf)))
+    return rounded(ft.shot_contrasts(chip_table(spark, sf)), digits=9)
 
 
 RATIOS = ", ".join(f"sum({c})::DOUBLE/greatest(1,sum(in_wafer)) AS {c}_mask_ratio" for c in C.PATTERN_CLASSES)
@@ -365,6 +365,6 @@ def _(spark, sf):
     return ft.class_labels(demo.pixels(spark, sf), C.PATTERN_CLASSES)
 
 
-@query("s20_feature_table", f"SELECT sample_id, 32 AS actual_net_die, {r6sql(COMPACT)}, {r6sql(POLAR)} FROM f_all", ("f_all",))
+@query("s20_feature_table", f"SELECT sample_id, 32 AS actual_net_die, {r9sql(COMPACT)}, {r9sql(POLAR)} FROM f_all", ("f_all",))
 def _(spark, sf):
-    return rounded(ft.all_features(demo.pixels(spark, sf), GEO)).withColumn("actual_net_die", F.lit(32))
+    return rounded(ft.all_features(demo.pixels(spark, sf), GEO), digits=9).withColumn("actual_net_die", F.lit(32))

@@ -312,9 +312,9 @@ part("arc2", f"SELECT * FROM (SELECT c.*, {_ORD} FROM arcord c {_same('arc1')} W
 part("arc3", f"SELECT * FROM (SELECT c.*, {_ORD} FROM arcord c {_same('arc1')} {_same('arc2')} WHERE {_apart('arc1')} AND {_apart('arc2')}) WHERE k=1", ("arcord", "arc1", "arc2"))
 
 
-@query("j10_suppressed_arcs", " UNION ALL ".join(f"SELECT sample_id, class_name, {i} AS place, kind, r0, r1, a0, a1, round(score,6) AS score FROM arc{i}" for i in (1, 2, 3)), ("arc1", "arc2", "arc3"))
+@query("j10_suppressed_arcs", " UNION ALL ".join(f"SELECT sample_id, class_name, {i} AS place, kind, r0, r1, a0, a1, floor(score*1e6+0.3137)::BIGINT AS score_millionths FROM arc{i}" for i in (1, 2, 3)), ("arc1", "arc2", "arc3"))
 def _(spark, sf):
-    return arcs_found(spark, sf).withColumn("score", F.round("score", 6))
+    return arcs_found(spark, sf).withColumn("score_millionths", F.floor(F.col("score") * 1e6 + 0.3137)).drop("score")
 
 
 @query("p30_circular_bins", f"SELECT sample_id, class_name, a, ((a-20)%{A}+{A})%{A} < 10 AS inside FROM pbin WHERE r=4", ("pbin",))
