@@ -28,20 +28,27 @@ def with_signatures(neighbors: DataFrame, sigs: DataFrame) -> DataFrame:
             .withColumn("jaccard", label_jaccard(F.col("query_signature"), F.col("neighbor_signature"))))
 
 
-def random_pair_jaccard(sigs: DataFrame) -> DataFrame:
-    """Mean agreement of all unordered pairs of wafers, from the counts of their label sets.
+def signature_pairs(sigs: DataFrame) -> DataFrame:
+    """(sa, sb, pairs): how many unordered pairs of wafers have these two label sets.
 
     There are at most 2^classes different label sets, so the pairs formed here are pairs of label sets, not of wafers.
     """
     counts = sigs.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
-    a = counts.select(F.col("signature").alias("sa"), F.col("n").alias("na"))
-    b = counts.select(F.col("signature").alias("sb"), F.col("n").alias("nb"))
-    pairs = F.when(F.col("sa") == F.col("sb"), F.col("na") * (F.col("na") - 1) / 2.0).otherwise(
-        F.col("na") * F.col("nb").cast("double"))
-    return (a.join(b, F.col("sa") <= F.col("sb")).withColumn("pairs", pairs)
-            .agg(F.coalesce(F.sum(F.col("pairs") * label_jaccard(F.col("sa"), F.col("sb"))) / F.sum("pairs"),
-                            F.lit(0.0)).alias("random_pair_label_jaccard"),
-                 F.sum("pairs").alias("pair_count")))
+    every = counts.agg(F.collect_list(F.struct("signature", "n"))).scalar()
+    rows = counts.withColumn("every", every).select(
+        F.col("signature").alias("sa"), F.col("n").alias("na"), F.explode("every").alias("o")).select(
+        "sa", "na", F.col("o.signature").alias("sb"), F.col("o.n").alias("nb")).filter("sa <= sb")
+    same = F.floor(F.col("na") * (F.col("na") - 1) / 2)
+    return rows.select("sa", "sb", F.when(F.col("sa") == F.col("sb"), same).otherwise(F.col("na") * F.col("nb"))
+                       .cast("long").alias("pairs"))
+
+
+def random_pair_jaccard(sigs: DataFrame) -> DataFrame:
+    """Mean agreement of all unordered pairs of wafers, from the counts of their label sets."""
+    pairs = F.col("pairs").cast("double")
+    return signature_pairs(sigs).agg(
+        F.coalesce(F.sum(pairs * label_jaccard(F.col("sa"), F.col("sb"))) / F.sum(pairs), F.lit(0.0))
+        .alias("random_pair_label_jaccard"), F.sum(pairs).alias("pair_count"))
 
 
 def label_lift(neighbors: DataFrame, sigs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -197,12 +204,8 @@ def bootstrap_lift(neighbors: DataFrame, sigs: DataFrame, runs: int, seed: int)
     sets takes few distinct values; so a run needs the value counts only, and the runs spread over the cluster.
     """
     q = query_scores(neighbors, sigs).groupBy(F.round("score", 9).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    counts = sigs.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
-    a = counts.select(F.col("signature").alias("sa"), F.col("n").alias("na"))
-    b = counts.select(F.col("signature").alias("sb"), F.col("n").alias("nb"))
-    pairs = F.when(F.col("sa") == F.col("sb"), F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb"))
-    p = (a.join(b, F.col("sa") <= F.col("sb")).groupBy(F.round(label_jaccard(F.col("sa"), F.col("sb")), 9).alias("v"))
-         .agg(F.sum(pairs.cast("long")).alias("n")))
+    p = (signature_pairs(sigs).groupBy(F.round(label_jaccard(F.col("sa"), F.col("sb")), 9).alias("v"))
+         .agg(F.sum("pairs").alias("n")))
 
     def packed(df: DataFrame) -> Column:
         return df.agg(F.array_sort(F.collect_list(F.struct("v", "n")))).scalar()

@@ -323,8 +323,8 @@ def _(spark, sf):
   ON c.sample_id=g.sample_id AND c.chip_row=g.chip_row AND c.chip_col=g.chip_col)""", ("gray",))
 def _(spark, sf):
     from siliscope.sources.images import assemble
-    raw = gray_pixels(spark, sf).select("sample_id", F.lit("p").alias("product"), "y", "x", "gray", "height", "width")
-    geometry = spark.createDataFrame([("p", 4, 4, 6, 6, 32, "centered_ellipse_from_png")],
+    raw = gray_pixels(spark, sf).select("sample_id", F.concat(F.lit("p"), (F.col("w") % 2).cast("string")).alias("product"), "y", "x", "gray", "height", "width")
+    geometry = spark.createDataFrame([(p, 4, 4, 6, 6, 32, "centered_ellipse_from_png") for p in ("p0", "p1")],
                                      "product string, chip_h int, chip_w int, rows int, cols int, net_die int, mask_strategy string")
     return assemble(raw, geometry).select("sample_id", "y", "x", "in_wafer", "stby", "valid", "severity")
 

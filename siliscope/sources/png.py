@@ -14,7 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siliscope.constants import STBY_GRAY
+
 RAW_SCHEMA = "path string, y int, x int, gray int, height int, width int"
+CHIP_SCHEMA = "path string, product string, y int, x int, gray int, height int, width int, stby int"
 ERROR_SCHEMA = "path string, error string"
 # fixed values: colour types of the format and their channels
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -124,14 +127,43 @@ def _images(spark: SparkSession, root: str) -> DataFrame:
             .unionByName(with_alpha.withColumn("path", name)))
 
 
-def read_gray(spark: SparkSession, root: str) -> DataFrame:
-    """(path, y, x, gray, height, width) of every usable image below a folder."""
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def full_chips(gray: np.ndarray, chip_h: int, chip_w: int) -> np.ndarray:
+    """1 on the pixels of chips whose whole block has the code of an untested chip."""
+    h, w = gray.shape
+    rows, cols = h // chip_h, w // chip_w
+    blocks = (gray[:rows * chip_h, :cols * chip_w] == STBY_GRAY).reshape(rows, chip_h, cols, chip_w).all(axis=(1, 3))
+    out = np.zeros((h, w), dtype=np.int64)
+    out[:rows * chip_h, :cols * chip_w] = blocks.repeat(chip_h, 0).repeat(chip_w, 1)
+    return out
+
+
+def read_gray(spark: SparkSession, root: str, geometry: DataFrame | None = None) -> DataFrame:
+    """(path, y, x, gray, height, width) of every usable image below a folder.
+
+    With product geometry (one row per product folder) the untested chips are marked as well, in the task that holds
+    the image: product and stby are added.
+    """
+    files = _images(spark, root)
+    if geometry is None:
+        def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for path, gray, error in _planes(pdf):
+                    if error is None:
+                        yield from _frames(path, gray)
+        return files.mapInPandas(emit, RAW_SCHEMA)
+
+    def emit_chips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, gray, error in _planes(pdf):
+            for row, (path, gray, error) in zip(pdf.itertuples(index=False), _planes(pdf)):
                 if error is None:
-                    yield from _frames(path, gray)
-    return _images(spark, root).mapInPandas(emit, RAW_SCHEMA)
+                    stby = full_chips(gray, row.chip_h, row.chip_w).ravel()
+                    for part in _frames(path, gray):
+                        start = int(part["y"].iloc[0]) * gray.shape[1] + int(part["x"].iloc[0])
+                        yield part.assign(product=row.product, stby=stby[start:start + len(part)])[
+                            ["path", "product", "y", "x", "gray", "height", "width", "stby"]]
+    product = F.element_at(F.split("path", "/"), -2)
+    sized = files.withColumn("product", product).join(F.broadcast(geometry.select("product", "chip_h", "chip_w")), "product")
+    return sized.mapInPandas(emit_chips, CHIP_SCHEMA)
 
 
 def read_errors(spark: SparkSession, root: str) -> DataFrame:

@@ -146,6 +146,25 @@ def test_partial_255_stays_a_grade(spark):
     assert got[(0, 0)] == (0, 1, 0) and got[(1, 3)] == (7, 0, 1) and got[(0, 3)] == (1, 0, 1)
 
 
+def test_wafers_from_a_folder(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    gray = rng.choice(C.GRADE_GRAYS, size=(6, 8)).astype(int)
+    gray[0:3, 2:4] = 255
+    gray[3, 0] = 0
+    root = tmp_path / "raw"
+    write_png(root / "p" / "a.png", gray, 0)
+    write_png(root / "q" / "b.png", np.dstack([gray, np.full((6, 8), 255)]), 4)
+    geo = spark.createDataFrame([(p, 3, 2, 2, 4, 0, "full_grid_from_png") for p in ("p", "q")],
+                                "product string, chip_h int, chip_w int, rows int, cols int, net_die int, mask_strategy string")
+    direct = images.read_wafers(spark, str(root), geo, "s")
+    raw = png.read_gray(spark, str(root)).withColumns({"product": F.element_at(F.split("path", "/"), -2), "sample_id": F.col("path")})
+    joined = images.assemble(raw, geo)
+    cols = ["product", "y", "x", "severity", "stby", "valid", "in_wafer", "wafer_extent", "d2"]
+    a, b = (sorted(map(tuple, d.select(*cols).collect())) for d in (direct, joined))
+    assert a == b and len(a) == 96 and sum(r[4] for r in a) >= 12
+    assert direct.select("sample_id").distinct().count() == 2
+
+
 def test_manifest_and_geometry_documents(spark, tmp_path):
     sample = "product_0123456789_w0123456789"
     doc = spark.createDataFrame([(sample, C.SOURCE_PNG, "a.png", True, True)], "sample_id string, source_type string, png_path string, pseudonymized boolean, allow_geometry_inference boolean")
