@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siliscope import constants as C
 from siliscope.functions import columns as fc
+from siliscope.operators import chipsize
+from siliscope.operators import components as cmp
 from siliscope.operators import features as ft
 from siliscope.operators import geometry as gm
 from siliscope.operators import models as md
@@ -21,6 +23,7 @@ from siliscope.plans.registry import part, query
 from siliscope.plans.search_queries import K, rounded9, staged_once, wafer_features, wafer_neighbors, wafer_signatures
 from siliscope.operators import pooling as pl
 from siliscope.operators import regions as rg
+from siliscope.sources import arrays
 
 
 def points(spark, sf):
@@ -358,3 +361,70 @@ def _(spark, sf):
 @query("a38_rule_scores")
 def _(spark, sf):
     return rounded(px_scores.rule_scores(polar(spark, sf), 24, 24, 3, 8))
+
+
+# ---- archives, text rows, inference and the remaining windows
+def packed(spark, sf, damage=False):
+    px = demo.pixels(spark, sf).select("sample_id", "w", "y", "x", "severity", "in_wafer", "valid", "stby", "height", "width")
+    if damage:
+        here = (F.col("y") == 3) & (F.col("x") == 3)
+        px = px.withColumns({"severity": F.when((F.col("w") % 3 == 1) & here, 9).otherwise(F.col("severity")),
+                             "stby": F.when((F.col("w") % 4 == 2) & here, 2).otherwise(F.col("stby"))})
+    blocks = F.struct(F.lit(4).alias("width"), F.lit(4).alias("height")).alias("chip_blocks")
+    return arrays.pack_archives(px.drop("w")).select("sample_id", "content", blocks)
+
+
+@query("s02_archive_round_trip", "SELECT sample_id, y, x, severity, in_wafer, valid, stby, chip_id, d2, wafer_extent FROM cpid", ("cpid",))
+def _(spark, sf):
+    return arrays.read_pixels(packed(spark, sf)).select("sample_id", "y", "x", "severity", "in_wafer", "valid", "stby", "chip_id", "d2", "wafer_extent")
+
+
+@query("s03_archive_errors", """SELECT DISTINCT sample_id, 'severity must be in grade range 0..7' AS error FROM px WHERE w%3=1 UNION ALL SELECT DISTINCT sample_id, 'stby_mask must be binary' FROM px WHERE w%4=2""", ("px",))
+def _(spark, sf):
+    return arrays.read_errors(packed(spark, sf, damage=True)).select("sample_id", F.explode("errors").alias("error"))
+
+
+@query("s11_csv_rows", "SELECT o_orderkey, o_orderstatus, o_orderkey%7 AS slot FROM orders WHERE o_orderkey%5=0")
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    text = F.to_csv(F.struct("o_orderkey", "o_orderstatus", (k % 7).alias("slot"), F.when(k % 5 == 0, "val").otherwise("train").alias("split")))
+    parsed = F.from_csv(text, "o_orderkey long, o_orderstatus string, slot long, split string", {"mode": "FAILFAST"})
+    return demo.table(spark, sf, "orders").select(parsed.alias("r")).select("r.*").filter("split = 'val'").drop("split")
+
+
+@query("v08_inferred_chip_size")
+def _(spark, sf):
+    from siliscope.plans.review_queries import gray_pixels
+    return chipsize.infer_chip_size(gray_pixels(spark, sf))
+
+
+@query("w01_ranked_neighbors", "SELECT query_id, string_agg(neighbor_id, ',' ORDER BY rank) AS neighbors FROM nn GROUP BY 1", ("nn",))
+def _(spark, sf):
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "neighbor_id")))
+    return wafer_neighbors(spark, sf).groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda s: s["neighbor_id"]), ",").alias("neighbors"))
+
+
+@query("w04_cumulative_minimum", "SELECT lot_id, cy, cx, round(min(p_value) OVER (PARTITION BY lot_id ORDER BY round(p_value,12) DESC, cy DESC, cx DESC ROWS UNBOUNDED PRECEDING),9) AS lowest FROM hscell", ("hscell",))
+def _(spark, sf):
+    from siliscope.plans.map_queries import lot_cells
+    w = Window.partitionBy("lot_id").orderBy(F.round("p_value", 12).desc(), F.col("cy").desc(), F.col("cx").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return lot_cells(spark, sf).select("lot_id", "cy", "cx", F.round(F.min("p_value").over(w), 9).alias("lowest"))
+
+
+@query("w05_circular_gaps", "SELECT sample_id, region, CASE WHEN count(*)<=1 THEN 0.0 ELSE round(1.0-max(gap),9) END AS span FROM (SELECT *, coalesce(lead(theta) OVER (PARTITION BY sample_id,region ORDER BY theta), min(theta) OVER (PARTITION BY sample_id,region)+1.0)-theta AS gap FROM regions) GROUP BY 1,2", ("regions",))
+def _(spark, sf):
+    chips = gm.by_wafer(gm.chips(demo.pixels(spark, sf), gm.Geometry(**demo.GEOMETRY)))
+    hot = cmp.hot_chip_regions(gm.with_chip_polar(chips, "n_valid"))
+    return hot.groupBy("sample_id", "region").agg(F.round(cmp.circular_span(F.collect_list("theta")), 9).alias("span"))
+
+
+@query("w07_running_ids", "SELECT sample_id, chip_row, chip_col, row_number() OVER (PARTITION BY sample_id ORDER BY chip_row, chip_col) AS chip_no FROM chips WHERE n_wafer>0", ("chips",))
+def _(spark, sf):
+    chips = gm.chips(demo.pixels(spark, sf), gm.Geometry(**demo.GEOMETRY)).filter("n_wafer > 0")
+    return chips.select("sample_id", "chip_row", "chip_col", F.row_number().over(Window.partitionBy("sample_id").orderBy("chip_row", "chip_col")).alias("chip_no"))
+
+
+@query("l03_first_after_suppression", "SELECT sample_id, class_name, place, gy, gx FROM wins WHERE place<=2", ("wins",))
+def _(spark, sf):
+    from siliscope.plans.map_queries import windows
+    return windows(spark, sf).filter("place <= 2").select("sample_id", "class_name", "place", "gy", "gx")

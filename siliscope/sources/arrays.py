@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import io
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,22 +153,39 @@ def read_errors(files: DataFrame, allow_missing: bool = False) -> DataFrame:
     return _entries(files, allow_missing).mapInPandas(check, ERROR_SCHEMA)
 
 
-def write_archives(pixels: DataFrame, folder: str) -> DataFrame:
-    """Write one compressed archive per wafer into a shared folder; returns the paths. One group is one wafer."""
-    def save(pdf: pd.DataFrame) -> pd.DataFrame:
-        import os
-        h, w = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
-        out = {}
-        for name, column in (("severity", "severity"), ("wafer_mask", "in_wafer"), ("valid_test_mask", "valid"), ("stby_mask", "stby"), ("chip_index", "chip_id")):
+def archive_bytes(pdf: pd.DataFrame) -> bytes:
+    """Compressed archive of the pixel rows of one wafer."""
+    h, w = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
+    out = {}
+    for name, column in (("severity", "severity"), ("wafer_mask", "in_wafer"), ("valid_test_mask", "valid"), ("stby_mask", "stby"), ("chip_index", "chip_id")):
+        if column in pdf:
             grid = np.zeros((h, w), dtype=np.int32)
             grid[pdf["y"], pdf["x"]] = pdf[column]
             out[name] = grid
-        sample = str(pdf["sample_id"].iloc[0])
-        os.makedirs(f"{folder}/{sample}", exist_ok=True)
-        path = f"{folder}/{sample}/arrays.npz"
-        # a lost task is run again: write aside, then move into place
-        with open(path + ".part", "wb") as handle:
-            np.savez_compressed(handle, **out)
-        os.replace(path + ".part", path)
-        return pd.DataFrame({"sample_id": [sample], "path": [path]})
-    return pixels.groupBy("sample_id").applyInPandas(save, "sample_id string, path string")
+    buffer = io.BytesIO()
+    np.savez_compressed(buffer, **out)
+    return buffer.getvalue()
+
+
+def pack_archives(pixels: DataFrame) -> DataFrame:
+    """(sample_id, content): one archive per wafer as a table. One group is one wafer."""
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"sample_id": [str(pdf["sample_id"].iloc[0])], "content": [archive_bytes(pdf)]})
+    return pixels.groupBy("sample_id").applyInPandas(pack, "sample_id string, content binary")
+
+
+def write_archives(pixels: DataFrame, folder: str) -> DataFrame:
+    """Write one archive file per wafer below a shared mounted folder; returns the paths."""
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            paths = []
+            for row in pdf.itertuples(index=False):
+                os.makedirs(f"{folder}/{row.sample_id}", exist_ok=True)
+                path = f"{folder}/{row.sample_id}/arrays.npz"
+                # a lost task is run again: write aside, then move into place
+                with open(path + ".part", "wb") as handle:
+                    handle.write(bytes(row.content))
+                os.replace(path + ".part", path)
+                paths.append(path)
+            yield pd.DataFrame({"sample_id": pdf["sample_id"], "path": paths})
+    return pack_archives(pixels).mapInPandas(save, "sample_id string, path string")
