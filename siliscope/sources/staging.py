@@ -27,13 +27,13 @@ def stage(df: DataFrame) -> DataFrame:
 def stage_by(df: DataFrame, *keys: str) -> DataFrame:
     """Stage a table hash-partitioned by its keys, so that later grouping and joining on them needs no shuffle.
 
-    A plan run adaptively does not pass its partitioning on to the staged table, so this one aggregate-and-repartition
-    job runs with a fixed plan.
+    The table is staged adaptively first, which settles how many partitions its size needs. A plan run adaptively does
+    not pass its partitioning on to the staged table, so the placing by key then runs with a fixed plan of that width.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    sized = stage(df.repartition(*keys))
+    placed = sized.repartition(max(1, sized.rdd.getNumPartitions()), *keys)
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    placed = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
     try:
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         return placed.checkpoint(eager=True)
