@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siliscope.llm import bpe, budget_mix, topk, warc
-from siliscope.llm.common import table
+from siliscope.llm import bpe, budget_mix, credential_links, merkle, site_quality, topk, toxicity, warc
+from siliscope.llm.common import crc_remainder, table
 from siliscope.sources.staging import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,40 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix.mix(reviews_of(table(spark, sf_dir, "documents"))).select(
         F.col("review_case_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reviews = reviews_of(table(spark, sf_dir, "documents")).select("review_case_id", "safe_comment")
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "review_case_id")
+    model = toxicity.fit(reviews, toxicity.learning_fold(labels))
+    scored = toxicity.score(reviews, model).drop("safe_comment")
+    return scored.select(F.col("review_case_id").alias("doc_id"),
+                         F.coalesce(crc_remainder("review_case_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op4_credential_links")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credential_links.find(reviews_of(table(spark, sf_dir, "documents")))
+    base, spans = F.col("base_spans"), F.col("spans")
+    return found.select(
+        F.col("review_case_id").alias("doc_id"), *[credential_links.count_of(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(credential_links.listed(base).cast("binary"), 256).alias("base_sha256"), credential_links.listed(spans).alias("spans"))
+
+
+@query("op6_merkle_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), F.col("text").alias("safe_comment"))
+    return merkle.edit_report(reports).withColumnRenamed("line_no", "doc_id")
+
+
+@query("op7_site_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reviews = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("review_case_id"), F.col("text").alias("safe_comment"), F.col("source").alias("product"),
+        F.col("lang").alias("folder"))
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "review_case_id")
+    scored = site_quality.classify(reviews, toxicity.learning_fold(labels))
+    return scored.select(F.col("review_case_id").alias("doc_id"),
+                         F.coalesce(crc_remainder("review_case_id", 3) == 1, F.lit(False)).alias("held_out"),
+                         "evidence", "product_rate", "folder_rate", "score", "predicted")
