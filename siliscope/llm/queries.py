@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siliscope.llm import bpe, budget_mix, credential_links, merkle, site_quality, topk, toxicity, warc
+from siliscope.llm import bpe, budget_mix, credential_links, merkle, ngram_join, site_quality, topk, toxicity, warc
 from siliscope.llm.common import crc_remainder, table
 from siliscope.sources.staging import ensure_checkpoint_dir
 
@@ -119,3 +119,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("review_case_id").alias("doc_id"),
                          F.coalesce(crc_remainder("review_case_id", 3) == 1, F.lit(False)).alias("held_out"),
                          "evidence", "product_rate", "folder_rate", "score", "predicted")
+
+
+@query("op8_ngram_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(reviews_of(table(spark, sf_dir, "documents"))).withColumnRenamed("review_case_id", "doc_id")
