@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siliscope.llm import bpe, budget_mix, credential_links, merkle, ngram_join, site_quality, topk, toxicity, warc
+from siliscope.llm import bpe, budget_mix, credential_links, merkle, ngram_join, recurrent_lm, site_quality, topk, toxicity, warc
 from siliscope.llm.common import crc_remainder, table
 from siliscope.sources.staging import ensure_checkpoint_dir
 
@@ -124,3 +124,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_ngram_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(reviews_of(table(spark, sf_dir, "documents"))).withColumnRenamed("review_case_id", "doc_id")
+
+
+@query("op5_recurrent_lm")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score(reviews_of(table(spark, sf_dir, "documents"))).withColumnRenamed("review_case_id", "doc_id")
