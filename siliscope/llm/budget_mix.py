@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siliscope.llm.common import WORD, text_of
@@ -101,6 +101,11 @@ def _knapsack(sizes: np.ndarray, left: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
+def words_of(comment: str) -> Column:
+    """Length of a comment in words; a missing one has none."""
+    return F.regexp_count(text_of(comment), F.lit(WORD)).cast("long")
+
+
 def mix(reviews: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17,
         review_case_id: str = "review_case_id", group: str = "product", comment: str = "safe_comment") -> DataFrame:
     """Words to take of every comment so that the groups meet their target weights.
@@ -113,7 +118,7 @@ def mix(reviews: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     # staged: hash ranks of equal rows must not be dealt anew when a task is repeated
     rows = stage(reviews.select(
         F.col(review_case_id).alias("id"), F.col(group).cast("string").alias("grp"),
-        F.regexp_count(text_of(comment), F.lit(WORD)).cast("long").alias("size"),
+        words_of(comment).alias("size"),
         F.xxhash64(F.lit(seed), F.col(review_case_id), F.col(group)).alias("h")))
     hist = stage(rows.groupBy("grp", "size").agg(F.count(F.lit(1)).alias("n")))
     totals = {r.grp: int(r.total) for r in hist.groupBy("grp").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect()}
