@@ -77,7 +77,7 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarr
 
 def _knapsack(sizes: np.ndarray, left: np.ndarray, budget: int) -> np.ndarray:
     """Bounded knapsack: the largest reachable sum within the budget or, if nearer, the smallest one beyond it."""
-    most = budget + int(sizes[left > 0].min(initial=0))
+    most = budget + (int(sizes[left > 0].min()) if (left > 0).any() else 0)
     via = np.full(most + 1, -1, np.int64)  # the length by which a sum was first reached
     via[0] = len(sizes)
     used = np.zeros(most + 1, np.int64)
