@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,52 +28,81 @@ from pyspark.sql import functions as F
 from siliscope.llm.common import runs, tasks, text_of
 from siliscope.llm.graph import connected
 from siliscope.llm.shingles import text_sets
-from siliscope.sources.staging import stage
+from siliscope.sources.staging import release, stage
 
 FIRST_SHARE = 0.2  # of a set, in the first thinning
 TREE_SETS = 128  # sets per prefix tree
 BLOCK_SETS = 512  # sets per block where pairs are listed
 STRIDE = 32  # n-grams between two looks at the bound
-
-
-def _ceil_share(n, percent: int):
-    """ceil(percent / 100 * n) in whole numbers."""
-    return -((-percent * n) // 100)
+#: bits of the table that thins the second reading of the texts; 8 MB whatever the input, and only a help: where it is full
+#: everything passes and the exact join behind it does all the work
+TABLE_BITS = 1 << 26
 
 
 def _digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _described(width: int, percent: int, first: bool):
-    """Rows of id, size and digest of each comment; with ``first``, the first fifth of the set and how much of it must be shared."""
+def _described(width: int):
+    """Rows of id, size and digest of each comment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(len(s), _digest(s) if len(s) else None) for s in text_sets(batch.column("text"), width)]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n": pa.array([n for n, _ in sets], pa.int32()),
+                                              "digest": pa.array([d for _, d in sets], pa.binary())})
+
+    return run
+
+
+def _head(n: int, percent: int) -> tuple[int, int]:
+    """How many n-grams of a set are looked at first, and how many of them a set that links to it must share."""
+    first = min(n, int(FIRST_SHARE * n) + 1)
+    return first, max(1, first - (100 - percent) * n // 100)
+
+
+def _heads(width: int, percent: int, table=None):
+    """Rows of digest and first n-grams; with a table of bits, of comments that have enough n-grams with a bit, and only those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, heads, needs = [], [], [], []
+            digests, heads = [], []
             for grams in text_sets(batch.column("text"), width):
-                n = len(grams)
-                sizes.append(n)
-                digests.append(_digest(grams) if n else None)
-                if first:
-                    a = min(n, int(FIRST_SHARE * n) + 1)
-                    heads.append(grams[:a].view(np.int64))
-                    needs.append(max(1, a - (100 - percent) * n // 100))
-            columns = {"id": batch.column("id"), "n": pa.array(sizes, pa.int32()), "digest": pa.array(digests, pa.binary())}
-            if first:
-                columns |= {"need": pa.array(needs, pa.int32()), "head": pa.array(heads, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_pydict(columns)
+                if not len(grams):
+                    continue
+                first, need = _head(len(grams), percent)
+                head = grams[:first]
+                if table is not None:
+                    place = (head & np.uint64(TABLE_BITS - 1)).astype(np.int64)
+                    head = head[(table.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1]
+                    if len(head) < need:
+                        continue
+                digests.append(_digest(grams))
+                heads.append(head.view(np.int64))
+            yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "head": pa.array(heads, pa.list_(pa.int64()))})
 
     return run
 
 
+def _bit_table(grams: DataFrame) -> np.ndarray:
+    """A bit for every n-gram at its last digits; at most TABLE_BITS / 64 words reach the driver."""
+    place = F.col("gram").bitwiseAND(F.lit(TABLE_BITS - 1))
+    words = grams.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(gram & 63 AS int))").alias("b")).groupBy("w").agg(
+        F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(TABLE_BITS >> 6, np.uint64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return table
+
+
 def _whole(width: int):
+    """The whole sets of comments, each under the number of its digest; a comment whose set is another one is left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(text_sets(batch.column("text"), width))
+            rows = [(d, s) for d, want, s in zip(batch.column("d").to_pylist(), batch.column("digest").to_pylist(),
+                                                 text_sets(batch.column("text"), width)) if len(s) and _digest(s) == want]
             yield pa.RecordBatch.from_pydict({
-                "digest": pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
-                "n": pa.array([len(s) for s in sets], pa.int32()), "grams": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+                "id": pa.array([d for d, _ in rows], pa.int64()), "grams": pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))})
 
     return run
 
@@ -172,20 +200,40 @@ def _settled(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _feasible(percent: int):
-    """Pairs of one block pair of an n-gram's sets that are of different components and may still reach the bound."""
+    """Rows sorted by n-gram, block pair and side. The pairs of a block pair that may still reach the bound, of different components.
+
+    A pair is listed at its first common n-gram if anywhere: there nothing before adds to the overlap.
+    """
     whole = 100 + percent
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        left, right = part[part["side"] == 0], part[part["side"] == 1]
-        col = lambda side, c: side[c].to_numpy()
-        total = col(left, "n")[:, None].astype(np.int64) + col(right, "n")[None, :]
-        need = -((-percent * total) // whole)
-        rest = np.minimum((col(left, "s") - col(left, "pos"))[:, None], (col(right, "s") - col(right, "pos"))[None, :])
-        before = np.minimum(col(left, "pos")[:, None], col(right, "pos")[None, :])
-        fit = (before + rest >= need) & (col(left, "component")[:, None] != col(right, "component")[None, :])
-        x, y = np.nonzero(fit)
-        a, b = col(left, "id")[x], col(right, "id")[y]
-        return pd.DataFrame({"pivot": np.minimum(a, b), "id": np.maximum(a, b)}).drop_duplicates()
+    def pairs(c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        left, right = (c[2] == 0, c[2] == 1) if c[0][0] != c[1][0] else (slice(None), slice(None))
+        total = c[4][left][:, None] + c[4][right][None, :]
+        rest = c[5] - c[6]
+        fit = np.minimum(rest[left][:, None], rest[right][None, :]) * whole >= percent * total
+        x, y = np.nonzero(fit & (c[7][left][:, None] != c[7][right][None, :]))
+        a, b = c[3][left][x], c[3][right][y]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        names = ("i", "j", "side", "id", "n", "s", "pos", "component", "gram")
+
+        def flush(columns, cuts):
+            found = [pairs([x[lo:hi] for x in columns]) for lo, hi in cuts if hi - lo > 1]
+            if found:
+                yield pa.RecordBatch.from_pydict({"pivot": np.concatenate([f[0] for f in found]), "id": np.concatenate([f[1] for f in found])})
+
+        for batch in batches:
+            now = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+            columns = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            cuts = list(runs(columns[8], columns[0], columns[1]))
+            if not cuts:
+                continue
+            yield from flush(columns, cuts[:-1])
+            held = [x[cuts[-1][0]:] for x in columns]  # the last block pair may go on in the next batch
+        if held is not None:
+            yield from flush(held, [(0, len(held[0]))])
 
     return run
 
@@ -197,30 +245,31 @@ def join(reviews: DataFrame, percent: int = 85, width: int = 4, review_case_id:
     Returns the id, ``n_shingles`` and ``component_id``, the smallest id reachable over links, itself included, one row per input
     row. Ids are whole numbers; a null id takes part as the largest of all. Empty and missing comments are linked with nothing
     and are components of their own. Rows that repeat an id are one node of the links; such a row shows its own set's size and the
-    id's component. Texts are read three times and shuffled once, cut down to those that may have a partner.
+    id's component. Texts are read four times and shuffled once, on the way to
+    those that may have a partner.
     """
     none = 2 ** 63 - 1
     texts = reviews.select(F.coalesce(F.col(review_case_id).cast("long"), F.lit(none)).alias("id"), text_of(comment).alias("text"))
-    slim = stage(texts.mapInArrow(_described(width, percent, False), "id long, n int, digest binary"))
-    same = slim.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    heads = texts.mapInArrow(_described(width, percent, True), "id long, n int, digest binary, need int, head array<long>")
+    slim = stage(texts.mapInArrow(_described(width), "id long, n int, digest binary"))
+    kinds = slim.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")).withColumn(
+        "d", F.xxhash64("digest"))  # a set goes by the number d from here on
     # equal sets repeat the same rows: an n-gram counts as shared when sets of two digests have it
-    first = heads.filter("n > 0").select(F.xxhash64("digest").alias("d"), "need", F.explode("head").alias("gram"))
-    shared = first.groupBy("gram").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select("gram")
-    held = first.join(shared, "gram").groupBy("d", "need").agg(F.count(F.lit(1)).alias("hits"))
-    copies = slim.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn(
-        "d", F.xxhash64("digest"))
-    left = held.join(copies, "d").filter("hits >= need * copies").select("d", "id")
-    # whole sets of what is left, each of one comment that has it; from here on a set goes by the hash of its digest
-    ids = stage(left)
-    again = texts.join(ids.select("id").distinct(), "id").mapInArrow(_whole(width), "digest binary, n int, grams array<long>")
-    sets = stage(again.filter("n > 0").withColumn("id", F.xxhash64("digest")).drop("digest").join(
-        ids.select(F.col("d").alias("id")), "id", "left_semi").dropDuplicates(["id"]))
-    rows = sets.select("id", "n", F.explode("grams").alias("gram"))
+    head_rows = lambda table=None: texts.mapInArrow(_heads(width, percent, table), "digest binary, head array<long>").select(
+        F.xxhash64("digest").alias("d"), F.explode("head").alias("gram"))
+    shared = stage(head_rows().groupBy("gram").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select("gram"))
+    table = reviews.sparkSession.sparkContext.broadcast(_bit_table(shared))
+    held = head_rows(table).join(shared, "gram").groupBy("d").agg(F.count(F.lit(1)).alias("hits"))
+    first = F.least(F.col("n"), F.floor(F.col("n") * F.lit(FIRST_SHARE)).cast("int") + 1)
+    need = F.greatest(F.lit(1), first - F.floor(F.col("n") * (100 - percent) / 100).cast("int"))
+    ids = stage(held.join(kinds, "d").filter(F.col("hits") >= need * F.col("copies")).select("d", "id", "digest", "n"))
+    # the whole set of one comment for each set that is left; rows that repeat that comment do no harm below
+    sets = stage(texts.join(ids.select("d", "id", "digest"), "id").mapInArrow(_whole(width), "id long, grams array<long>"))
+    rows = sets.select("id", F.explode("grams").alias("gram"))
     counts = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ordered = rows.join(counts, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g")).select(
-        "id", "n", F.col("g.gram").alias("grams"), F.size("g").alias("s"))
-    trees = stage(ordered.filter(F.col("s") * 100 >= F.col("n") * percent))
+    ordered = rows.join(counts, "gram").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("df", "gram"))).alias("g")).select(
+        "id", F.col("g.gram").alias("grams"), F.size("g").alias("s"))
+    trees = stage(ordered.join(ids.select(F.col("d").alias("id"), "n"), "id").filter(F.col("s") * 100 >= F.col("n") * percent))
+    release(shared, sets)
     # the part of each set that a linked set must share one n-gram of
     part = F.col("s") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     prefix = stage(trees.select("id", "n", "s", F.posexplode(F.slice("grams", F.lit(1), part)).alias("pos", "gram")))
@@ -235,16 +284,17 @@ def join(reviews: DataFrame, percent: int = 85, width: int = 4, review_case_id:
     mixed = labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).filter(
         "lo <> hi").select("gram", F.ceil(F.col("c") / BLOCK_SETS).cast("int").alias("blocks"))
     open_rows = labelled.join(mixed, "gram").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # block i meets every block j >= i: a row is on the left of its own block's pairs and on the right of those before it
-    sides = open_rows.withColumn("pair", F.explode(F.concat(
-        F.transform(F.sequence(F.col("block"), F.col("blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("side"))),
-        F.transform(F.sequence(F.lit(0), F.col("block")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))))))
-    more = sides.select("gram", "pair.*", "id", "n", "s", "pos", "component").groupBy("gram", "i", "j").applyInPandas(
-        _feasible(percent), "pivot long, id long").distinct()
+    # block i meets every block j >= i: a row is on the left of its own block's pairs and on the right of earlier blocks' pairs
+    b = F.col("block")
+    sides = open_rows.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
+        F.least(x, b).alias("i"), F.greatest(x, b).alias("j"), F.when(x < b, 1).otherwise(0).alias("side")))))
+    placed = sides.select("gram", "pair.*", "id", "n", "s", "pos", "component").repartition(tasks(reviews), "gram", "i", "j")
+    more = placed.sortWithinPartitions("gram", "i", "j").mapInArrow(_feasible(percent), "pivot long, id long").distinct()
     late = _settled(stage(more.join(pairs, ["pivot", "id"], "left_anti")), nodes, percent)
     # back to comments: the smallest id of each set; equal sets are linked without a comparison
     of = lambda c: ids.select(F.col("d").alias(c), F.col("id").alias(f"{c}_id"))
     found = links.unionByName(late).join(of("a"), "a").join(of("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    same = kinds.select("digest", F.col("id").alias("rep"))
     equal = slim.join(same, "digest").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     final = connected(found.unionByName(equal))
     return slim.join(final.withColumnRenamed("node", "id"), "id", "left").select(
