@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siliscope.llm import bpe, budget_mix, credential_links, merkle, ngram_join, recurrent_lm, site_quality, topk, toxicity, warc
 from siliscope.llm.common import crc_remainder, table
-from siliscope.sources.staging import ensure_checkpoint_dir
+from siliscope.sources.staging import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,8 +71,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
            CASE WHEN page_id > first_id THEN first_id END AS refers_to
     FROM p LEFT JOIN r ON d = payload_digest AND payload_bytes >= 100""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "archives")
     warc.write_archives(warc.captures_of(table(spark, sf_dir, "pages")), folder)
     return warc.read_captures(spark, folder, payload=False).select(
         "page_id", "response.payload_bytes", "response.payload_digest", "response.record_type", "response.refers_to")
