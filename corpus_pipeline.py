@@ -9,7 +9,6 @@ else are copies of one document: the near-copy stage keeps one. An empty table g
 """
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from siliscope.llm import bpe, budget_mix, credential_links, ngram_join, toxicity
 from siliscope.llm.common import table
 from siliscope.llm.queries import reviews_of, tokenizer_path
-from siliscope.sources.staging import ensure_checkpoint_dir, stage
+from siliscope.sources.staging import shared_folder, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -77,7 +76,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over documents; what each returns is written to the session's shared folder and read back."""
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "pipeline")
 
     def apply(docs: DataFrame, numbered) -> DataFrame:
         k, (_, stage_of) = numbered
