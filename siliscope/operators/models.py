@@ -4,11 +4,11 @@ Weights and other small fixed-size results live on the driver between steps; the
 """
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -35,16 +35,71 @@ def pca_embedding(vectors: DataFrame, k: int) -> DataFrame:
     return coords.select("id", search.unit_vector(F.col("coords")).alias("vec"))
 
 
+def kmeans_spaces(points: DataFrame, k: int, seed: int, iterations: int = 80) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """Cluster every space of (space, id, vec) on its own, all in the same passes: (space, id, cluster_id, distance), the centres.
+
+    A space of fewer than k rows gets as many clusters as rows. Starts and replacements of empty clusters come from a
+    small pool per space, drawn by a keyed hash; a pass ends with sums per space and cluster, whatever the number of rows.
+    """
+    draw = F.xxhash64(F.lit(seed), "space", "id")
+    place = F.row_number().over(Window.partitionBy("space").orderBy(draw, "id"))
+    pool: dict[str, list] = {}
+    for r in points.withColumn("place", place).filter(F.col("place") <= 4 * k).orderBy("space", "place").collect():  # 4k rows per space
+        pool.setdefault(r["space"], []).append(np.array(r["vec"], dtype=float))
+    centers = {s: np.stack(rows[:k]) for s, rows in pool.items()}
+    spaces = sorted(centers)
+    at, pos = {}, 0
+    for s in spaces:
+        at[s] = pos
+        pos += centers[s].shape[0] * (centers[s].shape[1] + 1)
+    size = pos
+
+    for turn in range(iterations):
+        now = centers
+
+        def sums(pdf: pd.DataFrame, now=now) -> np.ndarray:
+            out = np.zeros(size)
+            for s, rows in pdf.groupby("space"):
+                x, c = np.stack(rows["vec"]), now[s]
+                label = _nearest_center(x, c)[0]
+                part = out[at[s]:at[s] + c.shape[0] * (c.shape[1] + 1)].reshape(c.shape[0], -1)
+                np.add.at(part[:, 1:], label, x)
+                part[:, 0] += np.bincount(label, minlength=len(c))
+            return out
+
+        total = _tree_sum(points.select("space", "vec"), sums)
+        moved = {}
+        for s in spaces:
+            c = now[s]
+            part = total[at[s]:at[s] + c.shape[0] * (c.shape[1] + 1)].reshape(c.shape[0], -1)
+            fresh = np.stack([pool[s][(turn * 7 + i + k) % len(pool[s])] for i in range(len(c))])
+            moved[s] = np.where(part[:, :1] > 0, part[:, 1:] / np.maximum(part[:, :1], 1), fresh)
+        settled = all(np.abs(moved[s] - now[s]).max() <= 1e-12 for s in spaces)
+        centers = moved
+        if settled:
+            break
+    final = centers
+
+    def assign(batches):
+        for pdf in batches:
+            for s, rows in pdf.groupby("space"):
+                label, distance = _nearest_center(np.stack(rows["vec"]), final[s])
+                yield pd.DataFrame({"space": s, "id": rows["id"].to_numpy(), "cluster_id": label.astype(np.int32), "distance": distance})
+
+    id_type = points.schema["id"].dataType.simpleString()
+    return points.select("space", "id", "vec").mapInPandas(assign, f"space string, id {id_type}, cluster_id int, distance double"), final
+
+
+def _nearest_center(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    gaps = np.stack([((x - c) ** 2).sum(1) for c in centers], axis=1)
+    label = gaps.argmin(1)
+    return label, np.sqrt(gaps[np.arange(len(x)), label])
+
+
 def kmeans(points: DataFrame, k: int, seed: int, iterations: int = 80) -> tuple[DataFrame, list[list[float]]]:
     """(id, cluster_id, distance) and the centres."""
-    rows = points.withColumn("features", array_to_vector("vec"))
-    model = KMeans(k=k, initMode="random", maxIter=iterations, seed=seed, featuresCol="features",
-                   predictionCol="cluster_id").fit(rows)
-    centers = [[float(v) for v in c] for c in model.clusterCenters()]
-    table = F.array(*[F.array(*[F.lit(v) for v in c]) for c in centers])
-    gap = F.zip_with("vec", F.element_at(table, F.col("cluster_id") + 1), lambda a, b: (a - b) * (a - b))
-    return model.transform(rows).select("id", "cluster_id", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda acc, v: acc + v))
-                                        .alias("distance")), centers
+    labelled, centers = kmeans_spaces(stage(points.select(F.lit("all").alias("space"), "id", "vec")), k, seed, iterations)
+    return labelled.drop("space"), centers.get("all", np.empty((0, 0))).tolist()
 
 
 def cluster_deviations(points: DataFrame, clusters: DataFrame, names: list[str], top: int = 6) -> DataFrame:
@@ -171,13 +226,8 @@ def stability(points: DataFrame, dim: int, runs: int, clusters: int, k: int, rat
     """Summary row, baseline clusters and run clusters of repeated clustering on perturbed features."""
     points = stage(points)
     every = stage(perturbed(points, runs, dim, rate, noise, seed))
-    baseline = kmeans(points, clusters, seed)[0]
-    labelled = None
-    for run in range(runs):
-        one = kmeans(every.filter(F.col("space") == str(run)), clusters, seed + 1009 + run)[0].select(
-            F.lit(run).alias("run"), "id", "cluster_id")
-        labelled = one if labelled is None else labelled.unionByName(one)
-    labelled, baseline = stage(labelled), stage(baseline)
+    baseline = stage(kmeans(points, clusters, seed)[0])
+    labelled = stage(kmeans_spaces(every, clusters, seed + 1009)[0].select(F.col("space").cast("int").alias("run"), "id", "cluster_id"))
     base_nn = search.nearest(points, points, k, exclude_same_id=True).select("query_id", "neighbor_id")
     run_nn = search.nearest(every, every, k, exclude_same_id=True, staged=True).select("space", "query_id", "neighbor_id")
     both = base_nn.withColumn("shared", F.lit(1))
@@ -237,7 +287,8 @@ def _tree_sum(df: DataFrame, step) -> np.ndarray:
         return pd.DataFrame({"total": [total.tobytes()]})
 
     parts = df.mapInPandas(partial, "total binary")
-    fan = F.pmod(F.spark_partition_id(), F.lit(32)).alias("g")
+    # as many groups as each has members, so both levels grow with the root of the number of partitions
+    fan = F.pmod(F.spark_partition_id(), F.lit(max(1, math.isqrt(df.rdd.getNumPartitions())))).alias("g")
     first = parts.select(fan, "total").groupBy("g").applyInPandas(add, "total binary")
     final = first.groupBy().applyInPandas(add, "total binary")
     return np.frombuffer(final.first()["total"])
@@ -317,15 +368,15 @@ def encode(model: Encoder, rows: DataFrame) -> DataFrame:
 
     @F.pandas_udf("embedding array<double>, logits array<double>, probs array<double>")
     def apply(vec: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"embedding": [None] * len(vec), "logits": [None] * len(vec), "probs": [None] * len(vec)}, dtype=object)
         known = np.flatnonzero(vec.notna().to_numpy())
+        columns = {c: np.empty(len(vec), dtype=object) for c in ("embedding", "logits", "probs")}
         if len(known):
             _, _, z, logits = model.forward(np.stack(vec.iloc[known]))
             e = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
             p = 1.0 / (1.0 + np.exp(-np.clip(logits, -30.0, 30.0)))
-            for i, at_ in enumerate(known):
-                out.at[at_, "embedding"], out.at[at_, "logits"], out.at[at_, "probs"] = e[i], logits[i], p[i]
-        return out
+            for name, values in (("embedding", e), ("logits", logits), ("probs", p)):
+                columns[name][known] = [row for row in values]
+        return pd.DataFrame(columns)
 
     return rows.withColumn("_e", apply("vec")).select("*", "_e.*").drop("_e")
 

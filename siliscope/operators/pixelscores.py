@@ -1,6 +1,7 @@
 """The alternative feature space: grade histogram, profiles along four axes and rule scores on pixel level.
 
-Grades count from 0 (good) here; ``grade_base`` shifts tables whose good pixels have grade 1.
+``grade_base`` is the grade of good pixels, 0 or 1. Severity runs from there to the largest grade; a fail grade is meant on the
+table's own scale.
 """
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siliscope.constants import MAX_GRADE
 from siliscope.functions.columns import bin_index, ratio
 from siliscope.operators.components import label_mask
 from siliscope.operators.pooling import box_mean
@@ -17,8 +19,8 @@ from siliscope.operators.pooling import box_mean
 MIN_AREA = 12
 
 
-def fail_pixels(pixels: DataFrame, grade: int, grade_base: int = 0) -> DataFrame:
-    return pixels.filter((F.col("valid") == 1) & (F.col("severity") >= grade + grade_base)).select("sample_id", "y", "x", "height", "width")
+def fail_pixels(pixels: DataFrame, grade: int) -> DataFrame:
+    return pixels.filter((F.col("valid") == 1) & (F.col("severity") >= grade)).select("sample_id", "y", "x", "height", "width")
 
 
 def labelled_pixels(fails: DataFrame) -> DataFrame:
@@ -52,14 +54,14 @@ def region_table(fails: DataFrame) -> DataFrame:
                        F.sqrt(((vy + vx + root) / 2.0 + 1e-6) / ((vy + vx - root) / 2.0 + 1e-6)).alias("elongation"))
 
 
-def component_scores(pixels: DataFrame, grade: int, grade_base: int = 0) -> DataFrame:
+def component_scores(pixels: DataFrame, grade: int) -> DataFrame:
     """Line, blob, area and count scores of the regions of at least twelve pixels."""
     a, e, p = F.col("area").cast("double"), F.col("elongation"), F.col("perimeter").cast("double")
     one = F.lit(1.0)
     scratch = F.least(one, F.greatest(F.lit(0.0), (e - 2.5) / 12.0)) * F.least(one, a / 600.0)
     compact = F.lit(4.0 * math.pi) * a / F.greatest(p * p, one)
     blob = F.least(one, compact) * F.least(one, a / 500.0) * F.greatest(F.lit(0.0), 1.0 - (e - 1.0) / 6.0)
-    large = region_table(fail_pixels(pixels, grade, grade_base)).filter(F.col("area") >= MIN_AREA)
+    large = region_table(fail_pixels(pixels, grade)).filter(F.col("area") >= MIN_AREA)
     scores = large.groupBy("sample_id").agg(F.max(scratch).alias("scratch_score"), F.max(blob).alias("blob_score"),
                                             F.least(one, F.max(a) / 2500.0).alias("area_score"),
                                             F.least(one, F.count(F.lit(1)) / 30.0).alias("component_count_score"))
@@ -68,7 +70,7 @@ def component_scores(pixels: DataFrame, grade: int, grade_base: int = 0) -> Data
 
 def profile_features(polar: DataFrame, grade_base: int = 0) -> DataFrame:
     """(sample, vec): shares of grades 1..7, then mean severity by radius, angle, column and row bin; empty bins are zero."""
-    sev = (F.col("severity") - grade_base) / 7.0
+    sev = (F.col("severity") - grade_base) / float(MAX_GRADE - grade_base)
     valid = polar.filter(F.col("valid") == 1)
     place = F.array(*[F.struct(F.lit(start).alias("start"), b.alias("b")) for start, b in (
         (7, bin_index(F.col("radius"), 32)), (39, bin_index(F.col("theta"), 36)),
@@ -84,8 +86,8 @@ def profile_features(polar: DataFrame, grade_base: int = 0) -> DataFrame:
 def rule_scores(polar: DataFrame, height: int, width: int, grade: int, half: int, grade_base: int = 0) -> DataFrame:
     """Ten scores in [0, 1]-like ranges: fail rate, severity, edge lift, ring, local, grid and the component scores."""
     valid = F.col("valid") == 1
-    sev = F.when(valid, (F.col("severity") - grade_base) / 7.0).otherwise(0.0)
-    fail = (valid & (F.col("severity") >= grade + grade_base)).cast("int")
+    sev = F.when(valid, (F.col("severity") - grade_base) / float(MAX_GRADE - grade_base)).otherwise(0.0)
+    fail = (valid & (F.col("severity") >= grade)).cast("int")
     rows = polar.withColumns({"sev": sev, "fail": fail, "rr": F.sqrt(F.col("d2").cast("double")) / F.sqrt(F.col("wafer_extent").cast("double"))})
 
     def mean(cond: Column, name: str) -> Column:
@@ -108,7 +110,7 @@ def rule_scores(polar: DataFrame, height: int, width: int, grade: int, half: int
         lines = one if lines is None else lines.join(one, "sample_id")
     dense = box_mean(rows.select("sample_id", F.col("y").alias("gy"), F.col("x").alias("gx"), "fail"), "fail", half, height, width, ["sample_id"])
     dense = dense.groupBy("sample_id").agg(F.max("box_mean").alias("densest"))
-    joined = base.join(ring, "sample_id").join(lines, "sample_id").join(dense, "sample_id").join(component_scores(polar, grade, grade_base), "sample_id")
+    joined = base.join(ring, "sample_id").join(lines, "sample_id").join(dense, "sample_id").join(component_scores(polar, grade), "sample_id")
     return joined.select("sample_id", "fail_rate", "mean_severity", "edge_lift", "ring_score", "scratch_score", "blob_score",
                          clip(F.col("densest") / (F.col("fail_all") + 1e-5) / 28.0).alias("local_score"),
                          clip(F.greatest("sd_y", "sd_x") / (F.col("fail_all") + 1e-5) / 8.0).alias("grid_score"),

@@ -1,7 +1,7 @@
 """Wafer maps on coarse grids: pooled channels, resized tensors, profiles."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siliscope import constants as C
@@ -85,22 +85,25 @@ def semantic_vector(cells: DataFrame, size: int) -> DataFrame:
 
 
 def box_mean(cells: DataFrame, value: str, half: int, rows: int, cols: int, keys: list[str]) -> DataFrame:
-    """Mean over a (2*half+1)-square around every cell, the map mirrored at its borders.
+    """Mean over a (2*half+1)-square around every cell of a full map, mirrored at its borders.
 
-    Every cell is added to the squares it falls into, mirrored copies included, and the sums combine before the shuffle.
+    Sums along rows, then along columns. Only cells near a border get mirrored copies, so no cell is copied for each square it
+    falls into; the square may reach as far as the map's own mirror image.
     """
     side = 2 * half + 1
+    if half > min(rows, cols):
+        raise ValueError("the square reaches beyond the mirrored map")
 
-    def reached(pos: str, length: int) -> Column:
-        # positions whose window covers this one, directly or through a mirror image
+    def along(df: DataFrame, line: str, pos: str, length: int) -> DataFrame:
         p = F.col(pos)
-        images = F.array(p, -p - 1, 2 * length - 1 - p)
-        near = F.flatten(F.transform(images, lambda q: F.sequence(q - half, q + half)))
-        return F.filter(near, lambda t: (t >= 0) & (t < length))
-
-    return (cells.select(*keys, value, F.explode(reached("gy", rows)).alias("gy"), "gx")
-            .select(*keys, value, "gy", F.explode(reached("gx", cols)).alias("gx"))
-            .groupBy(*keys, "gy", "gx").agg((F.sum(value) / float(side * side)).alias("box_mean")))
+        places = F.filter(F.array(p, -p - 1, 2 * length - 1 - p), lambda q: (q >= -half) & (q < length + half))
+        mirrored = df.select(*keys, line, "_v", F.explode(places).alias(pos))
+        near = Window.partitionBy(*keys, line).orderBy(pos).rowsBetween(-half, half)
+        return mirrored.withColumn("_v", F.sum("_v").over(near)).filter((p >= 0) & (p < length))
+
+    own = cells.select(*keys, "gy", "gx", F.col(value).cast("double").alias("_v"))
+    summed = along(along(own, "gy", "gx", cols), "gx", "gy", rows)
+    return summed.select(*keys, "gy", "gx", (F.col("_v") / float(side * side)).alias("box_mean"))
 
 
 def angular_spectrum(profile: DataFrame, bins: int, last: int = 12) -> DataFrame:

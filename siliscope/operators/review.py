@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siliscope import constants as C
 from siliscope.functions.columns import safe_div
+from siliscope.operators.ordering import row_index
 
 ACCEPTED = ("same_family", "partial_match")
 
@@ -174,9 +175,10 @@ def next_actions(reviews: DataFrame) -> DataFrame:
         n.alias("review_rows"), safe_div(F.count_if(_is("missed_major_defect", "yes")), n).alias("missed_rate"),
         F.min_by("query_sample_id", "line_no").alias("example_query_sample_id"),
         F.min_by("neighbor_sample_id", "line_no").alias("example_neighbor_sample_id"), F.min("line_no").alias("first_line"))
-    # groups are combinations of three closed vocabularies
-    order = Window.orderBy(F.col("review_rows").desc(), F.col("missed_rate").desc(), "first_line")
-    return grouped.withColumn("position", F.row_number().over(order)).drop("first_line")
+    # actions are free text, so the groups are numbered without one window over all of them; first lines are unique
+    placed = row_index(grouped.withColumns({"_rows": -F.col("review_rows"), "_missed": -F.col("missed_rate")}),
+                       ["_rows", "_missed", "first_line"], "position")
+    return placed.withColumn("position", (F.col("position") + 1).cast("int")).drop("first_line", "_rows", "_missed")
 
 
 # fixed values: bounds of the pilot

@@ -1,7 +1,7 @@
 """Similar-wafer search: standardising, unit vectors and exact nearest neighbours.
 
-The neighbour search is one distributed join for any size. References are assigned to the nearest of a bounded number of
-pivots; a query first searches its own cell, which bounds its k-th distance, and then only the cells the triangle
+The neighbour search is one plan for any size. References are assigned to the nearest of a bounded number of
+pivots, about one for every CELL_ROWS rows; a query first searches its own cell, which bounds its k-th distance, and then only the cells the triangle
 inequality cannot rule out. Cells are cut into blocks of bounded size that meet pairwise as co-groups, and each block
 pair returns k rows per query, so neither all pairs nor a whole cell ever exist in one place. Equal vectors are searched
 once and keep only the k+1 lowest ids as candidates, which leaves the result unchanged because ties go to the lower id.
@@ -21,7 +21,7 @@ from siliscope.sources.staging import stage
 SIGMA_FLOOR = 1e-6
 TIE_DIGITS = 9          # distances equal to this many digits are ties, the lower id comes first
 BLOCK_ROWS = 2048
-ONE_CELL_ROWS = 4096    # up to here a single cell is searched whole
+CELL_ROWS = 256         # references per pivot
 MAX_PIVOTS = 4096
 PIVOT_BYTES = 64 << 20  # all pivots together, whatever the vector length
 
@@ -94,10 +94,6 @@ def unit_vector(vec: Column) -> Column:
     return F.transform(vec, lambda v: v / F.greatest(vector_norm(vec), F.lit(1e-12)))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-
-
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
@@ -139,24 +135,20 @@ class _Cells:
 
     def __init__(self, refs: DataFrame, spaces: dict[str, int], longest: int):
         afford = max(1, PIVOT_BYTES // (8 * max(longest, 1) * len(spaces)))
-        counts = {s: min(MAX_PIVOTS, afford, max(1, math.ceil(n / 1024))) if n > ONE_CELL_ROWS else 1
-                  for s, n in spaces.items()}
-        wanted = F.element_at(F.create_map(*[F.lit(v) for p in counts.items() for v in p]), F.col("space"))
-        order = Window.partitionBy("space").orderBy(F.xxhash64("id"), "id")
-        most = max(counts.values())
-        chosen = (refs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-                  .filter(F.col("place") <= wanted).select("space", "place", "vec").collect())
+        counts = {s: min(MAX_PIVOTS, afford, max(1, math.ceil(n / CELL_ROWS))) for s, n in spaces.items()}
+        # pivots are the rows with the smallest hashes; a bound on the hash leaves about twice as many, and 64 at least, to choose from
+        share = {s: min(1.0, max(2 * counts[s], 64) / n) for s, n in spaces.items()}
+        bound = F.element_at(F.create_map(*[F.lit(v) for s, x in share.items() for v in (s, int(x * (1 << 40)))]), F.col("space"))
+        draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+        chosen = refs.filter(draw < bound).select("space", draw.alias("draw"), F.col("id").cast("string").alias("name"), "vec").collect()
         self.pivots: dict[str, np.ndarray] = {}
         for s in spaces:
-            rows = sorted((r for r in chosen if r["space"] == s), key=lambda r: r["place"])
-            self.pivots[s] = np.array([r["vec"] for r in rows], dtype=np.float64)
-        self.many = most > 1
+            rows = sorted((r for r in chosen if r["space"] == s), key=lambda r: (r["draw"], r["name"]))
+            self.pivots[s] = np.array([r["vec"] for r in rows[:counts[s]]], dtype=np.float64)
         self.radius: dict[str, np.ndarray] = {}
         self.size: dict[str, np.ndarray] = {}
 
     def assign(self, df: DataFrame) -> DataFrame:
-        if not self.many:
-            return df.withColumns({"cell": F.lit(0), "to_pivot": F.lit(0.0)})
         pivots = self.pivots
 
         @F.pandas_udf("cell int, to_pivot double")
@@ -180,8 +172,6 @@ class _Cells:
 
     def first_cells(self, df: DataFrame, k: int) -> DataFrame:
         """Nearest cells that together hold at least k references."""
-        if not self.many:
-            return df.withColumn("cell", F.lit(0))
         pivots, size = self.pivots, self.size
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -246,11 +236,12 @@ class _Cells:
 
 
 def nearest(queries: DataFrame, references: DataFrame, k: int, exclude_same_id: bool = False,
-            staged: bool = False) -> DataFrame:
+            staged: bool = False, keep_only_row: bool = False) -> DataFrame:
     """Exact k nearest references by Euclidean distance: (space, query_id, rank, neighbor_id, distance).
 
     Both tables hold (id, vec) and optionally ``space``, a key whose rows are searched on their own; vectors of one
-    space have equal length. Rank order is (distance to nine digits, id).
+    space have equal length. Rank order is (distance to nine digits, id). With ``keep_only_row`` a query whose space has
+    no other reference than its own keeps that one.
     """
     if k < 1:
         raise ValueError("k must be a positive integer")
@@ -273,22 +264,18 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, exclude_same_id:
     if not sizes:
         raise ValueError("reference table is empty")
     cells = _Cells(refs_all, {r["space"]: r["n"] for r in sizes}, max(r["d"] for r in sizes))
-    refs = cells.assign(refs)
-    if cells.many:
-        refs = stage(refs)
-        cells.measure(refs)
-    found = cells.block_join(cells.first_cells(ask, depth), refs, depth, id_type)
-    if cells.many:
-        found = stage(_merge(found, depth))
-        bound = found.groupBy("space", "query").agg(
-            F.when(F.count(F.lit(1)) >= depth, F.max("distance")).alias("bound"))
-        more = cells.other_cells(ask.join(bound, ["space", "query"], "left"), depth)
-        found = found.unionByName(cells.block_join(more.drop("bound"), refs, depth, id_type))
+    refs = stage(cells.assign(refs))
+    cells.measure(refs)
+    found = stage(_merge(cells.block_join(cells.first_cells(ask, depth), refs, depth, id_type), depth))
+    bound = found.groupBy("space", "query").agg(F.when(F.count(F.lit(1)) >= depth, F.max("distance")).alias("bound"))
+    more = cells.other_cells(ask.join(bound, ["space", "query"], "left"), depth)
+    found = found.unionByName(cells.block_join(more.drop("bound"), refs, depth, id_type))
     best = _merge(found, depth)
     out = asks.withColumn("query", _digest()).select(
         "space", "query", F.col("id").alias("query_id")).join(best, ["space", "query"])
     if exclude_same_id:
-        out = out.filter(F.col("query_id") != F.col("neighbor_id"))
+        alone = [r["space"] for r in sizes if r["n"] == 1] if keep_only_row else []
+        out = out.filter((F.col("query_id") != F.col("neighbor_id")) | F.col("space").isin(alone))
     rank = Window.partitionBy("space", "query_id").orderBy(F.round("distance", TIE_DIGITS), "neighbor_id")
     return (out.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
             .select("space", "query_id", "rank", "neighbor_id", "distance"))
@@ -327,7 +314,7 @@ def cosine_neighbors(queries: DataFrame, references: DataFrame, k: int, exclude_
         extra = [F.when(zero, F.lit(float(a == zero_axis))).otherwise(F.lit(0.0)) for a in (0, 1)]
         return df.select("id", F.concat(unit_vector(F.col("vec")), F.array(*extra)).alias("vec"))
 
-    found = nearest(lifted(queries, 0), lifted(references, 1), k, exclude_same_id)
+    found = nearest(lifted(queries, 0), lifted(references, 1), k, exclude_same_id, keep_only_row=True)
     return found.select("query_id", "rank", "neighbor_id",
                         (1.0 - F.col("distance") * F.col("distance") / 2.0).alias("similarity"))
 

@@ -28,6 +28,21 @@ def class_auc(values: DataFrame, classes: tuple[str, ...], keys: tuple[str, ...]
     return out.withColumn("auc", F.when(pairs == 0, F.lit(0.5)).otherwise(F.col("wins") / pairs)).drop("wins")
 
 
+def group_auc(values: DataFrame, group: str, keys: tuple[str, ...] = ("feature",)) -> DataFrame:
+    """ROC AUC of a value for each group against all others; ``values`` holds the keys, ``v`` and the group as a column.
+
+    Values are ranked once, whatever the number of groups; a group's wins follow from the ranks of its own values.
+    """
+    own = values.groupBy(*keys, group, "v").agg(F.count(F.lit(1)).alias("p"))
+    ranked = own.join(mid_ranks(values, list(keys)).drop("n"), [*keys, "v"])
+    sums = ranked.groupBy(*keys, group).agg(F.sum("p").alias("positives"), F.sum(F.col("p") * F.col("mid_rank")).alias("ranks"))
+    totals = own.groupBy(*keys).agg(F.sum("p").alias("n"))
+    p, n = F.col("positives"), F.col("n") - F.col("positives")
+    wins = F.col("ranks") - p * (p + 1) / 2.0
+    return sums.join(totals, list(keys)).select(*keys, F.col(group).alias("class_name"), "positives", n.alias("negatives"),
+                                                F.when(p * n == 0, F.lit(0.5)).otherwise(wins / (p * n)).alias("auc"))
+
+
 def mid_ranks(values: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct values per key with the mean rank their rows share."""
     counts = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))

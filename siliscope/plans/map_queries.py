@@ -421,10 +421,8 @@ def _(spark, sf):
 @query("a36_event_auc", """SELECT 'value' AS feature, t AS class_name, p AS positives, n AS negatives, round(auc,9) AS auc FROM (SELECT t, sum(y)::BIGINT p, sum(1-y)::BIGINT n, (sum(CASE WHEN y=1 THEN mr END)-sum(y)*(sum(y)+1)/2.0::DOUBLE)/(sum(y)*sum(1-y)) AS auc
    FROM (SELECT e.event_type, k.t, (e.event_type=k.t)::INT::BIGINT AS y, mr FROM (SELECT event_type, rank() OVER (ORDER BY value)+(count(*) OVER (PARTITION BY value)-1)/2.0::DOUBLE AS mr FROM events) e, (SELECT DISTINCT event_type AS t FROM events) k) GROUP BY 1)""")
 def _(spark, sf):
-    e = demo.table(spark, sf, "events")
-    types = tuple(sorted(r[0] for r in e.select("event_type").distinct().limit(100).collect()))
-    v = e.select(F.lit("value").alias("feature"), F.col("value").alias("v"), *[(F.col("event_type") == t).cast("int").alias(t) for t in types])
-    return rounded9(st.class_auc(v, types))
+    v = demo.table(spark, sf, "events").select(F.lit("value").alias("feature"), F.col("value").alias("v"), "event_type")
+    return rounded9(st.group_auc(v, "event_type"))
 
 
 @query("w06_mid_ranks", "SELECT l_returnflag, v, count(*) AS n, min(r)+(count(*)-1)/2.0::DOUBLE AS mid_rank FROM (SELECT l_returnflag, l_quantity::DOUBLE AS v, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS r FROM lineitem) GROUP BY 1,2")
@@ -564,6 +562,14 @@ def _(spark, sf):
 
 
 @query("a40_repeating_hotspots", """SELECT lot_id, cy, cx, observed, round(q_value,9) AS q_value, (cx*2+1)::INT AS x_pixel, (cy*2+1)::INT AS y_pixel, round(sqrt((cx*2+1-12)**2+(cy*2+1-12)**2),6) AS radius_pixel, round(degrees(atan2(cy*2+1-12, cx*2+1-12)),6) AS theta_deg
+   FROM hsq WHERE observed>=greatest(5,floor(n_lot*0.25)) AND round(lift,9)>=3.0 AND round(q_value,9)<=0.05 ORDER BY round(q_value,12), round(lift,9) DESC, observed_rate DESC, lot_id, cy, cx LIMIT 20""", ("hsq",))
+def _(spark, sf):
+    found = hs.repeating_hotspots(lot_cells(spark, sf), 24, 24, 2, min_count=5, min_lift=3.0, max_q=0.05)
+    return found.select("lot_id", "cy", "cx", "observed", F.round("q_value", 9).alias("q_value"), "x_pixel", "y_pixel",
+                        F.round("radius_pixel", 6).alias("radius_pixel"), F.round("theta_deg", 6).alias("theta_deg"))
+
+
+@query("a40_loose_hotspots", """SELECT lot_id, cy, cx, observed, round(q_value,9) AS q_value, (cx*2+1)::INT AS x_pixel, (cy*2+1)::INT AS y_pixel, round(sqrt((cx*2+1-12)**2+(cy*2+1-12)**2),6) AS radius_pixel, round(degrees(atan2(cy*2+1-12, cx*2+1-12)),6) AS theta_deg
    FROM hsq WHERE observed>=greatest(3,floor(n_lot*0.25)) AND round(lift,9)>=1.5 AND round(q_value,9)<=0.9 ORDER BY round(q_value,12), round(lift,9) DESC, observed_rate DESC, lot_id, cy, cx LIMIT 20""", ("hsq",))
 def _(spark, sf):
     found = hs.repeating_hotspots(lot_cells(spark, sf), 24, 24, 2, min_count=3, min_lift=1.5, max_q=0.9)

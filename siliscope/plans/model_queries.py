@@ -114,24 +114,24 @@ def _(spark, sf):
 
 @query("r13_neighbor_stability")
 def _(spark, sf):
-    return md.stability(points(spark, sf), len(COMPACT), 3, 4, K, seed=17)[0]
+    return md.stability(points(spark, sf), len(COMPACT), 64, 5, K, seed=17)[0]
 
 
 @query("r14_parameter_sweep")
 def _(spark, sf):
     out = None
-    for k in (3, 4):
-        row = md.stability(points(spark, sf), len(COMPACT), 2, k, 3, seed=17 + k * 17)[0].withColumn("clusters", F.lit(k))
+    for k in range(3, 9):
+        row = md.stability(points(spark, sf), len(COMPACT), 40, k, 3, seed=17 + k * 17)[0].withColumn("clusters", F.lit(k))
         out = row if out is None else out.unionByName(row)
     passes = (F.col("same_cluster_mean_coassociation") >= 0.55) & (F.col("coassociation_separation") >= 0.20) & (F.col("mean_neighbor_overlap") >= 0.30)
     order = Window.orderBy(passes.cast("int").desc(), F.col("coassociation_separation").desc(), "clusters")
     return out.withColumn("place", F.row_number().over(order))
 
 
-@query("r14_top_k_sweep", """SELECT k::INT AS k, round(avg(jaccard),9) AS mean_neighbor_label_jaccard, round(avg(jaccard)/greatest((SELECT m FROM chance),1e-9),9) AS lift FROM nnj, (VALUES (1),(3),(5)) v(k) WHERE rank<=k GROUP BY 1""", ("nnj", "chance"))
+@query("r14_top_k_sweep", """SELECT k::INT AS k, round(avg(jaccard),9) AS mean_neighbor_label_jaccard, round(avg(jaccard)/greatest((SELECT m FROM chance),1e-9),9) AS lift FROM nnj10, (VALUES (3),(5),(10)) v(k) WHERE rank<=k GROUP BY 1""", ("nnj10", "chance"))
 def _(spark, sf):
     # one neighbour table at the largest k answers the smaller ones
-    nn = wafer_neighbors(spark, sf).withColumn("k", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5)))).filter(F.col("rank") <= F.col("k"))
+    nn = wafer_neighbors(spark, sf, 10).withColumn("k", F.explode(F.array(F.lit(3), F.lit(5), F.lit(10)))).filter(F.col("rank") <= F.col("k"))
     return rounded9(rt.label_lift(nn, wafer_signatures(spark, sf), by=("k",))).drop("random_pair_label_jaccard")
 
 
@@ -144,7 +144,7 @@ def tensor_rows(spark, sf):
 
 def trained(spark, sf):
     rows = tensor_rows(spark, sf)
-    return md.train_encoder(md.new_encoder(rows, 8, 4, C.REPORT_CLASSES), rows, epochs=4, rate=0.2, pair_weight=0.5, l2=1e-4)
+    return md.train_encoder(md.new_encoder(rows, 32, 16, C.REPORT_CLASSES), rows, epochs=40, rate=0.2, pair_weight=0.5, l2=1e-4)
 
 
 @query("m04_encoder_training")
@@ -212,26 +212,27 @@ def _(spark, sf):
     return t.select("id", *[f"label_{c}" for c in C.REPORT_CLASSES], F.round("embedding_00", 6).alias("embedding_00"))
 
 
-# ---- linear segmentation: two full-batch steps
+# ---- linear segmentation: eight full-batch steps
 CH = ["severity", "any_in_wafer", "any_valid", "any_stby"]
-TG = [f"any_{c}" for c in C.REPORT_CLASSES]
+TG = [f"any_{c}" for c in C.PATTERN_CLASSES]
+NT, STEPS = len(TG), 8
 part("seg", "SELECT sev_all::DOUBLE/(7.0::DOUBLE*area) AS severity, any_in_wafer::DOUBLE AS any_in_wafer, any_valid::DOUBLE AS any_valid, any_stby::DOUBLE AS any_stby, " + ", ".join(f"{t}::DOUBLE AS y{j}" for j, t in enumerate(TG))
      + ", " + ", ".join(f"avg({t}) OVER () AS pv{j}" for j, t in enumerate(TG)) + " FROM pool", ("pool",))
-for _step in range(2):
+for _step in range(STEPS):
     _prev = f"w{_step}"
-    _logit = {j: (f"(SELECT b{j} FROM segw{_step})" + "".join(f"+{ch}*(SELECT w{i}_{j} FROM segw{_step})" for i, ch in enumerate(CH))) for j in range(6)} if _step else {j: "0.0" for j in range(6)}
-    part(f"segp{_step + 1}", "SELECT *, " + ", ".join(f"(1/(1+exp(-({_logit[j]})))-y{j})*CASE WHEN y{j}>0 THEN least((1-greatest(pv{j},1e-6))/greatest(pv{j},1e-6),50.0) ELSE 1.0 END AS g{j}" for j in range(6)) + " FROM seg",
+    _logit = {j: (f"(SELECT b{j} FROM segw{_step})" + "".join(f"+{ch}*(SELECT w{i}_{j} FROM segw{_step})" for i, ch in enumerate(CH))) for j in range(NT)} if _step else {j: "0.0" for j in range(NT)}
+    part(f"segp{_step + 1}", "SELECT *, " + ", ".join(f"(1/(1+exp(-({_logit[j]})))-y{j})*CASE WHEN y{j}>0 THEN least((1-greatest(pv{j},1e-6))/greatest(pv{j},1e-6),50.0) ELSE 1.0 END AS g{j}" for j in range(NT)) + " FROM seg",
          ("seg",) + ((f"segw{_step}",) if _step else ()))
     _old = (lambda n: f"(SELECT {n} FROM segw{_step})") if _step else (lambda n: "0.0")
-    part(f"segw{_step + 1}", "SELECT " + ", ".join([f"{_old(f'b{j}')}-0.5*avg(g{j}) AS b{j}" for j in range(6)] + [f"{_old(f'w{i}_{j}')}-0.5*avg(g{j}*{ch}) AS w{i}_{j}" for j in range(6) for i, ch in enumerate(CH)])
+    part(f"segw{_step + 1}", "SELECT " + ", ".join([f"{_old(f'b{j}')}-0.5*avg(g{j}) AS b{j}" for j in range(NT)] + [f"{_old(f'w{i}_{j}')}-0.5*avg(g{j}*{ch}) AS w{i}_{j}" for j in range(NT) for i, ch in enumerate(CH)])
          + f" FROM segp{_step + 1}", (f"segp{_step + 1}",) + ((f"segw{_step}",) if _step else ()))
 
 
-@query("m07_linear_segmentation", " UNION ALL ".join(f"SELECT '{c}' AS class_name, round(b{j},6) AS bias, " + ", ".join(f"round(w{i}_{j},6) AS w_{ch}" for i, ch in enumerate(CH)) + " FROM segw2" for j, c in enumerate(C.REPORT_CLASSES)), ("segw2",))
+@query("m07_linear_segmentation", " UNION ALL ".join(f"SELECT '{c}' AS class_name, round(b{j},6) AS bias, " + ", ".join(f"round(w{i}_{j},6) AS w_{ch}" for i, ch in enumerate(CH)) + " FROM segw8" for j, c in enumerate(C.PATTERN_CLASSES)), ("segw8",))
 def _(spark, sf):
     grid = cells(spark, sf).withColumn("severity", F.col("sev_all") / (7.0 * F.col("area")))
-    w, b, _ = md.linear_segmentation(grid, CH, TG, steps=2, rate=0.5)
-    return spark.createDataFrame([(c, round(float(b[j]), 6), *[round(float(v), 6) for v in w[:, j]]) for j, c in enumerate(C.REPORT_CLASSES)],
+    w, b, _ = md.linear_segmentation(grid, CH, TG, steps=STEPS, rate=0.5)
+    return spark.createDataFrame([(c, round(float(b[j]), 6), *[round(float(v), 6) for v in w[:, j]]) for j, c in enumerate(C.PATTERN_CLASSES)],
                                  "class_name string, bias double, " + ", ".join(f"w_{ch} double" for ch in CH))
 
 
@@ -239,8 +240,8 @@ def _(spark, sf):
 def _(spark, sf):
     f = wafer_features(spark, sf)
     rows = f.select(F.array(*COMPACT).alias("vec"), rg.stable_split(F.col("sample_id"), 0.3, 11).alias("split"),
-                    *[F.col(f"label_{c}").cast("double").alias(c) for c in ("ring", "local")])
-    return md.score_forests(rows, ["ring", "local"], trees=10, depth=5)
+                    *[F.col(f"label_{c}").cast("double").alias(c) for c in C.REPORT_CLASSES])
+    return md.score_forests(rows, list(C.REPORT_CLASSES), trees=260, depth=10)
 
 
 # ---- remaining windows, sets and orders

@@ -313,7 +313,14 @@ def _(spark, sf):
     return rg.segmentation_manifest(demo.pixels(spark, sf), 0.25, 11)
 
 
-@query("v12_supported_regions", "SELECT class_name, count(*) AS regions FROM regions26 WHERE pixel_ratio>=0.02 GROUP BY 1 HAVING count(*)>=3", ("regions26",))
+@query("v12_supported_regions", "SELECT class_name, count(*) AS regions FROM regions26 WHERE pixel_ratio>=1e-5 GROUP BY 1 HAVING count(*)>=3", ("regions26",))
+def _(spark, sf):
+    r = rg.region_rows(demo.pixels(spark, sf), min_ratio=1e-5)
+    return r.groupBy("class_name").agg(F.count(F.lit(1)).alias("regions")).filter("regions >= 3")
+
+
+
+@query("v12_large_supported_regions", "SELECT class_name, count(*) AS regions FROM regions26 WHERE pixel_ratio>=0.02 GROUP BY 1 HAVING count(*)>=3", ("regions26",))
 def _(spark, sf):
     r = rg.region_rows(demo.pixels(spark, sf), min_ratio=0.02)
     return r.groupBy("class_name").agg(F.count(F.lit(1)).alias("regions")).filter("regions >= 3")

@@ -43,8 +43,8 @@ def wafer_signatures(spark, sf):
     return rt.signatures(wafer_features(spark, sf), C.REPORT_CLASSES)
 
 
-def wafer_neighbors(spark, sf):
-    return staged_once(spark, sf, "neighbors", lambda: search.self_neighbors(wafer_features(spark, sf), COMPACT, K))
+def wafer_neighbors(spark, sf, k=K):
+    return staged_once(spark, sf, f"neighbors_{k}", lambda: search.self_neighbors(wafer_features(spark, sf), COMPACT, k))
 
 
 def embedding_table(spark, sf):
@@ -92,6 +92,9 @@ def jac(a, b):
 
 
 part("chance", f"SELECT avg({jac('a.sig', 'b.sig')}) AS m, count(*) AS pairs FROM sigs a JOIN sigs b ON a.id<b.id", ("sigs",))
+part("nn10", nn_sql("zc", 10), ("zc",))
+part("nnj10", f"""SELECT n.*, a.sig AS qs, b.sig AS ns, {jac('a.sig', 'b.sig')} AS jaccard FROM nn10 n
+  JOIN sigs a ON a.id=n.query_id JOIN sigs b ON b.id=n.neighbor_id""", ("nn10", "sigs"))
 part("nnj", f"""SELECT n.*, a.sig AS qs, b.sig AS ns, {jac('a.sig', 'b.sig')} AS jaccard FROM nn n
   JOIN sigs a ON a.id=n.query_id JOIN sigs b ON b.id=n.neighbor_id""", ("nn", "sigs"))
 
@@ -358,7 +361,7 @@ def _(spark, sf):
 
 @query("r10_permutation_p_value")
 def _(spark, sf):
-    return rt.permutation_p_value(wafer_neighbors(spark, sf), wafer_signatures(spark, sf), 200, 20260618)
+    return rt.permutation_p_value(wafer_neighbors(spark, sf), wafer_signatures(spark, sf), 1000, 20260618)
 
 
 @query("r11_embedding_retrieval", """SELECT round(avg(top1),9) AS top1_mean_jaccard, round(avg(best),9) AS topk_best_mean_jaccard,

@@ -64,7 +64,7 @@ def read_arrays(content: bytes, keys: dict[str, str], chip: tuple[int, int], all
     for name in ("wafer_mask", "valid_test_mask", "stby_mask"):
         values = found.get(name)
         if values is None:
-            if name != "valid_test_mask" and not allow_missing and name not in raw:
+            if not allow_missing and name not in raw:
                 errors.append(f"{name} is missing")
             continue
         if values.shape != shape:

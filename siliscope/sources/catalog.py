@@ -1,6 +1,8 @@
 """Input catalogue: product folders, opaque ids, manifests, geometry documents, and the tables written from them."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +41,31 @@ def read_geometry(spark: SparkSession, path: str) -> DataFrame:
             .select("product", "g.chip_blocks", "g.grid", "g.actual_net_die"))
 
 
+def placed_files(files: DataFrame, root: str) -> DataFrame:
+    """Files with their product, the first folder below the root, and their path below it.
+
+    Without any folder the root itself is the product; beside product folders, files of the root belong to none and are left out.
+    """
+    context = files.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString().rstrip("/")
+    # readers name a local file with one slash or three after the scheme
+    start = len(re.sub("^([a-z0-9]+):/+", r"\1:/", full)) + 2
+    inside = F.substr(F.regexp_replace(F.col("path"), "^([a-z0-9]+):/+", "$1:/"), F.lit(start))
+    parted = files.withColumn("_parts", F.split(inside, "/"))
+    nested = parted.agg(F.max(F.size("_parts") > 1)).scalar()
+    deep = F.size("_parts") > 1
+    return (parted.filter(deep | ~nested)
+            .withColumn("product", F.when(deep, F.col("_parts")[0]).otherwise(F.lit(full.split("/")[-1])))
+            .withColumn("relative_path", F.array_join(F.when(deep, F.slice("_parts", 2, F.size("_parts"))).otherwise(F.col("_parts")), "/"))
+            .drop("_parts"))
+
+
 def discover(spark: SparkSession, root: str, pattern: str = "*.png") -> DataFrame:
-    """(product, path, length) of the images below the product folders; files in the root itself form one product."""
+    """(product, path, length, relative_path) of the images below the product folders, at any depth."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
              .load(root).select("path", "length"))
-    inside = F.regexp_replace(F.col("path"), F.lit("^.*" + root.rstrip("/").split("/")[-1] + "/"), F.lit(""))
-    parts = F.split(inside, "/")
-    return files.select("path", "length", inside.alias("relative_path"),
-                        F.when(F.size(parts) > 1, parts[0]).otherwise(F.lit(root.rstrip("/").split("/")[-1])).alias("product"))
+    return placed_files(files, root).select("path", "length", "relative_path", "product")
 
 
 def first_per_product(files: DataFrame, n: int) -> DataFrame:

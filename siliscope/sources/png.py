@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siliscope.constants import STBY_GRAY
+from siliscope.sources import catalog
 
 RAW_SCHEMA = "path string, y int, x int, gray int, height int, width int"
-CHIP_SCHEMA = "path string, product string, y int, x int, gray int, height int, width int, stby int"
+CHIP_SCHEMA = "path string, product string, relative_path string, y int, x int, gray int, height int, width int, stby int"
 ERROR_SCHEMA = "path string, error string"
 # fixed values: colour types of the format and their channels
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -159,10 +160,10 @@ def read_gray(spark: SparkSession, root: str, geometry: DataFrame | None = None)
                     stby = full_chips(gray, row.chip_h, row.chip_w).ravel()
                     for part in _frames(path, gray):
                         start = int(part["y"].iloc[0]) * gray.shape[1] + int(part["x"].iloc[0])
-                        yield part.assign(product=row.product, stby=stby[start:start + len(part)])[
-                            ["path", "product", "y", "x", "gray", "height", "width", "stby"]]
-    product = F.element_at(F.split("path", "/"), -2)
-    sized = files.withColumn("product", product).join(F.broadcast(geometry.select("product", "chip_h", "chip_w")), "product")
+                        yield part.assign(product=row.product, relative_path=row.relative_path, stby=stby[start:start + len(part)])[
+                            ["path", "product", "relative_path", "y", "x", "gray", "height", "width", "stby"]]
+    # products without geometry keep their images' pixels out; images.assembly_errors names them
+    sized = catalog.placed_files(files, root).join(geometry.select("product", "chip_h", "chip_w"), "product")
     return sized.mapInPandas(emit_chips, CHIP_SCHEMA)
 
 

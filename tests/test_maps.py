@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siliscope import constants as C
 from siliscope.functions import columns as fc
-from siliscope.operators import chipsize, components, features, geometry, pooling, proposals, regions
+from siliscope.operators import chipsize, components, features, geometry, models, pixelscores, pooling, proposals, regions
 from siliscope.operators.geometry import Geometry
 
 
@@ -185,3 +185,46 @@ def test_split_is_stable(spark):
         score = int(hashlib.sha256(f"9:{k}".encode()).hexdigest()[:12], 16) / 16 ** 12
         assert v == ("val" if score < 0.3 else "train")
     assert C.REPORT_CLASSES[0] == "scratch"
+
+
+@pytest.mark.parametrize("half", [0, 1, 3, 5])
+def test_box_mean_matches_a_mirrored_window(spark, half):
+    rng = np.random.default_rng(half)
+    maps = rng.integers(0, 9, size=(2, 5, 7))
+    rows = [(f"s{i}", int(y), int(x), int(maps[i, y, x])) for i in range(2) for y in range(5) for x in range(7)]
+    df = spark.createDataFrame(rows, "sample_id string, gy int, gx int, v int")
+    got = {(r["sample_id"], r["gy"], r["gx"]): r["box_mean"] for r in pooling.box_mean(df, "v", half, 5, 7, ["sample_id"]).collect()}
+    assert len(got) == len(rows)
+    for i in range(2):
+        wide = np.pad(maps[i], half, mode="symmetric")
+        for y in range(5):
+            for x in range(7):
+                assert got[(f"s{i}", y, x)] == pytest.approx(wide[y:y + 2 * half + 1, x:x + 2 * half + 1].mean())
+
+
+def test_severity_runs_from_the_base_to_the_largest_grade(spark):
+    """Tables whose good pixels have grade 1 end at 7 too: the span is six grades and fail grades are the table's own."""
+    px = pixel_table(spark, [[1, 7], [4, 2]])
+    assert pixelscores.fail_pixels(px, 3).count() == 2
+    polar = px.withColumns({"radius": F.lit(0.5), "theta": F.lit(0.1)})
+    vec = pixelscores.profile_features(polar, grade_base=1).first()["vec"]
+    assert max(vec[7:39]) == pytest.approx((0 + 6 + 3 + 1) / 6 / 4)
+
+
+def test_clusters_of_several_spaces_in_the_same_passes(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for space, gap in (("a", 10.0), ("b", 30.0)):
+        rows += [(space, f"{space}{i:02d}", [float(gap * (i % 3) + rng.normal() * 0.1), float(rng.normal() * 0.1)]) for i in range(60)]
+    rows += [("few", "f0", [1.0, 2.0]), ("few", "f1", [3.0, 4.0])]
+    labelled, centers = models.kmeans_spaces(spark.createDataFrame(rows, "space string, id string, vec array<double>"), 3, seed=1)
+    got = {(r["space"], r["id"]): (r["cluster_id"], r["distance"]) for r in labelled.collect()}
+    assert len(got) == len(rows) and len(centers["few"]) == 2 and len({got[("few", i)][0] for i in ("f0", "f1")}) == 2
+    x = {(s, i): np.array(v) for s, i, v in rows}
+    for (space, name), (label, distance) in got.items():
+        gaps = np.sqrt(((centers[space] - x[(space, name)]) ** 2).sum(1))
+        assert distance == pytest.approx(gaps[label]) and gaps[label] == pytest.approx(gaps.min())
+    for space in ("a", "b"):  # settled: each centre is the mean of its members
+        for c in range(3):
+            members = [x[k] for k, (label, _) in got.items() if k[0] == space and label == c]
+            assert not members or centers[space][c] == pytest.approx(np.mean(members, axis=0))

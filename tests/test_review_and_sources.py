@@ -63,7 +63,8 @@ def archive(**extra):
     sev[:2, :2] = 2
     stby = np.zeros((4, 4), np.uint8)
     stby[2:, 2:] = 1
-    data = {"severity": sev, "wafer_mask": np.ones((4, 4), np.uint8), "stby_mask": stby} | extra
+    data = {"severity": sev, "wafer_mask": np.ones((4, 4), np.uint8), "stby_mask": stby, "valid_test_mask": 1 - stby} | extra
+    data = {k: v for k, v in data.items() if v is not None}
     buf = io.BytesIO()
     np.savez_compressed(buf, **data)
     return buf.getvalue()
@@ -71,15 +72,17 @@ def archive(**extra):
 
 def test_archives(spark, tmp_path):
     for name, blob in (("good", archive()), ("nan", archive(severity=np.full((4, 4), np.nan))), ("frac", archive(severity=np.full((4, 4), 0.5))),
-                       ("shape", archive(wafer_mask=np.ones((2, 2), np.uint8))), ("grade", archive(severity=np.full((4, 4), 9))), ("junk", b"not an archive")):
+                       ("shape", archive(wafer_mask=np.ones((2, 2), np.uint8))), ("grade", archive(severity=np.full((4, 4), 9))), ("junk", b"not an archive"), ("novalid", archive(valid_test_mask=None))):
         (tmp_path / name).mkdir()
         (tmp_path / name / "arrays.npz").write_bytes(blob)
     files = arrays.archive_files(spark, str(tmp_path)).withColumn("chip_blocks", F.struct(F.lit(2).alias("width"), F.lit(2).alias("height")))
     px = arrays.read_pixels(files)
     assert {r["sample_id"] for r in px.select("sample_id").distinct().collect()} == {"good"}
+    lenient = arrays.read_pixels(files, allow_missing=True)
+    assert {r["sample_id"] for r in lenient.select("sample_id").distinct().collect()} == {"good", "novalid"}
     assert px.filter("valid = 1").count() == 12 and px.agg(F.max("chip_id")).first()[0] == 3
     errors = {r["sample_id"]: r["errors"] for r in arrays.read_errors(files).collect()}
-    assert set(errors) == {"nan", "frac", "shape", "grade", "junk"}
+    assert set(errors) == {"nan", "frac", "shape", "grade", "junk", "novalid"} and errors["novalid"] == ["valid_test_mask is missing"]
     out = tmp_path / "out"
     assert arrays.write_archives(px, str(out)).count() == 1
     again = arrays.read_pixels(arrays.archive_files(spark, str(out)))
@@ -165,6 +168,33 @@ def test_wafers_from_a_folder(spark, tmp_path):
     assert direct.select("sample_id").distinct().count() == 2
 
 
+def test_nested_folders_keep_products_and_names_apart(spark, tmp_path):
+    """The product is the first folder below the root, whatever that is called; equal file names stay two wafers."""
+    gray = np.array([[0, 31], [151, 255]])
+    root = tmp_path / "r.+w"
+    for place in ("p/a/x.png", "p/b/x.png", "q/r.+w/x.png", "stray.png", "nogeo/x.png"):
+        write_png(root / place, gray, 0)
+    found = {(r["product"], r["relative_path"]) for r in catalog.discover(spark, str(root)).collect()}
+    assert found == {("p", "a/x.png"), ("p", "b/x.png"), ("q", "r.+w/x.png"), ("nogeo", "x.png")}
+    geo = spark.createDataFrame([(p, 1, 1, 2, 2, 0, "full_grid_from_png") for p in ("p", "q")],
+                                "product string, chip_h int, chip_w int, rows int, cols int, net_die int, mask_strategy string")
+    got = images.read_wafers(spark, str(root), geo, "s")
+    per = got.groupBy("product", "sample_id").count().collect()
+    assert sorted((r["product"], r["count"]) for r in per) == [("p", 4), ("p", 4), ("q", 4)]
+    assert [(r["product"], r["error"]) for r in images.unplaced_files(spark, str(root), geo).collect()] == [("nogeo", "product has no geometry")]
+    flat = tmp_path / "flat"
+    write_png(flat / "x.png", gray, 0)
+    assert [(r["product"], r["relative_path"]) for r in catalog.discover(spark, str(flat)).collect()] == [("flat", "x.png")]
+
+
+def test_images_that_a_grid_does_not_cover(spark):
+    raw = spark.createDataFrame([(s, p, 0, 0, 0, 2, 2) for s, p in (("a", "p"), ("b", "q"), ("c", "none"))],
+                                "sample_id string, product string, y int, x int, gray int, height int, width int")
+    geo = spark.createDataFrame([("p", 1, 1, 2, 2), ("q", 1, 1, 1, 2)], "product string, chip_h int, chip_w int, rows int, cols int")
+    assert {(r["sample_id"], r["error"]) for r in images.assembly_errors(raw, geo).collect()} == {
+        ("b", "chip grid does not cover the image"), ("c", "product has no geometry")}
+
+
 def test_manifest_and_geometry_documents(spark, tmp_path):
     sample = "product_0123456789_w0123456789"
     doc = spark.createDataFrame([(sample, C.SOURCE_PNG, "a.png", True, True)], "sample_id string, source_type string, png_path string, pseudonymized boolean, allow_geometry_inference boolean")

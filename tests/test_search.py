@@ -33,19 +33,16 @@ def test_three_points(spark):
         search.nearest(t, t, 0)
 
 
-@pytest.mark.parametrize("one_cell", [10 ** 6, 50])
-def test_neighbors_match_brute_force_with_a_third_of_copies(spark, monkeypatch, one_cell):
+@pytest.mark.parametrize("cell_rows", [10 ** 6, 25])
+def test_neighbors_match_brute_force_with_a_third_of_copies(spark, monkeypatch, cell_rows):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 6)).round(2)
     x[:100] = x[0]
     x[100:180] = x[100] + rng.normal(size=(80, 6)) * 0.01
-    monkeypatch.setattr(search, "ONE_CELL_ROWS", one_cell)
+    monkeypatch.setattr(search, "CELL_ROWS", cell_rows)
     monkeypatch.setattr(search, "BLOCK_ROWS", 40)
-    if one_cell == 50:
-        monkeypatch.setattr(search.math, "ceil", lambda v: 12)
     t = table(spark, x)
     assert found(search.nearest(t, t, 4, exclude_same_id=True)) == brute(x, 4)
-    monkeypatch.undo()
 
 
 def test_more_neighbors_than_points(spark):
@@ -53,6 +50,13 @@ def test_more_neighbors_than_points(spark):
     assert search.nearest(t, t, 5, exclude_same_id=True).count() == 2
 
 
+def test_cosine_keeps_the_only_row(spark):
+    one = table(spark, np.array([[1.0, 0.0]]))
+    assert [(r["query_id"], r["neighbor_id"]) for r in search.cosine_neighbors(one, one, 3).collect()] == [("p00000", "p00000")]
+    two = table(spark, np.array([[1.0, 0.0], [0.0, 1.0]]))
+    assert {(r["query_id"], r["neighbor_id"]) for r in search.cosine_neighbors(two, two, 3).collect()} == {("p00000", "p00001"), ("p00001", "p00000")}
+
+
 def test_polar_decoy_is_ignored(spark):
     cols = ["sample_id", *FEATURES, "polar_r00_a00_severity", "stby_polar_r00_a00_ratio"]
     schema = "sample_id string, " + ", ".join(f"{c} double" for c in cols[1:])
