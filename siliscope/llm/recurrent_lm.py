@@ -36,8 +36,10 @@ END = 0  # ends a comment, and starts it
 HIDDEN = 16
 WINDOW = 32
 STREAMS = 32  # comments trained side by side
-SCORED = 256  # comments scored side by side
+SCORED = 512  # comments scored side by side
 CHUNK_TOKENS = 1_000_000
+MOST = 60.0  # of a logit, so that its exponential fits a single-precision number
+ONES = {n: np.ones(n, np.float32) for n in (CLASSES, PER_CLASS)}
 
 
 def spelling(word: bytes) -> int:
@@ -142,10 +144,9 @@ class Network:
     def output(self, h: np.ndarray, target: np.ndarray, gradients: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probability of each target after its state; with ``gradients``, adds the weights' and returns the states'."""
         w, cls, place = self.w, class_of(target), target // CLASSES
-        logits = h @ w["classes"] + w["class_bias"]
-        logits -= logits.max(1, keepdims=True)
+        logits = np.minimum(h @ w["classes"] + w["class_bias"], MOST)
         e = np.exp(logits)
-        total = e.sum(1)
+        total = e @ ONES[CLASSES]
         rows = np.arange(len(target))
         logp = logits[rows, cls] - np.log(total)
         dh = None
@@ -162,10 +163,9 @@ class Network:
             if not len(at):
                 continue
             hc = h[at]
-            inner = hc @ w["within"][c] + w["within_bias"][c]
-            inner -= inner.max(1, keepdims=True)
+            inner = np.minimum(hc @ w["within"][c] + w["within_bias"][c], MOST)
             e = np.exp(inner)
-            total = e.sum(1)
+            total = e @ ONES[PER_CLASS]
             here = np.arange(len(at))
             logp[at] += inner[here, place[at]] - np.log(total)
             if gradients is not None:
