@@ -211,13 +211,10 @@ def keyed_normal(seed: int, *keys) -> Column:
 def perturbed(points: DataFrame, runs: int, dim: int, rate: float, noise: float, seed: int) -> DataFrame:
     """(space, id, vec): per run a random share of the features, with noise; one space per run."""
     keep = max(2, min(dim, round(dim * rate)))
-    picks = []
-    for run in range(runs):
-        chosen = sorted(np.random.default_rng([seed, run]).choice(dim, size=keep, replace=False).tolist())
-        vec = F.array(*[F.struct(F.lit(i).alias("i"), F.get("vec", F.lit(i)).alias("v")) for i in chosen])
-        picks.append(F.struct(F.lit(run).alias("run"), vec.alias("p")))
-    wide = points.select("id", F.explode(F.array(*picks)).alias("x")).select("id", "x.run", "x.p")
-    noisy = F.transform("p", lambda s: s["v"] + noise * keyed_normal(seed, F.col("run"), F.col("id"), s["i"]))
+    chosen = [sorted(np.random.default_rng([seed, run]).choice(dim, size=keep, replace=False).tolist()) for run in range(runs)]
+    picks = F.array(*[F.array(*[F.lit(i) for i in run]) for run in chosen])  # a constant of runs x features
+    wide = points.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).withColumn("p", F.get(picks, F.col("run")))
+    noisy = F.transform("p", lambda i: F.get(F.col("vec"), i) + noise * keyed_normal(seed, F.col("run"), F.col("id"), i))
     return wide.select(F.col("run").cast("string").alias("space"), "id", noisy.alias("vec"))
 
 
