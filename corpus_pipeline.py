@@ -30,8 +30,8 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by word n-grams: the one with the smallest id."""
-    joined = stage(ngram_join.join(reviews_of(docs)).select(F.col("review_case_id").alias("doc_id"), "component_id"))
+    """One document of each group linked by five-word n-grams at a likeness of 0.8 or more: the one with the smallest id."""
+    joined = stage(ngram_join.join(reviews_of(docs), percent=80, width=5).select(F.col("review_case_id").alias("doc_id"), "component_id"))
     dropped = joined.filter("component_id < doc_id").select("doc_id").distinct()
     repeated = joined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 AND doc_id IS NOT NULL").select("doc_id")
     own = docs.select(*COLUMNS)
@@ -43,9 +43,11 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with the spans of its secrets masked and its length counted anew where that changed it."""
     found = credential_links.find(docs.select(*COLUMNS), review_case_id="doc_id", comment="text")
-    masked = F.when(F.size("spans") > 0, credential_links.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    length = F.when(F.size("spans") > 0, F.length(masked).cast("long")).otherwise(F.col("n_chars"))
-    return found.select("doc_id", masked.alias("text"), "lang", "source", length.alias("n_chars"))
+    has = F.size("spans") > 0
+    # under a name of its own: a column called text in the same select would be taken for the text to mask
+    masked = found.withColumn("masked", credential_links.redacted(F.col("text"), F.col("spans")))
+    return masked.select("doc_id", F.col("masked").alias("text"), "lang", "source",
+                         F.when(has, F.length("masked").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +62,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding them gives the text back."""
-    path = tokenizer_path()
-    encoded = bpe.encode(docs.select(*COLUMNS), path, comment="text")
-    decoded = bpe.decode(encoded, path)
+    decoded = bpe.encode(docs.select(*COLUMNS), tokenizer_path(), comment="text", decoded="decoded_comment")
     return decoded.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
                           (F.col("decoded_comment") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
