@@ -30,6 +30,8 @@ def test_bpe_equals_the_tokenizers_library(spark):
         want = reference.encode(r.safe_comment or "", add_special_tokens=False).ids
         assert r.token_ids == want
         assert r.decoded_comment == reference.decode(want, skip_special_tokens=False)
+    both = bpe.encode(table, tokenizer_path(), decoded="decoded_comment").collect()
+    assert [(r.token_ids, r.decoded_comment) for r in both] == [(r.token_ids, r.decoded_comment) for r in rows]
     assert bpe.encode(table.limit(0), tokenizer_path()).count() == 0
 
 
