@@ -35,18 +35,19 @@ def pca_embedding(vectors: DataFrame, k: int) -> DataFrame:
     return coords.select("id", search.unit_vector(F.col("coords")).alias("vec"))
 
 
-def kmeans_spaces(points: DataFrame, k: int, seed: int, iterations: int = 80) -> tuple[DataFrame, dict[str, np.ndarray]]:
+def kmeans_spaces(points: DataFrame, k: int | dict[str, int], seed: int, iterations: int = 80) -> tuple[DataFrame, dict[str, np.ndarray]]:
     """Cluster every space of (space, id, vec) on its own, all in the same passes: (space, id, cluster_id, distance), the centres.
 
-    A space of fewer than k rows gets as many clusters as rows. Starts and replacements of empty clusters come from a
+    ``k`` is one number or one per space. A space of fewer than k rows gets as many clusters as rows. Starts and replacements of empty clusters come from a
     small pool per space, drawn by a keyed hash; a pass ends with sums per space and cluster, whatever the number of rows.
     """
+    most = k if isinstance(k, int) else max(k.values())
     draw = F.xxhash64(F.lit(seed), "space", "id")
     place = F.row_number().over(Window.partitionBy("space").orderBy(draw, "id"))
     pool: dict[str, list] = {}
-    for r in points.withColumn("place", place).filter(F.col("place") <= 4 * k).orderBy("space", "place").collect():  # 4k rows per space
+    for r in points.withColumn("place", place).filter(F.col("place") <= 4 * most).orderBy("space", "place").collect():  # so many rows per space
         pool.setdefault(r["space"], []).append(np.array(r["vec"], dtype=float))
-    centers = {s: np.stack(rows[:k]) for s, rows in pool.items()}
+    centers = {s: np.stack(rows[:k if isinstance(k, int) else k[s]]) for s, rows in pool.items()}
     spaces = sorted(centers)
     at, pos = {}, 0
     for s in spaces:
@@ -72,7 +73,7 @@ def kmeans_spaces(points: DataFrame, k: int, seed: int, iterations: int = 80) ->
         for s in spaces:
             c = now[s]
             part = total[at[s]:at[s] + c.shape[0] * (c.shape[1] + 1)].reshape(c.shape[0], -1)
-            fresh = np.stack([pool[s][(turn * 7 + i + k) % len(pool[s])] for i in range(len(c))])
+            fresh = np.stack([pool[s][(turn * 7 + i + most) % len(pool[s])] for i in range(len(c))])
             moved[s] = np.where(part[:, :1] > 0, part[:, 1:] / np.maximum(part[:, :1], 1), fresh)
         settled = all(np.abs(moved[s] - now[s]).max() <= 1e-12 for s in spaces)
         centers = moved
@@ -218,20 +219,35 @@ def perturbed(points: DataFrame, runs: int, dim: int, rate: float, noise: float,
     return wide.select(F.col("run").cast("string").alias("space"), "id", noisy.alias("vec"))
 
 
-def stability(points: DataFrame, dim: int, runs: int, clusters: int, k: int, rate: float = 0.85, noise: float = 0.05,
-              seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Summary row, baseline clusters and run clusters of repeated clustering on perturbed features."""
+def stability(points: DataFrame, dim: int, runs: int, clusters: dict[int, int], k: int, rate: float = 0.85,
+              noise: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Summary rows, baseline clusters and run clusters of repeated clustering on perturbed features.
+
+    ``clusters`` maps each number of clusters to try to its seed. All runs of all numbers are perturbed, clustered and searched
+    in the same jobs, each in a space of its own.
+    """
     points = stage(points)
-    every = stage(perturbed(points, runs, dim, rate, noise, seed))
-    baseline = stage(kmeans(points, clusters, seed)[0])
-    labelled = stage(kmeans_spaces(every, clusters, seed + 1009)[0].select(F.col("space").cast("int").alias("run"), "id", "cluster_id"))
-    base_nn = search.nearest(points, points, k, exclude_same_id=True).select("query_id", "neighbor_id")
-    run_nn = search.nearest(every, every, k, exclude_same_id=True, staged=True).select("space", "query_id", "neighbor_id")
-    both = base_nn.withColumn("shared", F.lit(1))
-    overlap = (run_nn.join(both, ["query_id", "neighbor_id"], "left")
-               .agg(F.avg(F.coalesce("shared", F.lit(0))).alias("mean_neighbor_overlap")))
-    summary = coassociation(baseline, labelled).withColumn("mean_neighbor_overlap", overlap.scalar())
-    return summary, baseline, labelled
+    spaces = None
+    for n, seed in clusters.items():
+        one = perturbed(points, runs, dim, rate, noise, seed).withColumn("space", F.concat(F.lit(f"{n}/"), "space"))
+        spaces = one if spaces is None else spaces.unionByName(one)
+    every = stage(spaces)
+    number = F.split("space", "/")[0].cast("int").alias("clusters")
+    names = {f"{n}/{run}": n for n in clusters for run in range(runs)}
+    labelled = stage(kmeans_spaces(every, names, min(clusters.values()) + 1009)[0].select(
+        number, F.split("space", "/")[1].cast("int").alias("run"), "id", "cluster_id"))
+    based = points.select(F.explode(F.array(*[F.lit(f"{n}/base") for n in clusters])).alias("space"), "id", "vec")
+    baseline = stage(kmeans_spaces(stage(based), {f"{n}/base": n for n in clusters}, min(clusters.values()))[0].select(
+        number, "id", "cluster_id", "distance"))
+    base_nn = search.nearest(points, points, k, exclude_same_id=True).select("query_id", "neighbor_id", F.lit(1).alias("shared"))
+    run_nn = search.nearest(every, every, k, exclude_same_id=True, staged=True).select(number, "query_id", "neighbor_id")
+    overlap = run_nn.join(base_nn, ["query_id", "neighbor_id"], "left").groupBy("clusters").agg(
+        F.avg(F.coalesce("shared", F.lit(0))).alias("mean_neighbor_overlap"))
+    summary = None
+    for n in clusters:
+        row = coassociation(baseline.filter(F.col("clusters") == n), labelled.filter(F.col("clusters") == n)).withColumn("clusters", F.lit(n))
+        summary = row if summary is None else summary.unionByName(row)
+    return summary.join(overlap, "clusters"), baseline, labelled
 
 
 @dataclass(frozen=True)
@@ -269,7 +285,7 @@ def new_encoder(vectors: DataFrame, hidden: int, embedding: int, labels: tuple[s
 
 
 def _tree_sum(df: DataFrame, step) -> np.ndarray:
-    """Add up one equally long vector per partition in two levels; the driver receives the single sum."""
+    """Add up one equally long vector per partition in two levels; the driver receives as many sums as the root of their number."""
     def partial(batches):
         total = None
         for pdf in batches:
@@ -286,9 +302,8 @@ def _tree_sum(df: DataFrame, step) -> np.ndarray:
     parts = df.mapInPandas(partial, "total binary")
     # as many groups as each has members, so both levels grow with the root of the number of partitions
     fan = F.pmod(F.spark_partition_id(), F.lit(max(1, math.isqrt(df.rdd.getNumPartitions())))).alias("g")
-    first = parts.select(fan, "total").groupBy("g").applyInPandas(add, "total binary")
-    final = first.groupBy().applyInPandas(add, "total binary")
-    return np.frombuffer(final.first()["total"])
+    sums = parts.select(fan, "total").groupBy("g").applyInPandas(add, "total binary").collect()
+    return np.sum([np.frombuffer(r["total"]) for r in sums], axis=0)
 
 
 def _jaccard_table(signatures: list[int]) -> np.ndarray:

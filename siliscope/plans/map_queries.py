@@ -32,7 +32,7 @@ def r9(names):
 part("pool", f"""SELECT sample_id, (((y+1)*{G}-1)//24)::INT AS gy, (((x+1)*{G}-1)//24)::INT AS gx, count(*) area, sum(in_wafer) n_wafer, sum(valid) n_valid, sum(in_wafer*stby) n_stby,
    sum(in_wafer*valid) n_wafer_valid, sum(valid*severity) sev_sum, sum(severity) sev_all, max(valid*severity) sev_max, sum((valid=1 AND severity>0)::INT) n_fail, sum((valid=1 AND severity>=6)::INT) n_high,
    sum(CASE WHEN stby=1 THEN 7 WHEN in_wafer=1 THEN severity ELSE 0 END) image_sum, max(in_wafer) any_in_wafer, max(valid) any_valid, max(stby) any_stby,
-   {', '.join(f'max({c}) any_{c}, sum({c}) n_{c}' for c in C.REPORT_CLASSES)} FROM px GROUP BY 1,2,3""", ("px",))
+   {', '.join(f'max({c}) any_{c}, sum({c}) n_{c}' for c in C.PATTERN_CLASSES)} FROM px GROUP BY 1,2,3""", ("px",))
 CH = ["severity", "severity_peak", "fail", "high", "stby", "valid", "wafer", "outer"]
 part("maps", """SELECT sample_id, gy, gx, sev_sum::DOUBLE/greatest(1,n_valid)/7.0::DOUBLE AS severity, sev_max/7.0::DOUBLE AS severity_peak, n_fail::DOUBLE/greatest(1,n_valid) AS fail,
    n_high::DOUBLE/greatest(1,n_valid) AS high, n_stby::DOUBLE/greatest(1,n_wafer) AS stby, n_wafer_valid::DOUBLE/greatest(1,n_wafer) AS valid, n_wafer::DOUBLE/area AS wafer,
@@ -40,7 +40,7 @@ part("maps", """SELECT sample_id, gy, gx, sev_sum::DOUBLE/greatest(1,n_valid)/7.
 
 
 def cells(spark, sf):
-    return pl.pooled(demo.pixels(spark, sf), G, C.REPORT_CLASSES)
+    return pl.pooled(demo.pixels(spark, sf), G, C.PATTERN_CLASSES)
 
 
 def maps(spark, sf):

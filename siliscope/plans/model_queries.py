@@ -114,15 +114,12 @@ def _(spark, sf):
 
 @query("r13_neighbor_stability")
 def _(spark, sf):
-    return md.stability(points(spark, sf), len(COMPACT), 64, 5, K, seed=17)[0]
+    return md.stability(points(spark, sf), len(COMPACT), 64, {5: 17}, K)[0].drop("clusters")
 
 
 @query("r14_parameter_sweep")
 def _(spark, sf):
-    out = None
-    for k in range(3, 9):
-        row = md.stability(points(spark, sf), len(COMPACT), 40, k, 3, seed=17 + k * 17)[0].withColumn("clusters", F.lit(k))
-        out = row if out is None else out.unionByName(row)
+    out = md.stability(points(spark, sf), len(COMPACT), 40, {k: 17 + k * 17 for k in range(3, 9)}, 3)[0]
     passes = (F.col("same_cluster_mean_coassociation") >= 0.55) & (F.col("coassociation_separation") >= 0.20) & (F.col("mean_neighbor_overlap") >= 0.30)
     order = Window.orderBy(passes.cast("int").desc(), F.col("coassociation_separation").desc(), "clusters")
     return out.withColumn("place", F.row_number().over(order))
