@@ -241,13 +241,16 @@ def _(spark, sf):
         "sample_id", "y", "x", "chip_row", "chip_col")
 
 
-@query("p13_shot_anchor_weight", """SELECT k.sample_id, k.chip_row, k.chip_col, anchor, round(weight, 9) AS weight
-FROM chips k JOIN slots s ON s.lr=3 AND s.lc=3 AND s.r=k.chip_row%3 AND s.c=k.chip_col%3""", ("chips", "slots"))
+@query("p13_shot_anchor_weight", """SELECT k.sample_id, k.chip_row, k.chip_col, s.lr::INT AS shot_rows, s.lc::INT AS shot_cols, anchor, round(weight, 9) AS weight
+FROM chips k JOIN slots s ON s.r=k.chip_row%s.lr AND s.c=k.chip_col%s.lc""", ("chips", "slots"))
 def _(spark, sf):
-    slots = ft.shot_weights(spark).filter("layout = '3x3'").withColumnsRenamed({"slot_r": "sr", "slot_c": "sc"})
-    return (chip_table(spark, sf).withColumns({"sr": F.col("chip_row") % 3, "sc": F.col("chip_col") % 3})
-            .join(F.broadcast(slots), ["sr", "sc"])
-            .select("sample_id", "chip_row", "chip_col", "anchor", F.round("weight", 9).alias("weight")))
+    slots = ft.shot_weights(spark)  # 63 rows
+    chips = chip_table(spark, sf).withColumn("l", F.explode(F.array(*[
+        F.struct(F.lit(r).alias("shot_rows"), F.lit(c).alias("shot_cols")) for r, c in ft.SHOT_LAYOUTS])))
+    placed = chips.select("sample_id", "chip_row", "chip_col", "l.*").withColumns(
+        {"slot_r": F.col("chip_row") % F.col("shot_rows"), "slot_c": F.col("chip_col") % F.col("shot_cols")})
+    return placed.join(F.broadcast(slots), ["shot_rows", "shot_cols", "slot_r", "slot_c"]).select(
+        "sample_id", "chip_row", "chip_col", "shot_rows", "shot_cols", "anchor", F.round("weight", 9).alias("weight"))
 
 
 @query("a01_global_densities", "SELECT * FROM f_global", ("f_global",))

@@ -317,10 +317,10 @@ def _(spark, sf):
     return arcs_found(spark, sf).withColumn("score_millionths", F.floor(F.col("score") * 1e6 + 0.3137)).drop("score")
 
 
-@query("p30_circular_bins", f"SELECT sample_id, class_name, a, ((a-20)%{A}+{A})%{A} < 10 AS inside FROM pbin WHERE r=4", ("pbin",))
+@query("p30_circular_bins", f"SELECT sample_id, class_name, r, a, ((a-20)%{A}+{A})%{A} < 10 AS inside FROM pbin", ("pbin",))
 def _(spark, sf):
-    return polar_score_rows(spark, sf).filter("r = 4").select(
-        "sample_id", "class_name", "a", fc.circular_member(F.col("a"), F.lit(20), F.lit(10), A).alias("inside"))
+    return polar_score_rows(spark, sf).select(
+        "sample_id", "class_name", "r", "a", fc.circular_member(F.col("a"), F.lit(20), F.lit(10), A).alias("inside"))
 
 
 @query("a23_random_arcs")

@@ -24,6 +24,8 @@ from siliscope.plans.search_queries import K, rounded9, staged_once, wafer_featu
 from siliscope.operators import pooling as pl
 from siliscope.operators import regions as rg
 from siliscope.sources import arrays
+from siliscope.sources import catalog as catalog_io
+from siliscope.sources.staging import shared_folder
 
 
 def points(spark, sf):
@@ -385,9 +387,10 @@ def _(spark, sf):
 @query("s11_csv_rows", "SELECT o_orderkey, o_orderstatus, o_orderkey%7 AS slot FROM orders WHERE o_orderkey%5=0")
 def _(spark, sf):
     k = F.col("o_orderkey")
-    text = F.to_csv(F.struct("o_orderkey", "o_orderstatus", (k % 7).alias("slot"), F.when(k % 5 == 0, "val").otherwise("train").alias("split")))
-    parsed = F.from_csv(text, "o_orderkey long, o_orderstatus string, slot long, split string", {"mode": "FAILFAST"})
-    return demo.table(spark, sf, "orders").select(parsed.alias("r")).select("r.*").filter("split = 'val'").drop("split")
+    rows = demo.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", (k % 7).alias("slot"), F.when(k % 5 == 0, "val").otherwise("train").alias("split"))
+    folder = shared_folder(spark, "csv")
+    catalog_io.write_table(rows, folder, "csv")
+    return catalog_io.read_csv(spark, folder, "o_orderkey long, o_orderstatus string, slot long, split string", split="val").drop("split")
 
 
 @query("v08_inferred_chip_size")

@@ -188,7 +188,7 @@ def _(spark, sf):
                                F.col("valid_review_rows")).alias("verdict"))
 
 
-@query("p26_distance_text")
+@query("p26_distance_text", "SELECT query_id, rank, format('{:.6g}', distance) AS distance FROM enn", ("enn",))
 def _(spark, sf):
     return embedding_neighbors(spark, sf).select("query_id", "rank", rv.format_distance(F.col("distance").cast("string")).alias("distance"))
 
@@ -360,7 +360,8 @@ def products(spark, sf):
 
 @query("s06_products", "SELECT product, count(*) AS files FROM files GROUP BY 1", ("files",))
 def _(spark, sf):
-    return files(spark, sf).groupBy("product").agg(F.count(F.lit(1)).alias("files"))
+    full = files(spark, sf).select(F.regexp_replace("path", "^root/", "file:/in/root/").alias("path"))
+    return cat.placed_files(full, "file:///in/root").groupBy("product").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("s07_first_per_product", "SELECT product, path, place FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY path) AS place FROM files) WHERE place<=5", ("files",))
@@ -370,7 +371,9 @@ def _(spark, sf):
 
 @query("s08_opaque_ids", "SELECT path, 'product_'||substr(sha256('salt'||product),1,10)||'_w'||substr(sha256(lower(relative_path)),1,10) AS sample_id FROM files", ("files",))
 def _(spark, sf):
-    return cat.opaque_entries(files(spark, sf), "salt").select("path", "sample_id")
+    full = files(spark, sf).select(F.regexp_replace("path", "^root/", "file:/in/root/").alias("path"))
+    return cat.opaque_entries(cat.placed_files(full, "file:///in/root"), "salt").select(
+        F.regexp_replace("path", "^file:/in/root/", "root/").alias("path"), "sample_id")
 
 
 @query("s10_product_geometry", "SELECT name, alias, coalesce(a.net_die,b.net_die) AS net_die, coalesce(a.rows,b.rows) AS rows FROM (SELECT n_name AS name, 'alias_'||n_nationkey::VARCHAR AS alias FROM nation) p "
@@ -496,18 +499,20 @@ def _(spark, sf):
 
 
 @query("p33_normalised_metadata", """SELECT event_id, coalesce(CASE WHEN event_id%3=0 THEN event_type END, CASE WHEN event_id%2=0 THEN 'meta_'||event_id::VARCHAR END, 'real_png_unlabeled') AS sample_id,
-   coalesce(CASE WHEN event_id%5=0 THEN 7 END, CASE WHEN event_id%2=0 THEN (event_id%100)::INT END, 0) AS actual_net_die FROM events""")
+   coalesce(CASE WHEN event_id%5=0 THEN 7 END, CASE WHEN event_id%2=0 THEN (event_id%100)::INT END, 0) AS actual_net_die,
+   CASE WHEN event_id%4=0 THEN 'full_grid_from_png' ELSE 'centered_ellipse_from_png' END AS wafer_mask_strategy,
+   (24+event_id%3)::INT AS height, 24 AS width, (2+event_id%2)::INT AS chip_w, 6 AS rows FROM events""")
 def _(spark, sf):
     e = F.col("event_id")
     doc = F.to_json(F.struct(F.concat(F.lit("meta_"), e.cast("string")).alias("sample_id"), (e % 100).cast("int").alias("actual_net_die")))
     entries = demo.table(spark, sf, "events").select(
         "event_id", F.when(e % 3 == 0, F.col("event_type")).alias("sample_id"), F.when(e % 5 == 0, 7).alias("actual_net_die"),
-        F.when(e % 2 == 0, doc).alias("metadata_json"), F.lit(None).cast("string").alias("wafer_mask_strategy"),
-        F.lit(24).alias("height"), F.lit(24).alias("width"), F.lit(None).cast("string").alias("chip_blocks"), F.lit(None).cast("string").alias("grid"))
-    meta = F.from_json("metadata_json", "sample_id string, actual_net_die int")
-    return entries.withColumn("_m", meta).select(
-        "event_id", F.coalesce("sample_id", "_m.sample_id", F.lit("real_png_unlabeled")).alias("sample_id"),
-        F.coalesce("actual_net_die", "_m.actual_net_die", F.lit(0)).alias("actual_net_die"))
+        F.when(e % 2 == 0, doc).alias("metadata_json"), F.when(e % 4 == 0, "full_grid_from_png").alias("wafer_mask_strategy"),
+        (24 + e % 3).cast("int").alias("height"), F.lit(24).alias("width"),
+        F.struct((2 + e % 2).cast("int").alias("width"), F.lit(4).alias("height")).alias("chip_blocks"), F.struct(F.lit(6).alias("rows"), F.lit(6).alias("cols")).alias("grid"))
+    return cat.normalised_metadata(entries, keep=("event_id",)).select(
+        "event_id", "sample_id", "actual_net_die", "wafer_mask_strategy", "image_shape.height", "image_shape.width",
+        F.col("chip_blocks.width").alias("chip_w"), F.col("grid.rows").alias("rows"))
 
 
 @query("s16_reconciliation", """SELECT name, rule, expected, found, CASE rule WHEN 'exact' THEN found=expected ELSE found>=expected END AS passed FROM (

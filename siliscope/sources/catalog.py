@@ -107,11 +107,11 @@ def batch_metadata(entries: DataFrame, geometry: DataFrame) -> DataFrame:
                    safe_div(F.count("explicit"), F.count(F.lit(1))).alias("explicit_share"))
 
 
-def normalised_metadata(entries: DataFrame) -> DataFrame:
+def normalised_metadata(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Entry values over the metadata document over defaults; image shape and geometry always from the image."""
     meta = F.from_json("metadata_json", "sample_id string, actual_net_die int, wafer_mask_strategy string")
     return entries.withColumn("_m", meta).select(
-        F.coalesce("sample_id", "_m.sample_id", F.lit("real_png_unlabeled")).alias("sample_id"),
+        *keep, F.coalesce("sample_id", "_m.sample_id", F.lit("real_png_unlabeled")).alias("sample_id"),
         F.coalesce("actual_net_die", "_m.actual_net_die", F.lit(0)).alias("actual_net_die"),
         F.coalesce("wafer_mask_strategy", F.lit("centered_ellipse_from_png")).alias("wafer_mask_strategy"),
         F.struct("height", "width").alias("image_shape"), "chip_blocks", "grid")
