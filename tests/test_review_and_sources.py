@@ -1,5 +1,6 @@
 """Review loop by hand; archives and images written and read back; model store; training against plain numpy."""
 import io
+import json
 import math
 import struct
 import zlib
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from siliscope import constants as C
 from siliscope.operators import hotspots, models, review, validation
 from siliscope.operators.geometry import Geometry
+from siliscope.sources import manifest
 from siliscope.sources import arrays, catalog, images, model_store, png
 
 REVIEW_SCHEMA = "line_no long, " + ", ".join(f"{c} string" for c in C.REVIEW_COLUMNS)
@@ -295,3 +297,37 @@ def test_fragile_pairs_match_all_pairs(spark, monkeypatch, runs):
         pairs = sorted((round((labels[:, i] == labels[:, j]).mean(), 9), ids[i], ids[j]) for i in range(n) for j in range(i + 1, n) if base[i] == base[j] == c)
         want |= {(c, p + 1, l, q) for p, (_, l, q) in enumerate(pairs[:3])}
     assert got == want
+
+
+def test_every_manifest_entry_is_pixels_or_an_error(spark, tmp_path):
+    gray = np.array(C.GRADE_GRAYS)[np.arange(48).reshape(6, 8) % 7]
+    gray[0:3, 2:4] = 255
+    write_png(tmp_path / "in" / "stated.png", gray, 0)
+    write_png(tmp_path / "in" / "inferred.png", gray, 0)
+    write_png(tmp_path / "in" / "odd.png", gray * 0 + 99, 0)
+    (tmp_path / "in" / "a.npz").write_bytes(archive())
+    (tmp_path / "in" / "masks.npz").write_bytes(archive(stby_mask=None))
+    (tmp_path / "in" / "junk.npz").write_bytes(b"no archive")
+    (tmp_path / "in" / "dir").mkdir()
+    (tmp_path / "in" / "dir" / "arrays.npz").write_bytes(archive())
+    blocks, grid = {"width": 2, "height": 3}, {"rows": 2, "cols": 4}
+    png_entry = {"source_type": C.SOURCE_PNG, "wafer_mask_strategy": "full_grid_from_png"}
+    doc = {"schema_version": C.MANIFEST_VERSION, "feature_schema_version": C.FEATURE_VERSION, "samples": [
+        {"sample_id": "stated", "png_path": "in/stated.png", "chip_blocks": blocks, "grid": grid, **png_entry},
+        {"sample_id": "bare", "png_path": "in/stated.png", **png_entry},
+        {"sample_id": "inferred", "png_path": str(tmp_path / "in/inferred.png"), "allow_geometry_inference": True, **png_entry},
+        {"sample_id": "uneven", "png_path": "in/stated.png", "chip_blocks": {"width": 3, "height": 3}, **png_entry},
+        {"sample_id": "odd", "png_path": "in/odd.png", "chip_blocks": blocks, **png_entry},
+        {"arrays_npz": "in/a.npz", "chip_blocks": {"width": 2, "height": 2}}, {"sample_id": "masks", "arrays_npz": "in/masks.npz"},
+        {"sample_id": "junk", "arrays_npz": "in/junk.npz"}, {"sample_id": "gone", "arrays_npz": "in/gone.npz"},
+        {"sample_id": "dir", "source_type": C.SOURCE_DIR, "sample_dir": "in/dir/"}, {"sample_id": "strange", "source_type": "tape"}]}
+    (tmp_path / "m.json").write_text(json.dumps(doc))
+    pixels, errors = manifest.read(spark, str(tmp_path / "m.json"))
+    wrong = {r["sample_id"]: r["errors"] for r in errors.collect()}
+    per = {r["sample_id"]: r["count"] for r in pixels.groupBy("sample_id").count().collect()}
+    assert per == {"stated": 48, "inferred": 48, "a": 16, "dir": 16}
+    assert not set(per) & set(wrong) and set(per) | set(wrong) == {"stated", "bare", "inferred", "uneven", "odd", "a", "masks", "junk", "gone", "dir", "strange"}
+    assert wrong["gone"] == ["file is missing"] and wrong["odd"] == ["unknown gray value"] and wrong["strange"] == ["unsupported source type: tape"]
+    assert wrong["masks"] == ["stby_mask is missing"] and wrong["bare"] == ["chip_blocks or grid needed"]
+    stated = {(r["y"], r["x"]): r for r in pixels.filter("sample_id = 'stated'").collect()}
+    assert stated[(0, 2)]["stby"] == 1 and stated[(0, 2)]["severity"] == 0 and stated[(5, 7)]["severity"] == 47 % 7 and stated[(5, 7)]["valid"] == 1
