@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siliscope.constants import MAX_GRADE
 from siliscope.functions.columns import bin_index, ratio
 from siliscope.operators.components import label_mask
-from siliscope.operators.pooling import box_mean
+from siliscope.operators.pooling import angular_spectrum, box_mean
 
 MIN_AREA = 12
 
@@ -115,3 +115,27 @@ def rule_scores(polar: DataFrame, height: int, width: int, grade: int, half: int
                          clip(F.col("densest") / (F.col("fail_all") + 1e-5) / 28.0).alias("local_score"),
                          clip(F.greatest("sd_y", "sd_x") / (F.col("fail_all") + 1e-5) / 8.0).alias("grid_score"),
                          "area_score", "component_count_score")
+
+
+SCORES = ("fail_rate", "mean_severity", "edge_lift", "ring_score", "scratch_score", "blob_score", "local_score", "grid_score",
+          "area_score", "component_count_score")
+
+
+def combined_vectors(polar: DataFrame, height: int, width: int, grade: int, half: int, grade_base: int = 0,
+                     invariant: bool = False) -> DataFrame:
+    """(id, vec) for the alternative search: histogram, column, row, radial and angular profiles and the rule scores.
+
+    The ``invariant`` form stays the same for a turned wafer: histogram, radial profile, angular spectrum and rule scores. Search
+    them with ``search.cosine_neighbors`` on ``search.standardised_vectors(..., flat_as_one=True)``.
+    """
+    parts = profile_features(polar, grade_base)
+    piece = lambda start, n: F.slice("vec", start + 1, n)
+    scores = rule_scores(polar, height, width, grade, half, grade_base).select(
+        "sample_id", F.array(*[F.col(c).cast("double") for c in SCORES]).alias("scores"))
+    if invariant:
+        waves = angular_spectrum(parts.select("sample_id", piece(39, 36).alias("profile")), 36, 12).groupBy("sample_id").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("k", "magnitude"))), lambda w: w["magnitude"]).alias("waves"))
+        rows = parts.join(waves, "sample_id").join(scores, "sample_id")
+        return rows.select(F.col("sample_id").alias("id"), F.concat(piece(0, 7), piece(7, 32), "waves", "scores").alias("vec"))
+    rows = parts.join(scores, "sample_id")
+    return rows.select(F.col("sample_id").alias("id"), F.concat(piece(0, 7), piece(75, 32), piece(107, 32), piece(7, 32), piece(39, 36), "scores").alias("vec"))

@@ -358,6 +358,19 @@ def _(spark, sf):
     return px_scores.profile_features(polar(spark, sf)).select("sample_id", F.posexplode("vec").alias("pos", "v")).withColumn("v", F.round("v", 6))
 
 
+@query("a38_combined_vectors")
+def _(spark, sf):
+    rows = [px_scores.combined_vectors(polar(spark, sf), 24, 24, 3, 8, invariant=v).select("id", F.lit(v).alias("invariant"), F.posexplode("vec").alias("pos", "v"))
+            for v in (False, True)]
+    return rows[0].unionByName(rows[1]).withColumn("v", F.round("v", 6))
+
+
+@query("a38_alternative_neighbors")
+def _(spark, sf):
+    vectors = search.standardised_vectors(px_scores.combined_vectors(polar(spark, sf), 24, 24, 3, 8, invariant=True), flat_as_one=True)
+    return rounded(search.cosine_neighbors(vectors, vectors, K))
+
+
 @query("a38_rule_scores")
 def _(spark, sf):
     return rounded(px_scores.rule_scores(polar(spark, sf), 24, 24, 3, 8))

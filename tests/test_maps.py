@@ -228,3 +228,17 @@ def test_clusters_of_several_spaces_in_the_same_passes(spark):
         for c in range(3):
             members = [x[k] for k, (label, _) in got.items() if k[0] == space and label == c]
             assert not members or centers[space][c] == pytest.approx(np.mean(members, axis=0))
+
+
+def test_combined_vectors_hold_profiles_and_scores_in_order(spark):
+    rng = np.random.default_rng(2)
+    px = pixel_table(spark, rng.integers(0, 8, size=(8, 8)))
+    polar = px.withColumns({"radius": F.sqrt(F.col("d2").cast("double")) / F.sqrt(F.col("wafer_extent").cast("double")), "theta": (F.col("x") + 0.5) / 8})
+    parts = pixelscores.profile_features(polar).first()["vec"]
+    scores = pixelscores.rule_scores(polar, 8, 8, 3, 2).first()
+    tail = [scores[c] for c in pixelscores.SCORES]
+    plain = pixelscores.combined_vectors(polar, 8, 8, 3, 2).first()["vec"]
+    assert plain == pytest.approx(parts[:7] + parts[75:107] + parts[107:139] + parts[7:39] + parts[39:75] + tail)
+    turned = pixelscores.combined_vectors(polar, 8, 8, 3, 2, invariant=True).first()["vec"]
+    waves = np.abs(np.fft.rfft(parts[39:75]))
+    assert turned == pytest.approx([*parts[:39], *(waves[1:13] / (waves[0] + 1e-6)), *tail])
