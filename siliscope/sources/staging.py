@@ -47,11 +47,14 @@ def _remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write a table as Parquet into the shared folder, once, and read it back: columns not asked for are not read again."""
+def stage(df: DataFrame, slim: bool = False) -> DataFrame:
+    """Write a table as Parquet into the shared folder, once, and read it back: columns not asked for are not read again.
+
+    A ``slim`` table, a few bytes for each row of a wide one, is gathered into as few files as its size needs.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark, "stage")
-    df.write.parquet(folder)
+    (df.hint("rebalance") if slim else df).write.parquet(folder)
     staged = spark.read.schema(df.schema).parquet(folder)
     staged._staged_folder = folder
     return staged
