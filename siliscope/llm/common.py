@@ -8,6 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: texts go to Python workers in batches of about so many bytes, so that neither side holds many long texts at once
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: a word is a run of anything but ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,6 +24,13 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def small_batches(df: DataFrame) -> None:
+    """Lower the session's bound on Arrow batches to BATCH_BYTES; a lower one is kept."""
+    spark = df.sparkSession
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING)) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def tasks(df: DataFrame) -> int:
     """How many tasks the session deals a shuffle to."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siliscope.llm.common import pieces, tasks, text_of
+from siliscope.llm.common import pieces, small_batches, tasks, text_of
 
-PIECE = 48  # code points of a leaf at most
+#: (text length from which it holds, code points of a leaf at most); short texts have finer leaves
+PIECES = ((400, 48), (200, 24), (100, 12), (0, 6))
 SHORT = 8  # digits of an inner node
 
 
@@ -25,13 +26,13 @@ def _hash(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _leaves(paragraph: str) -> list[str]:
+def _leaves(paragraph: str, piece: int) -> list[str]:
     out = []
     for sentence in paragraph.split(". "):
-        if len(sentence) <= PIECE:
+        if len(sentence) <= piece:
             out.append(sentence)
         else:
-            out += [sentence[i:i + PIECE] for i in range(0, len(sentence), PIECE)]
+            out += [sentence[i:i + piece] for i in range(0, len(sentence), piece)]
         out[-1] += ". "
     out[-1] = out[-1][:-2]
     return out
@@ -40,10 +41,11 @@ def _leaves(paragraph: str) -> list[str]:
 def fingerprint(text: str) -> str:
     """``root:section[paragraph(leaf.leaf),...];...``; equal for equal texts alone."""
     sections, nodes = [], []
+    piece = next(p for n, p in PIECES if len(text) >= n)
     for section in text.split("\n\n"):
         paragraphs, hashes = [], []
         for paragraph in section.split("\n"):
-            leaves = [_hash(p.encode()) for p in _leaves(paragraph)]
+            leaves = [_hash(p.encode()) for p in _leaves(paragraph, piece)]
             node = _hash(b"p" + b"".join(leaves))
             hashes.append(node)
             paragraphs.append(f"{node.hex()[:SHORT]}({'.'.join([x.hex()[:SHORT] for x in leaves])})")
@@ -167,6 +169,7 @@ def edit_report(reviews: DataFrame, line_no: str = "line_no", comment: str = "sa
     Texts are shuffled once, by ranges of the number; the range's neighbour sends a copy of one report, so no range waits for
     another and none is held whole in memory.
     """
+    small_batches(reviews)
     rows = reviews.select(F.col(line_no).cast("long").alias("line_no"), text_of(comment).alias("text"))
     number = F.coalesce(F.col("line_no"), F.lit(-2 ** 63))
     slim = reviews.select(F.col(line_no).cast("long").alias("line_no")).select(number.alias("place"))
