@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from siliscope.llm.common import text_of
+from siliscope.llm.common import small_batches, text_of
 
 # fixed value: the byte-level pattern of the tokenizer file's format
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: pieces whose ids a task keeps; the table starts anew when it is full
 PIECES = 250_000
 #: tokens a task holds before it passes them on
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 500_000
 
 
 def byte_symbols() -> list[str]:
@@ -133,15 +133,20 @@ def _lists(rows: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([x for r in rows for x in r], pa.int32()))
 
 
-def encode(reviews: DataFrame, tokenizer_path: str, comment: str = "safe_comment", token_ids: str = "token_ids") -> DataFrame:
+def encode(reviews: DataFrame, tokenizer_path: str, comment: str = "safe_comment", token_ids: str = "token_ids",
+           decoded: str | None = None) -> DataFrame:
     """Add the token ids of every whole comment as an array of int; a missing comment gives no tokens.
 
-    ``tokenizer_path`` names a tokenizers JSON file that every executor can open (an installed package's, or one shipped
-    with the job). All other columns pass through; a column already called ``token_ids`` is replaced. Nothing is trained.
+    With ``decoded``, a column of that name gets the text that the ids decode to, in the same pass. ``tokenizer_path`` names a
+    tokenizers JSON file that every executor can open (an installed package's, or one shipped with the job). All other columns pass
+    through; columns of the added names are replaced. Nothing is trained.
     """
-    names = [c for c in reviews.columns if c != token_ids]
+    small_batches(reviews)
+    added = [token_ids] + ([decoded] if decoded else [])
+    names = [c for c in reviews.columns if c not in added]
     held = reviews.select(*names, text_of(comment).alias("__text"))
     schema = held.drop("__text").schema.add(token_ids, ArrayType(IntegerType()))
+    schema = schema.add(decoded, StringType()) if decoded else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
@@ -153,7 +158,8 @@ def encode(reviews: DataFrame, tokenizer_path: str, comment: str = "safe_comment
                 count += len(rows[-1])
                 if count >= BATCH_TOKENS or at == batch.num_rows:
                     part = others.slice(lo, at - lo)
-                    yield pa.RecordBatch.from_arrays([*part.columns, _lists(rows)], [*part.schema.names, token_ids])
+                    back = [pa.array([tokenizer.decode(ids) for ids in rows], pa.string())] if decoded else []
+                    yield pa.RecordBatch.from_arrays([*part.columns, _lists(rows), *back], [*part.schema.names, *added])
                     rows, lo, count = [], at, 0
 
     return held.mapInArrow(run, schema)

@@ -53,10 +53,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_bpe_round_trip")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
     reviews = reviews_of(table(spark, sf_dir, "documents")).select("review_case_id", "safe_comment")
-    encoded = bpe.encode(reviews, path).drop("safe_comment")
-    decoded = bpe.decode(encoded, path)
+    decoded = bpe.encode(reviews, tokenizer_path(), decoded="decoded_comment")
     return decoded.select(
         F.col("review_case_id").alias("doc_id"), F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
