@@ -119,7 +119,7 @@ def mix(reviews: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     rows = stage(reviews.select(
         F.col(review_case_id).alias("id"), F.col(group).cast("string").alias("grp"),
         words_of(comment).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(review_case_id), F.col(group)).alias("h")))
+        F.xxhash64(F.lit(seed), F.col(review_case_id), F.col(group)).alias("h")), slim=True)
     hist = stage(rows.groupBy("grp", "size").agg(F.count(F.lit(1)).alias("n")))
     totals = {r.grp: int(r.total) for r in hist.groupBy("grp").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect()}
     targets = source_targets(totals, weights, share, most)

@@ -1,8 +1,8 @@
 """Prefix-tree join of review comments by the Jaccard likeness of their word n-grams, exact, with components of the links.
 
 1. Every comment becomes a set of 64-bit n-gram hashes. Equal sets are one from here on, told apart by a 128-bit digest.
-2. In the order of the hashes, a set that links to another one shares at least ``a - floor((1-t) n)`` of its first a
-   n-grams. Sets whose first fifth holds fewer n-grams that any other set has in its first fifth are left out.
+2. In the order of the hashes, a set that links to another one at likeness t shares at least ``a - floor((1-t) n)`` of its
+   first a n-grams with it. Sets that share fewer with all others together are left out; a is (1-t+0.05) n.
 3. The whole sets of the rest are counted and put into the global order, rarest n-gram first. N-grams of one set alone
    are dropped and only kept as a number; a set that is left with less than t of its size can link to none.
 4. Two linked sets share one of their first ``s - ceil(t n) + 1`` n-grams. Of the sets that share such an n-gram each is paired
@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siliscope.llm.common import runs, tasks, text_of
+from siliscope.llm.common import runs, small_batches, tasks, text_of
 from siliscope.llm.graph import connected
 from siliscope.llm.shingles import text_sets
 from siliscope.sources.staging import release, stage
 
-FIRST_SHARE = 0.2  # of a set, in the first thinning
+BATCH_TEXTS = 1000
+MARGIN = 5  # percent of a set that the first thinning looks at beyond what a linked set may lack
 TREE_SETS = 128  # sets per prefix tree
 BLOCK_SETS = 512  # sets per block where pairs are listed
 STRIDE = 32  # n-grams between two looks at the bound
@@ -43,11 +44,18 @@ def _digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most BATCH_TEXTS rows, so that a task holds the sets of few texts at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, BATCH_TEXTS):
+            yield batch.slice(lo, BATCH_TEXTS)
+
+
 def _described(width: int):
     """Rows of id, size and digest of each comment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             sets = [(len(s), _digest(s) if len(s) else None) for s in text_sets(batch.column("text"), width)]
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n": pa.array([n for n, _ in sets], pa.int32()),
                                               "digest": pa.array([d for _, d in sets], pa.binary())})
@@ -57,7 +65,7 @@ def _described(width: int):
 
 def _head(n: int, percent: int) -> tuple[int, int]:
     """How many n-grams of a set are looked at first, and how many of them a set that links to it must share."""
-    first = min(n, int(FIRST_SHARE * n) + 1)
+    first = min(n, (100 - percent + MARGIN) * n // 100 + 1)
     return first, max(1, first - (100 - percent) * n // 100)
 
 
@@ -65,7 +73,7 @@ def _heads(width: int, percent: int, table=None):
     """Rows of digest and first n-grams; with a table of bits, of comments that have enough n-grams with a bit, and only those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             digests, heads = [], []
             for grams in text_sets(batch.column("text"), width):
                 if not len(grams):
@@ -98,7 +106,7 @@ def _whole(width: int):
     """The whole sets of comments, each under the number of its digest; a comment whose set is another one is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             rows = [(d, s) for d, want, s in zip(batch.column("d").to_pylist(), batch.column("digest").to_pylist(),
                                                  text_sets(batch.column("text"), width)) if len(s) and _digest(s) == want]
             yield pa.RecordBatch.from_pydict({
@@ -248,9 +256,10 @@ def join(reviews: DataFrame, percent: int = 85, width: int = 4, review_case_id:
     id's component. Texts are read four times and shuffled once, on the way to
     those that may have a partner.
     """
+    small_batches(reviews)
     none = 2 ** 63 - 1
     texts = reviews.select(F.coalesce(F.col(review_case_id).cast("long"), F.lit(none)).alias("id"), text_of(comment).alias("text"))
-    slim = stage(texts.mapInArrow(_described(width), "id long, n int, digest binary"))
+    slim = stage(texts.mapInArrow(_described(width), "id long, n int, digest binary"), slim=True)
     kinds = slim.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")).withColumn(
         "d", F.xxhash64("digest"))  # a set goes by the number d from here on
     # equal sets repeat the same rows: an n-gram counts as shared when sets of two digests have it
@@ -259,7 +268,7 @@ def join(reviews: DataFrame, percent: int = 85, width: int = 4, review_case_id:
     shared = stage(head_rows().groupBy("gram").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select("gram"))
     table = reviews.sparkSession.sparkContext.broadcast(_bit_table(shared))
     held = head_rows(table).join(shared, "gram").groupBy("d").agg(F.count(F.lit(1)).alias("hits"))
-    first = F.least(F.col("n"), F.floor(F.col("n") * F.lit(FIRST_SHARE)).cast("int") + 1)
+    first = F.least(F.col("n"), F.floor(F.col("n") * (100 - percent + MARGIN) / 100).cast("int") + 1)
     need = F.greatest(F.lit(1), first - F.floor(F.col("n") * (100 - percent) / 100).cast("int"))
     ids = stage(held.join(kinds, "d").filter(F.col("hits") >= need * F.col("copies")).select("d", "id", "digest", "n"))
     # the whole set of one comment for each set that is left; rows that repeat that comment do no harm below

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siliscope.llm.common import crc_remainder, text_of
+from siliscope.llm.common import crc_remainder, small_batches, text_of
 from siliscope.sources.staging import stage
 
 ALPHA = 0.1
@@ -402,6 +402,7 @@ def score(reviews: DataFrame, folds: int = 10, rounds: int = 3, share: int = 24,
     comments, picked by hash: its work grows with the corpus. A missing comment is empty: its end token is scored. A row without an id
     teaches nothing and is not held out. Repeated rows count each.
     """
+    small_batches(reviews)
     spark = reviews.sparkSession
     texts = reviews.select(F.col(review_case_id).alias("id"), text_of(comment).alias("text"), F.xxhash64(text_of(comment)).alias("h"))
     learns = texts.filter(crc_remainder("id", folds) != 0)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siliscope.llm.common import crc_remainder, text_of
+from siliscope.llm.common import crc_remainder, small_batches, text_of
 from siliscope.sources.staging import stage
 
 DISCOUNT = 0.75
@@ -47,6 +47,10 @@ class Model:
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     constant: float | None = None
+    known: dict[str, int] | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": None}
 
     def index(self) -> dict[str, int]:
         return {w: i for i, w in enumerate(self.words, 1)}
@@ -116,7 +120,7 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "n0": pa.array([counts[0].get(k, 0) for k in keys], pa.int64()), "n1": pa.array([counts[1].get(k, 0) for k in keys], pa.int64())})
 
 
-def fit(reviews: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_words: int = 400_000, max_pairs: int = 200_000,
+def fit(reviews: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_words: int = 200_000, max_pairs: int = 200_000,
         review_case_id: str = "review_case_id", comment: str = "safe_comment", toxic: str = "toxic") -> Model:
     """Count and calibrate on at most ``sample_rows`` labelled comments, picked by the hash of their id.
 
@@ -125,13 +129,14 @@ def fit(reviews: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_wo
     several labels are toxic if one label says so; rows without an id or label teach nothing. If a class has no comment, every
     score is the share of toxic labels.
     """
+    small_batches(reviews)
     spark = reviews.sparkSession
     own = labels.filter(F.col(review_case_id).isNotNull() & F.col(toxic).isNotNull()).groupBy(
         F.col(review_case_id).alias("id")).agg(F.max(F.when(F.col(toxic) > 0, 1).otherwise(0)).alias("toxic"))
     # at most sample_rows ids and marks, so the broadcast is bounded
     picked = own.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = reviews.select(F.col(review_case_id).alias("id"), text_of(comment).alias("text"))
-    sample = texts.join(F.broadcast(picked), "id").withColumn("curve", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(4)) == 0)
+    sample = stage(texts.join(F.broadcast(picked), "id").withColumn("curve", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(4)) == 0))
     classes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     none = Model([], np.zeros(1), np.zeros(1), np.empty(0, np.int64), np.empty(0), 0.0)
     if len(classes) < 2:
@@ -186,6 +191,7 @@ def fit(reviews: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_wo
             yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic").cast(pa.int32()), "features": pa.array(list(x), pa.list_(pa.float64()))})
 
     curve = sample.filter("curve").select("text", "toxic").mapInArrow(describe, schema).toArrow()
+    shared_model.unpersist()
     y = curve.column("toxic").to_numpy().astype(float)
     if not 0 < y.sum() < len(y):  # too few labels to fit a curve
         model.constant = classes[1] / (classes[0] + classes[1])
@@ -196,16 +202,12 @@ def fit(reviews: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_wo
     return model
 
 
-_LAST: dict[int, tuple[Model, dict[str, int]]] = {}
-
-
 def _held(shared) -> tuple[Model, dict[str, int]]:
-    """The model and its word index, made once per worker."""
+    """The model and its word index, made once per worker and dropped with the broadcast."""
     model = shared.value
-    if id(model) not in _LAST:
-        _LAST.clear()
-        _LAST[id(model)] = (model, model.index())
-    return _LAST[id(model)]
+    if model.known is None:
+        model.known = model.index()
+    return model, model.known
 
 
 def score(reviews: DataFrame, model: Model, threshold: float = 0.7, comment: str = "safe_comment") -> DataFrame:
