@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REVISIT_BYTES = 100
-FILE_RECORDS = 4000
+FILE_RECORDS = 1000
 BATCH_BYTES = 16 << 20
 CRLF = "\r\n"
 #: every capture gets this date, so that archives written again are equal
