@@ -91,7 +91,38 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.coalesce(crc_remainder("review_case_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-@query("op4_credential_links")
+def _hits_sql(kind: int, pattern: str) -> str:
+    """Matches of one kind with the text before each, so that starts follow from running lengths."""
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return (f"SELECT rid, {kind} AS kind, unnest(regexp_extract_all(t, {quoted})) AS hit, "
+            f"unnest(string_split_regex(t, {quoted})[1:len(regexp_extract_all(t, {quoted}))]) AS gap, "
+            f"unnest(range(len(regexp_extract_all(t, {quoted})))) AS i FROM d WHERE regexp_matches(t, {quoted})")
+
+
+_ASSIGN_SQL = "'" + credential_links.ASSIGN.replace("'", "''") + "'"
+_PATTERNS = (credential_links.ASSIGN, credential_links.ACCESS, credential_links.HEX, credential_links.IDENTIFIER, credential_links.MIXED,
+             credential_links.ENDPOINT)
+_LISTED = "string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+
+
+@query("op4_credential_links", f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+    hits AS ({' UNION ALL '.join(_hits_sql(i, p) for i, p in enumerate(_PATTERNS))}),
+    placed AS (SELECT rid, kind, hit, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS stop FROM hits),
+    fit AS (SELECT rid, kind, stop - length(hit) AS start, stop, ['assign', 'access', 'hex', 'identifier', 'mixed', 'endpoint'][kind + 1] AS name,
+              [2, 1, 2, 1, 2, 3][kind + 1] AS role FROM placed
+            WHERE (kind <> 0 OR length(regexp_extract(hit, {_ASSIGN_SQL}, 2)) >= 6)
+              AND (kind <> 4 OR (regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]')))),
+    parts AS (SELECT * FROM fit f WHERE kind < 3 OR NOT EXISTS (
+            SELECT 1 FROM fit b WHERE b.kind < 3 AND b.rid = f.rid AND b.start < f.stop AND f.start < b.stop)),
+    near AS (SELECT w.rid, w.kind, w.start, max((p.role = 1)::INT) AS who, max((p.role = 2)::INT) AS proof
+             FROM parts w JOIN parts p ON p.rid = w.rid AND p.role <> w.role AND abs(p.start - w.start) <= 200 WHERE w.kind >= 3 GROUP BY 1, 2, 3),
+    kept AS (SELECT p.* FROM parts p LEFT JOIN near n ON n.rid = p.rid AND n.kind = p.kind AND n.start = p.start
+             WHERE p.kind < 3 OR (p.role = 1 AND proof = 1) OR (p.role = 2 AND who = 1) OR (p.role = 3 AND who = 1 AND proof = 1)),
+    listed AS (SELECT rid, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
+               {_LISTED} FILTER (kind < 3) AS base, {_LISTED} AS spans FROM kept GROUP BY 1)
+    SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN listed USING (rid)""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = credential_links.find(reviews_of(table(spark, sf_dir, "documents")))
     base, spans = F.col("base_spans"), F.col("spans")
@@ -118,7 +149,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "evidence", "product_rate", "folder_rate", "score", "predicted")
 
 
-@query("op8_ngram_join")
+@query("op8_ngram_join", r"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x20\x09-\x0D]+') AS w FROM documents),
+    spots AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0),
+    g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM spots),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * c >= 85 * (u.n + v.n - c)),
+    e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id WHERE r.c < e.y)
+    SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id
+    FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY 1""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(reviews_of(table(spark, sf_dir, "documents"))).withColumnRenamed("review_case_id", "doc_id")
 
