@@ -253,8 +253,7 @@ def join(reviews: DataFrame, percent: int = 85, width: int = 4, review_case_id:
     Returns the id, ``n_shingles`` and ``component_id``, the smallest id reachable over links, itself included, one row per input
     row. Ids are whole numbers; a null id takes part as the largest of all. Empty and missing comments are linked with nothing
     and are components of their own. Rows that repeat an id are one node of the links; such a row shows its own set's size and the
-    id's component. Texts are read four times and shuffled once, on the way to
-    those that may have a partner.
+    id's component. Texts are read four times and shuffled once, to be joined with the few that may have a partner.
     """
     small_batches(reviews)
     none = 2 ** 63 - 1
