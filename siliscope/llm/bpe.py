@@ -9,7 +9,6 @@ Nothing is shuffled; a task holds the vocabulary and a bounded table of pieces s
 """
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 from collections.abc import Iterator
@@ -121,11 +120,6 @@ class Tokenizer:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
-
-
 def _lists(rows: list[list[int]]) -> pa.Array:
     offsets = [0]
     for r in rows:
@@ -149,7 +143,7 @@ def encode(reviews: DataFrame, tokenizer_path: str, comment: str = "safe_comment
     schema = schema.add(decoded, StringType()) if decoded else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path)
+        tokenizer = Tokenizer(tokenizer_path)  # this task's own, so that a worker that lives on does not keep it
         for batch in batches:
             texts, others = batch.column(batch.num_columns - 1), batch.select(range(batch.num_columns - 1))
             rows, lo, count = [], 0, 0
@@ -175,7 +169,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, token_ids: str = "token_ids"
     schema = held.drop("__ids").schema.add(decoded, StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path)
+        tokenizer = Tokenizer(tokenizer_path)  # this task's own, so that a worker that lives on does not keep it
         for batch in batches:
             lists, others = batch.column(batch.num_columns - 1), batch.select(range(batch.num_columns - 1))
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()

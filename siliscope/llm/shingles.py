@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes hashed at once; a longer text is cut at white space and its words are put together again
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _STEP = _U(0x2545F4914F6CDD1D)
