@@ -43,7 +43,8 @@ def byte_symbols() -> list[str]:
 class Tokenizer:
     """Vocabulary, merge ranks and added tokens of a byte-level BPE file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = PIECES):
+        self.pieces = pieces
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, symbols = spec["model"], byte_symbols()
@@ -110,7 +111,7 @@ class Tokenizer:
         for piece in self.pattern.findall(text):
             ids = seen.get(piece)
             if ids is None:
-                if len(seen) >= PIECES:
+                if len(seen) >= self.pieces:
                     seen.clear()
                 ids = seen[piece] = self.merge(piece.encode("utf-8"))
             out += ids
@@ -128,12 +129,13 @@ def _lists(rows: list[list[int]]) -> pa.Array:
 
 
 def encode(reviews: DataFrame, tokenizer_path: str, comment: str = "safe_comment", token_ids: str = "token_ids",
-           decoded: str | None = None) -> DataFrame:
+           decoded: str | None = None, pieces: int = PIECES) -> DataFrame:
     """Add the token ids of every whole comment as an array of int; a missing comment gives no tokens.
 
     With ``decoded``, a column of that name gets the text that the ids decode to, in the same pass. ``tokenizer_path`` names a
     tokenizers JSON file that every executor can open (an installed package's, or one shipped with the job). All other columns pass
-    through; columns of the added names are replaced. Nothing is trained.
+    through; columns of the added names are replaced. ``pieces`` bounds the table of pieces that a task keeps: a smaller one saves
+    memory and costs time. Nothing is trained.
     """
     small_batches(reviews)
     added = [token_ids] + ([decoded] if decoded else [])
@@ -143,7 +145,7 @@ def encode(reviews: DataFrame, tokenizer_path: str, comment: str = "safe_comment
     schema = schema.add(decoded, StringType()) if decoded else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(tokenizer_path)  # this task's own, so that a worker that lives on does not keep it
+        tokenizer = Tokenizer(tokenizer_path, pieces)  # this task's own, so that a worker that lives on does not keep it
         for batch in batches:
             texts, others = batch.column(batch.num_columns - 1), batch.select(range(batch.num_columns - 1))
             rows, lo, count = [], 0, 0
