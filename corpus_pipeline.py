@@ -62,7 +62,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding them gives the text back."""
-    decoded = bpe.encode(docs.select(*COLUMNS), tokenizer_path(), comment="text", decoded="decoded_comment")
+    decoded = bpe.encode(docs.select(*COLUMNS), tokenizer_path(), comment="text", decoded="decoded_comment", pieces=100_000)
     return decoded.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
                           (F.col("decoded_comment") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
