@@ -1,8 +1,9 @@
 """Prefix-tree join of review comments by the Jaccard likeness of their word n-grams, exact, with components of the links.
 
 1. Every comment becomes a set of 64-bit n-gram hashes. Equal sets are one from here on, told apart by a 128-bit digest.
-2. In the order of the hashes, a set that links to another one at likeness t shares at least ``a - floor((1-t) n)`` of its
-   first a n-grams with it. Sets that share fewer with all others together are left out; a is (1-t+0.05) n.
+2. In the order of the hashes, the first a n-grams of a set, a being (1-t+0.05) n, share at least the smaller of ``a - (n - o)`` and
+   ``a' - (n' - o)`` with the first a' of a set of n' n-grams that links to it at likeness t by an overlap o. Sets that share fewer
+   than the least of these over all n' and o with all others together are left out.
 3. The whole sets of the rest are counted and put into the global order, rarest n-gram first. N-grams of one set alone
    are dropped and only kept as a number; a set that is left with less than t of its size can link to none.
 4. Two linked sets share one of their first ``s - ceil(t n) + 1`` n-grams. Of the sets that share such an n-gram each is paired
@@ -51,22 +52,32 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(lo, BATCH_TEXTS)
 
 
-def _described(width: int):
-    """Rows of id, size and digest of each comment."""
+def _described(width: int, percent: int):
+    """Rows of id, size, n-grams needed among the first ones and digest of each comment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
-            sets = [(len(s), _digest(s) if len(s) else None) for s in text_sets(batch.column("text"), width)]
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n": pa.array([n for n, _ in sets], pa.int32()),
-                                              "digest": pa.array([d for _, d in sets], pa.binary())})
+            sets = [(len(s), _digest(s) if len(s) else None, _head(len(s), percent)[1]) for s in text_sets(batch.column("text"), width)]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n": pa.array([n for n, _, _ in sets], pa.int32()),
+                                              "need": pa.array([k for _, _, k in sets], pa.int32()),
+                                              "digest": pa.array([d for _, d, _ in sets], pa.binary())})
 
     return run
 
 
 def _head(n: int, percent: int) -> tuple[int, int]:
-    """How many n-grams of a set are looked at first, and how many of them a set that links to it must share."""
+    """How many n-grams of a set are looked at first, and how many of them are among the first of any set that links to it.
+
+    Of the first ones of two sets at least ``first - lacking`` on either side are common to both, in one order, so the smaller
+    count is shared; ``lacking`` is what the whole set has beyond the least overlap that links the two sizes.
+    """
     first = min(n, (100 - percent + MARGIN) * n // 100 + 1)
-    return first, max(1, first - (100 - percent) * n // 100)
+    if not n:
+        return first, 1
+    sizes = np.arange(-(-percent * n // 100), 100 * n // percent + 1)  # of the sets that may link to this one
+    own = first - (100 * n - percent * sizes) // (100 + percent)
+    theirs = np.minimum(sizes, (100 - percent + MARGIN) * sizes // 100 + 1) - (100 * sizes - percent * n) // (100 + percent)
+    return first, max(1, int(np.minimum(own, theirs).min()))
 
 
 def _heads(width: int, percent: int, table=None):
@@ -258,8 +269,8 @@ def join(reviews: DataFrame, percent: int = 85, width: int = 4, review_case_id:
     small_batches(reviews)
     none = 2 ** 63 - 1
     texts = reviews.select(F.coalesce(F.col(review_case_id).cast("long"), F.lit(none)).alias("id"), text_of(comment).alias("text"))
-    slim = stage(texts.mapInArrow(_described(width), "id long, n int, digest binary"), slim=True)
-    kinds = slim.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")).withColumn(
+    slim = stage(texts.mapInArrow(_described(width, percent), "id long, n int, need int, digest binary"), slim=True)
+    kinds = slim.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("need").alias("need"), F.count(F.lit(1)).alias("copies")).withColumn(
         "d", F.xxhash64("digest"))  # a set goes by the number d from here on
     # equal sets repeat the same rows: an n-gram counts as shared when sets of two digests have it
     head_rows = lambda table=None: texts.mapInArrow(_heads(width, percent, table), "digest binary, head array<long>").select(
@@ -267,9 +278,7 @@ def join(reviews: DataFrame, percent: int = 85, width: int = 4, review_case_id:
     shared = stage(head_rows().groupBy("gram").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select("gram"))
     table = reviews.sparkSession.sparkContext.broadcast(_bit_table(shared))
     held = head_rows(table).join(shared, "gram").groupBy("d").agg(F.count(F.lit(1)).alias("hits"))
-    first = F.least(F.col("n"), F.floor(F.col("n") * (100 - percent + MARGIN) / 100).cast("int") + 1)
-    need = F.greatest(F.lit(1), first - F.floor(F.col("n") * (100 - percent) / 100).cast("int"))
-    ids = stage(held.join(kinds, "d").filter(F.col("hits") >= need * F.col("copies")).select("d", "id", "digest", "n"))
+    ids = stage(held.join(kinds, "d").filter(F.col("hits") >= F.col("need") * F.col("copies")).select("d", "id", "digest", "n"))
     # the whole set of one comment for each set that is left; rows that repeat that comment do no harm below
     sets = stage(texts.join(ids.select("d", "id", "digest"), "id").mapInArrow(_whole(width), "id long, grams array<long>"))
     rows = sets.select("id", F.explode("grams").alias("gram"))

@@ -201,6 +201,30 @@ def test_join_matches_brute_force(spark, monkeypatch, percent, width, seed):
     assert len({c for _, c in want.values()}) < len(rows)
 
 
+@pytest.mark.parametrize(("percent", "width"), [(85, 4), (80, 5)])
+def test_join_links_texts_with_one_word_more(spark, percent, width):
+    rows = []
+    for size in range(4, 61):
+        for k in range(12):
+            text = " ".join(f"s{size}k{k}w{i}" for i in range(size))
+            rows += [(2 * len(rows), text), (2 * len(rows) + 1, text + " more")]
+    want = components_by_hand(rows, percent, width)
+    got = ngram_join.join(spark.createDataFrame([(*r, 1) for r in rows], COMMENT + ", n_shingles int"), percent, width).collect()
+    assert {r.review_case_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_first_ngrams_keep_every_link():
+    for percent in (60, 80, 85, 100):
+        for n in range(1, 90):
+            for m in range(n, 100 * n // percent + 1):
+                common = -(-percent * (n + m) // (100 + percent))
+                if common > n:
+                    continue
+                (a, need_a), (b, need_b) = ngram_join._head(n, percent), ngram_join._head(m, percent)
+                # the n-grams that only one set has come first: fewest common ones are looked at
+                assert min(a - (n - common), b - (m - common)) >= max(need_a, need_b) >= 1
+
+
 def test_join_of_nothing_and_of_rows_without_id(spark):
     table = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (None, None)], COMMENT)
     got = sorted(((r.review_case_id or 0, r.n_shingles, r.component_id) for r in ngram_join.join(table).collect()), key=str)
