@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from siliscope.llm.common import pieces, small_batches, tasks, text_of
 
-#: (text length from which it holds, code points of a leaf at most); short texts have finer leaves
-PIECES = ((400, 48), (200, 24), (100, 12), (0, 6))
+PIECE = 6  # code points of a leaf at most, whatever the text's length, so that any two texts can share leaves
 SHORT = 8  # digits of an inner node
 
 
@@ -26,13 +25,13 @@ def _hash(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _leaves(paragraph: str, piece: int) -> list[str]:
+def _leaves(paragraph: str) -> list[str]:
     out = []
     for sentence in paragraph.split(". "):
-        if len(sentence) <= piece:
+        if len(sentence) <= PIECE:
             out.append(sentence)
         else:
-            out += [sentence[i:i + piece] for i in range(0, len(sentence), piece)]
+            out += [sentence[i:i + PIECE] for i in range(0, len(sentence), PIECE)]
         out[-1] += ". "
     out[-1] = out[-1][:-2]
     return out
@@ -41,11 +40,10 @@ def _leaves(paragraph: str, piece: int) -> list[str]:
 def fingerprint(text: str) -> str:
     """``root:section[paragraph(leaf.leaf),...];...``; equal for equal texts alone."""
     sections, nodes = [], []
-    piece = next(p for n, p in PIECES if len(text) >= n)
     for section in text.split("\n\n"):
         paragraphs, hashes = [], []
         for paragraph in section.split("\n"):
-            leaves = [_hash(p.encode()) for p in _leaves(paragraph, piece)]
+            leaves = [_hash(p.encode()) for p in _leaves(paragraph)]
             node = _hash(b"p" + b"".join(leaves))
             hashes.append(node)
             paragraphs.append(f"{node.hex()[:SHORT]}({'.'.join([x.hex()[:SHORT] for x in leaves])})")

@@ -162,6 +162,14 @@ def test_fingerprints_tell_equality_and_place_edits():
     assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(a.replace("Five", "5"))) == pytest.approx(12 / 14)
 
 
+def test_likeness_does_not_depend_on_text_length():
+    near = lambda a, b: merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b))
+    for bound in (100, 200, 400):
+        text = ". ".join(f"sentence {i} with some words of its own up to here {i}" for i in range(20))
+        assert near(text[:bound - 2], text[:bound + 2]) > 0.8
+        assert near(text[:bound * 9 // 8], merkle.edited(text[:bound * 9 // 8], "fourteen chars")) > 0.65
+
+
 def test_edit_report(spark):
     texts = [*TEXTS, "é" * 500 + ". tail", "next one. " * 90]
     rows = [(10 * i, t) for i, t in enumerate(texts)]
