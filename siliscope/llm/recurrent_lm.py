@@ -249,15 +249,24 @@ def train_on(network: Network, sequences: list[np.ndarray], rate: float) -> int:
     cut = lambda x: x[:streams * length].reshape(streams, length).T
     inputs, targets, fresh = cut(shifted), cut(flat), cut(starts)
     seen = {name: np.full(shape, 1e-6, np.float32) for name, shape in SHAPES}
-    h = np.zeros((streams, HIDDEN), np.float32)
-    for t in range(0, length, WINDOW):
-        part = slice(t, t + WINDOW)
-        _, h, g = network.learn(inputs[part], targets[part], fresh[part], h)
+
+    def update(x, y, new, h):
+        _, h, g = network.learn(x, y, new, h)
         for name, grad in g.items():
             grad /= streams
             np.clip(grad, -5, 5, out=grad)
             seen[name] += grad * grad
             network.w[name] -= rate * grad / np.sqrt(seen[name])
+        return h
+
+    h = np.zeros((streams, HIDDEN), np.float32)
+    for t in range(0, length, WINDOW):
+        part = slice(t, t + WINDOW)
+        h = update(inputs[part], targets[part], fresh[part], h)
+    # fewer tokens than streams are left over; they go on where the last stream ends
+    at = streams * length
+    if at < len(flat):
+        update(shifted[at:, None], flat[at:, None], starts[at:, None], h[-1:])
     return len(flat)
 
 
@@ -296,10 +305,14 @@ def _vocabulary(texts: DataFrame, counts: DataFrame, documents: int) -> Vocabula
     return Vocabulary(words, c, (total.n or 0) + documents, total.v + (documents > 0), documents, np.maximum(masses, 0))
 
 
+def _lesson(texts: DataFrame, k: int, share: int) -> DataFrame:
+    """The comments of round k: one fold of ``share``, dealt by hash of the id."""
+    return texts.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(share)) == k % share)
+
+
 def _train(texts: DataFrame, vocabulary, network: Network, rounds: int, share: int, rate: float) -> Network:
     """Rounds of local training on one in ``share`` comments each, other ones in each round, and weighted averaging."""
     spark = texts.sparkSession
-    fold = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(share))
     for k in range(rounds):
         weights = spark.sparkContext.broadcast(network.packed())
         speed = rate / (1 + k)
@@ -326,7 +339,7 @@ def _train(texts: DataFrame, vocabulary, network: Network, rounds: int, share: i
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "tokens": [tokens], "weights": [own.packed()]})
 
-        local = texts.filter(fold == k % share).select("text").mapInArrow(run, "part int, tokens long, weights binary")
+        local = _lesson(texts, k, share).select("text").mapInArrow(run, "part int, tokens long, weights binary")
         fan = max(1, int(np.ceil(np.sqrt(texts.rdd.getNumPartitions()))))
 
         def add(part: pd.DataFrame) -> pd.DataFrame:
@@ -392,16 +405,19 @@ def _rare_words(vocabulary):
     return run
 
 
-def score(reviews: DataFrame, folds: int = 10, rounds: int = 3, share: int = 24, rate: float = 0.15,
+def score(reviews: DataFrame, folds: int = 10, rounds: int = 3, share: int | None = None, rate: float = 0.15,
           review_case_id: str = "review_case_id", comment: str = "safe_comment") -> DataFrame:
     """Score every whole comment after learning from those whose crc32(id as text) mod ``folds`` is not 0.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; each comment ends with an end token. Returns the id,
     ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (smoothed word counts) and ``score`` (the network),
     both log10-probabilities of the text, one row per input row. Training takes ``rounds`` rounds of one in ``share`` training
-    comments, picked by hash: its work grows with the corpus. A missing comment is empty: its end token is scored. A row without an id
-    teaches nothing and is not held out. Repeated rows count each.
+    comments, dealt by hash; ``share`` is ``rounds`` unless given and never more, so that every training comment is learnt from. A
+    missing comment is empty: its end token is scored. A row without an id teaches nothing and is not held out. Repeated rows count each.
     """
+    share = rounds if share is None else share
+    if not 1 <= share <= rounds:
+        raise ValueError("share is at most rounds, or comments would be left out of training")
     small_batches(reviews)
     spark = reviews.sparkSession
     texts = reviews.select(F.col(review_case_id).alias("id"), text_of(comment).alias("text"), F.xxhash64(text_of(comment)).alias("h"))

@@ -277,6 +277,30 @@ def test_language_model_counts_and_beats_them(spark):
     assert recurrent_lm.score(table.limit(0)).count() == 0
 
 
+def test_network_learns_from_every_training_comment(spark, monkeypatch):
+    taught, lesson = [], recurrent_lm._lesson
+
+    def noted(*args):
+        out = lesson(*args)
+        taught.extend(r.id for r in out.select("id").collect())
+        return out
+
+    monkeypatch.setattr(recurrent_lm, "_lesson", noted)
+    recurrent_lm.score(spark.createDataFrame([(i, f"ring {i}", 1) for i in range(200)], COMMENT + ", score int"))
+    assert sorted(taught) == [i for i in range(200) if zlib.crc32(str(i).encode()) % 10]
+    with pytest.raises(ValueError):
+        recurrent_lm.score(spark.createDataFrame([(1, "ring")], COMMENT), rounds=3, share=4)
+
+
+def test_training_passes_over_every_token(monkeypatch):
+    seen, learn = [], recurrent_lm.Network.learn
+    monkeypatch.setattr(recurrent_lm.Network, "learn", lambda self, x, y, *rest: seen.append(y.size) or learn(self, x, y, *rest))
+    for n in (1, 31, 100, 1030, 2047):
+        seen.clear()
+        net = recurrent_lm.Network.start(np.full(recurrent_lm.SYMBOLS, 1 / recurrent_lm.SYMBOLS))
+        assert recurrent_lm.train_on(net, [np.arange(n) % recurrent_lm.SYMBOLS], 0.1) == n == sum(seen)
+
+
 def test_network_gradients_and_windows():
     rng = np.random.default_rng(0)
     shares = rng.random(recurrent_lm.SYMBOLS)
