@@ -12,6 +12,7 @@ file. A file is one gzip stream of at most ``FILE_RECORDS`` captures and is read
 """
 from __future__ import annotations
 
+import hashlib
 import io
 import zlib
 from collections.abc import Iterator
@@ -149,7 +150,9 @@ def _row(headers: dict[str, str], block: bytes, payload: bool) -> tuple:
     kind = headers.get("warc-type")
     number = lambda name: int(headers[name]) if name in headers else None
     body = block.partition(b"\r\n\r\n")[2] if kind in ("response", "revisit") else block
-    digest = headers.get("warc-payload-digest", "").rpartition(":")[2] or None
+    # a response's digest is that of the bytes read, so a payload damaged on the way shows; a revisit has only the stated one
+    stated = headers.get("warc-payload-digest", "").rpartition(":")[2] or None
+    digest = hashlib.sha256(body).hexdigest() if kind == "response" else stated
     size = number("x-payload-length") if kind == "revisit" else len(body) if kind == "response" else None
     return (kind, headers.get("warc-record-id"), headers.get("warc-concurrent-to"), headers.get("warc-target-uri"),
             headers.get("warc-date"), number("x-capture-id"), digest, size, number("x-refers-to-capture"), body if payload else None)

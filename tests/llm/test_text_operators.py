@@ -150,6 +150,12 @@ def test_mix_comes_near_its_targets(spark):
     assert budget_mix.mix(table.limit(0)).count() == 0
 
 
+def test_digest_of_a_response_is_that_of_the_bytes_read():
+    headers = {"warc-type": "response", "warc-payload-digest": "sha256:" + hashlib.sha256(b"abcd").hexdigest()}
+    for body in (b"abcd", b"abXd", b""):
+        assert warc._row(headers, b"HTTP/1.1 200 OK\r\n\r\n" + body, False)[6] == hashlib.sha256(body).hexdigest()
+
+
 def test_fingerprints_tell_equality_and_place_edits():
     texts = [t or "" for t in TEXTS] + ["a. b", "a.\n b", "a.\n\n b", "a.\n\n\n b", "a. b\n", "b. a"]
     marks = [merkle.fingerprint(t) for t in texts]
