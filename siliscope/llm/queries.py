@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siliscope.llm import bpe, budget_mix, credential_links, merkle, ngram_join, recurrent_lm, site_quality, topk, toxicity, warc
+from siliscope.llm import bpe, budget_mix, credential_links, lexical_search, merkle, ngram_join, recurrent_lm, site_quality, topk, toxicity, warc, whitening
 from siliscope.llm.common import crc_remainder, table
 from siliscope.sources.staging import shared_folder
 
@@ -168,3 +168,30 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_recurrent_lm")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.score(reviews_of(table(spark, sf_dir, "documents"))).withColumnRenamed("review_case_id", "doc_id")
+
+
+@query("op13_whitened_components")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("sample_id"), whitening.quantised(F.col("embedding")).alias("features"))
+    return whitening.whiten(vectors).withColumnRenamed("sample_id", "vec_id")
+
+
+@query("op12_lexical_search", r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    c AS (SELECT count(*)::BIGINT AS all_n, sum(len(w))::BIGINT AS all_l FROM d WHERE len(w) > 0),
+    q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark WHERE item_id IS NOT NULL),
+    o AS (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d),
+    f AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM o WHERE t IN (SELECT t FROM q) GROUP BY 1, 2, 3),
+    g AS (SELECT t, floor(1000 * ln((2 * all_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, c GROUP BY t, all_n),
+    s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * all_n) // all_l))))::BIGINT AS score
+          FROM q JOIN g USING (t) JOIN f USING (t), c GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comments = reviews_of(table(spark, sf_dir, "documents")).select("review_case_id", "safe_comment")
+    requests = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("line_no"), F.col("text").alias("safe_comment"))
+    found = lexical_search.search(comments, requests)
+    return found.select(F.col("line_no").alias("item_id"), "rank", F.col("review_case_id").alias("doc_id"), "score")
