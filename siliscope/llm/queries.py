@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siliscope.llm import bpe, budget_mix, credential_links, lexical_search, merkle, ngram_join, recurrent_lm, site_quality, topk, toxicity, warc, whitening
+from siliscope.llm import bpe, budget_mix, credential_links, lexical_search, merkle, ngram_join, page_text, recurrent_lm, site_quality, topk, toxicity, warc, whitening
 from siliscope.llm.common import crc_remainder, table
 from siliscope.sources.staging import shared_folder
 
@@ -170,6 +170,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.score(reviews_of(table(spark, sf_dir, "documents"))).withColumnRenamed("review_case_id", "doc_id")
 
 
+@query("op11_page_text")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op13_whitened_components")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(
