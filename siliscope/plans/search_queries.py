@@ -135,7 +135,8 @@ def _(spark, sf):
         F.col("query_id").alias("left_id"), F.col("neighbor_id").alias("right_id"), "jaccard")
 
 
-part("favg", "SELECT name AS feature, count(*) AS wafers, round(avg(v),6) AS mean FROM (UNPIVOT (SELECT * EXCLUDE (sample_id) "
+# whole millionths, so that no order of summing shows; a value on the edge between two is pushed to the upper one on both sides
+part("favg", "SELECT name AS feature, count(*) AS wafers, sum(floor(v*1e6+0.50001)::BIGINT)::DOUBLE/count(*)/1e6 AS mean FROM (UNPIVOT (SELECT * EXCLUDE (sample_id) "
      "FROM f_all) ON COLUMNS(*) INTO NAME name VALUE v) GROUP BY 1", ("f_all",))
 
 
@@ -145,7 +146,7 @@ def column_means(spark, sf, rows, schema):
     named = spark.createDataFrame(rows, schema)
     picked = sorted({r[-1] for r in rows})
     means = (df.unpivot([], picked, "feature", "v").groupBy("feature")
-             .agg(F.count("v").alias("wafers"), F.round(F.avg("v"), 6).alias("mean")))
+             .agg(F.count("v").alias("wafers"), (F.sum(F.floor(F.col("v") * 1e6 + 0.50001)).cast("double") / F.count("v") / 1e6).alias("mean")))
     return means.join(F.broadcast(named), "feature")
 
 
@@ -332,9 +333,10 @@ def _(spark, sf):
 
 @query("p16_class_columns", """SELECT c.c AS class_name, k.k AS target_kind, feature, wafers, mean
    FROM (SELECT *, feature AS n FROM favg),
-   (VALUES ('edge'),('shot_grid'),('stby_pattern'),('ring'),('scratch'),('local')) c(c), (VALUES ('class'),('class_location')) k(k)
-   WHERE CASE WHEN starts_with(n,'polar_') THEN k='class_location' AND c IN ('edge','scratch','local')
-     WHEN starts_with(n,'stby_polar_') THEN k='class_location' AND c='stby_pattern'
+   (VALUES ('edge'),('shot_grid'),('stby_pattern'),('ring'),('scratch'),('local')) c(c),
+   (VALUES ('class',false),('class_radial',false),('class_location',true),('feature_key',true)) k(k, spatial)
+   WHERE CASE WHEN starts_with(n,'polar_') THEN spatial AND c IN ('edge','scratch','local')
+     WHEN starts_with(n,'stby_polar_') THEN spatial AND c='stby_pattern'
      WHEN c='edge' THEN starts_with(n,'edge_') OR n IN ('center_density','radial_zone_04_severity')
      WHEN c='shot_grid' THEN starts_with(n,'shot_') WHEN c='stby_pattern' THEN n='stby_ratio'
      WHEN c='ring' THEN starts_with(n,'ring_') OR starts_with(n,'radial_zone_')
@@ -342,7 +344,7 @@ def _(spark, sf):
      ELSE starts_with(n,'local_') OR starts_with(n,'morph_') END""", ("favg",))
 def _(spark, sf):
     cols = nm.observable(wafer_features(spark, sf).columns, location_aware=True)
-    return column_means(spark, sf, [(c, k, n) for c in C.REPORT_CLASSES for k in ("class", "class_location")
+    return column_means(spark, sf, [(c, k, n) for c in C.REPORT_CLASSES for k in rt.TARGET_KINDS
                              for n in nm.class_columns(cols, c, k)], "class_name string, target_kind string, feature string")
 
 
