@@ -328,11 +328,11 @@ def train_encoder(model: Encoder, rows: DataFrame, epochs: int, rate: float, pai
     n = rows.count()
     history = []
     for _ in range(epochs):
-        m = model
+        m, held = model, rows.sparkSession.sparkContext.broadcast(model)
         d, c = m.w2.shape[1], m.wc.shape[1]
 
-        def moments(pdf: pd.DataFrame, m=m, d=d) -> np.ndarray:
-            z = m.forward(np.stack(pdf["vec"]))[2]
+        def moments(pdf: pd.DataFrame, held=held, d=d) -> np.ndarray:
+            z = held.value.forward(np.stack(pdf["vec"]))[2]
             which = pdf["signature"].map(at).to_numpy()
             sums, sizes = np.zeros((len(sigs), d)), np.bincount(which, minlength=len(sigs)).astype(float)
             np.add.at(sums, which, z)
@@ -344,7 +344,8 @@ def train_encoder(model: Encoder, rows: DataFrame, epochs: int, rate: float, pai
         sizes = total[d * d + len(sigs) * d:]
         pulled = similar @ sums
 
-        def gradient(pdf: pd.DataFrame, m=m, d=d, c=c, gram=gram, pulled=pulled) -> np.ndarray:
+        def gradient(pdf: pd.DataFrame, held=held, d=d, c=c, gram=gram, pulled=pulled) -> np.ndarray:
+            m = held.value
             x, h, z, logits = m.forward(np.stack(pdf["vec"]))
             y = np.stack(pdf["y"]).astype(float)
             p = 1.0 / (1.0 + np.exp(-np.clip(logits, -30.0, 30.0)))
@@ -358,6 +359,7 @@ def train_encoder(model: Encoder, rows: DataFrame, epochs: int, rate: float, pai
                                   + [np.array([loss])])
 
         g = _tree_sum(rows, gradient)
+        held.destroy()
         shapes = [m.w1.shape, m.b1.shape, m.w2.shape, m.b2.shape, m.wc.shape, m.bc.shape]
         parts, pos = [], 0
         for s in shapes:
@@ -376,14 +378,18 @@ def train_encoder(model: Encoder, rows: DataFrame, epochs: int, rate: float, pai
 
 
 def encode(model: Encoder, rows: DataFrame) -> DataFrame:
-    """Add ``embedding`` (unit length), ``logits`` and ``probs`` to rows with a ``vec``; rows without one get NULLs."""
+    """Add ``embedding`` (unit length), ``logits`` and ``probs`` to rows with a ``vec``; rows without one get NULLs.
+
+    The weights go to every executor once, as a broadcast of some matrices.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("embedding array<double>, logits array<double>, probs array<double>")
     def apply(vec: pd.Series) -> pd.DataFrame:
         known = np.flatnonzero(vec.notna().to_numpy())
         columns = {c: np.empty(len(vec), dtype=object) for c in ("embedding", "logits", "probs")}
         if len(known):
-            _, _, z, logits = model.forward(np.stack(vec.iloc[known]))
+            _, _, z, logits = held.value.forward(np.stack(vec.iloc[known]))
             e = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
             p = 1.0 / (1.0 + np.exp(-np.clip(logits, -30.0, 30.0)))
             for name, values in (("embedding", e), ("logits", logits), ("probs", p)):

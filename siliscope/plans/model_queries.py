@@ -204,11 +204,13 @@ def _(spark, sf):
     return st.confusion(long).drop("iou").join(loss, "class_name")
 
 
-@query("m09_prediction_table", f"SELECT id, {', '.join(f'label_{c}' for c in C.REPORT_CLASSES)}, round(e0,6) AS embedding_00 FROM enc JOIN labels25 l ON l.sample_id=enc.id", ("enc", "labels25"))
+@query("m09_prediction_table", f"""SELECT id, {', '.join(f'label_{c}' for c in C.REPORT_CLASSES)}, {', '.join(f'round(1/(1+exp(-g{c})),6) AS prob_{n}' for c, n in enumerate(C.REPORT_CLASSES))},
+   [{', '.join(repr(n) for n in C.REPORT_CLASSES)}][list_position([{', '.join(f'g{c}' for c in range(6))}], greatest({', '.join(f'g{c}' for c in range(6))}))] AS top_label, round(e0,6) AS embedding_00, round(e1,6) AS embedding_01
+   FROM enc JOIN labels25 l ON l.sample_id=enc.id""", ("enc", "labels25"))
 def _(spark, sf):
     s = scored(spark, sf).join(wafer_features(spark, sf).select(F.col("sample_id").alias("id"), *[f"label_{c}" for c in C.REPORT_CLASSES]), "id")
     t = md.prediction_table(s, C.REPORT_CLASSES, 2)
-    return t.select("id", *[f"label_{c}" for c in C.REPORT_CLASSES], F.round("embedding_00", 6).alias("embedding_00"))
+    return t.withColumns({n: F.round(n, 6) for n in t.columns if n.startswith(("prob_", "embedding_"))})
 
 
 # ---- linear segmentation: eight full-batch steps
