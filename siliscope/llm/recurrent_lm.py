@@ -6,8 +6,9 @@ factored into classes: a softmax over classes and one within the class. The netw
 through time, each task on its own comments, and the tasks' weights are averaged after every round. Scoring carries the state
 from window to window through the whole comment.
 
-Common words are looked up in a table of bounded size that every task holds; the rest of the vocabulary grows with the
-corpus and is joined by a shuffle of (comment, word, count) rows. Weights are a few hundred kilobytes whatever the input.
+Every comment is split and looked up once, against a table of bounded size that every task holds, and staged as its symbols
+(two bytes each); training and scoring read those alone. The rest of the vocabulary grows with the corpus and is joined by a
+shuffle of (comment, word, count) rows. Weights are a few hundred kilobytes whatever the input.
 """
 from __future__ import annotations
 
@@ -17,7 +18,6 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,9 +35,10 @@ SYMBOLS = CLASSES * PER_CLASS
 END = 0  # ends a comment, and starts it
 HIDDEN = 16
 WINDOW = 32
-STREAMS = 32  # comments trained side by side
-SCORED = 512  # comments scored side by side
-CHUNK_TOKENS = 1_000_000
+STREAMS = 512  # comments trained side by side
+SCORED = 4096  # comments scored side by side
+CHUNK_TOKENS = 2_000_000
+FAN = 32  # tasks that add up the weights of all others
 MOST = 60.0  # of a logit, so that its exponential fits a single-precision number
 ONES = {n: np.ones(n, np.float32) for n in (CLASSES, PER_CLASS)}
 
@@ -133,73 +134,100 @@ class Network:
             at += n
         return cls(out)
 
-    def step(self, symbols: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        gate = self.w["inputs"][symbols]
-        own = h @ self.w["state"] + self.w["state_bias"]
-        rz = 1 / (1 + np.exp(-(gate[:, :2 * HIDDEN] + own[:, :2 * HIDDEN])))
-        r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-        n = np.tanh(gate[:, 2 * HIDDEN:] + r * own[:, 2 * HIDDEN:])
-        return n + z * (h - n), r, z, n, own[:, 2 * HIDDEN:]
+    def step(self, symbols: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The states after one more symbol each."""
+        return self._step(self.w["inputs"][symbols], h)[0]
+
+    def _step(self, gate: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        own = h @ self.w["state"]
+        own += self.w["state_bias"]
+        rz = gate[:, :2 * HIDDEN] + own[:, :2 * HIDDEN]
+        np.negative(rz, out=rz)
+        np.exp(rz, out=rz)
+        rz += 1
+        np.reciprocal(rz, out=rz)
+        r, z, own_n = rz[:, :HIDDEN], rz[:, HIDDEN:], own[:, 2 * HIDDEN:]
+        n = r * own_n
+        n += gate[:, 2 * HIDDEN:]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= z
+        after += n
+        return after, rz, n, own_n
 
     def output(self, h: np.ndarray, target: np.ndarray, gradients: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probability of each target after its state; with ``gradients``, adds the weights' and returns the states'."""
         w, cls, place = self.w, class_of(target), target // CLASSES
-        logits = np.minimum(h @ w["classes"] + w["class_bias"], MOST)
-        e = np.exp(logits)
-        total = e @ ONES[CLASSES]
+        # a state's entries are below 1 in size, so weights tell whether any logit can be too large
+        clip = max(float((np.abs(w[n]).sum(-2) + np.abs(w[b])).max()) for n, b in (("classes", "class_bias"), ("within", "within_bias"))) > MOST
+        d = h @ w["classes"]  # logits, then their exponentials, then the loss's slopes, in place
+        d += w["class_bias"]
+        if clip:
+            np.minimum(d, MOST, out=d)
         rows = np.arange(len(target))
-        logp = logits[rows, cls] - np.log(total)
+        logp = d[rows, cls]
+        np.exp(d, out=d)
+        total = d @ ONES[CLASSES]
+        logp -= np.log(total)
         dh = None
         if gradients is not None:
-            d = e / total[:, None]
+            d *= (1 / total)[:, None]
             d[rows, cls] -= 1
             gradients["classes"] += h.T @ d
             gradients["class_bias"] += d.sum(0)
             dh = d @ w["classes"].T
+        # classes in turn, each a slice of the rows sorted by class
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1), sorter=order)
+        by_class, places, logs = h[order], place[order], np.empty(len(order), h.dtype)
+        back = None if gradients is None else np.empty_like(by_class)
         for c in range(CLASSES):
-            at = order[cuts[c]:cuts[c + 1]]
-            if not len(at):
+            lo, hi = cuts[c], cuts[c + 1]
+            if lo == hi:
                 continue
-            hc = h[at]
-            inner = np.minimum(hc @ w["within"][c] + w["within_bias"][c], MOST)
-            e = np.exp(inner)
-            total = e @ ONES[PER_CLASS]
-            here = np.arange(len(at))
-            logp[at] += inner[here, place[at]] - np.log(total)
+            hc = by_class[lo:hi]
+            here, at = rows[:hi - lo], places[lo:hi]
+            d = hc @ w["within"][c]
+            d += w["within_bias"][c]
+            if clip:
+                np.minimum(d, MOST, out=d)
+            logs[lo:hi] = d[here, at]
+            np.exp(d, out=d)
+            total = d @ ONES[PER_CLASS]
+            logs[lo:hi] -= np.log(total)
             if gradients is not None:
-                d = e / total[:, None]
-                d[here, place[at]] -= 1
+                d *= (1 / total)[:, None]
+                d[here, at] -= 1
                 gradients["within"][c] += hc.T @ d
                 gradients["within_bias"][c] += d.sum(0)
-                dh[at] += d @ w["within"][c].T
+                back[lo:hi] = d @ w["within"][c].T
+        logp[order] += logs
+        if gradients is not None:
+            dh[order] += back
         return logp, dh
 
     def log10_of(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Log10-probability of whole symbol sequences; the state is carried through all windows of each."""
         out = np.zeros(len(sequences))
-        by_length = np.argsort([-len(s) for s in sequences], kind="stable")
+        if not sequences:
+            return out
+        flat, all_lengths = np.concatenate(sequences), np.array([len(s) for s in sequences])
+        starts = np.cumsum(all_lengths) - all_lengths
+        by_length = np.argsort(-all_lengths, kind="stable")
         for lo in range(0, len(sequences), SCORED):
             part = by_length[lo:lo + SCORED]
-            lengths = np.array([len(sequences[i]) for i in part])
+            lengths, at = all_lengths[part], starts[part]
             h = np.zeros((len(part), HIDDEN), np.float32)
             last = np.full(len(part), END)
             for t0 in range(0, int(lengths[0]), WINDOW):
-                live = int((lengths > t0).sum())
-                window = np.zeros((WINDOW, live), np.int64)
-                for j in range(live):
-                    s = sequences[part[j]][t0:t0 + WINDOW]
-                    window[:len(s), j] = s
-                h, last = h[:live], last[:live]
                 states, targets, owner = [], [], []
-                for t in range(min(WINDOW, int(lengths[0]) - t0)):
-                    live_t = int((lengths[:live] > t0 + t).sum())  # longest first, so the live ones lead
-                    h = self.step(last[:live_t], h[:live_t])[0]
-                    last = window[t, :live_t]
+                for t in range(t0, min(t0 + WINDOW, int(lengths[0]))):
+                    live = int(np.searchsorted(-lengths, -t))  # longest first, so those longer than t lead
+                    h = self.step(last[:live], h[:live])
+                    last = flat[at[:live] + t]
                     states.append(h)
                     targets.append(last)
-                    owner.append(part[:live_t])
+                    owner.append(part[:live])
                 logp, _ = self.output(np.concatenate(states), np.concatenate(targets))
                 out += np.bincount(np.concatenate(owner), logp, len(sequences))
         return out / np.log(10)
@@ -209,34 +237,61 @@ class Network:
 
         The state is set to zero where a comment begins (``fresh``).
         """
+        w = self.w
         g = {name: np.zeros(shape, np.float32) for name, shape in SHAPES}
-        held, kept = (~fresh)[:, :, None], []
+        held, gates = (~fresh)[:, :, None], w["inputs"][inputs]
+        before, states, n, own_n = (np.empty((*inputs.shape, HIDDEN), h.dtype) for _ in range(4))
+        rz = np.empty((*inputs.shape, 2 * HIDDEN), h.dtype)
         for t in range(len(inputs)):
-            h = h * held[t]
-            kept.append((h, *self.step(inputs[t], h)))
-            h = kept[-1][1]
-        states = np.concatenate([k[1] for k in kept])
-        logp, d_states = self.output(states, targets.ravel(), g)
-        d_states = d_states.reshape(len(inputs), -1, HIDDEN)
-        carry = np.zeros_like(h)
-        d_gate = np.zeros((len(inputs), len(h), 3 * HIDDEN), np.float32)
+            np.multiply(h, held[t], out=before[t])
+            h, rz[t], n[t], own_n[t] = self._step(gates[t], before[t])
+            states[t] = h
+        logp, d_states = self.output(states.reshape(-1, HIDDEN), targets.ravel(), g)
+        d_states = d_states.reshape(states.shape)
+        r, z = rz[:, :, :HIDDEN], rz[:, :, HIDDEN:]
+        # slopes of a state by its parts, for the whole window; only the carried part goes step by step
+        keep = 1 - z
+        by_n, by_z, by_r = 1 - n * n, before - n, 1 - r
+        by_n *= keep
+        by_z *= z
+        by_z *= keep
+        by_r *= r
+        by_r *= own_n
+        d_gate, turned = np.empty((*inputs.shape, 3 * HIDDEN), h.dtype), np.ascontiguousarray(w["state"].T)
+        d_own, carry = np.empty_like(d_gate), np.zeros_like(h)
         for t in range(len(inputs) - 1, -1, -1):
-            before, _, r, z, n, own_n = kept[t]
             dh = d_states[t] + carry
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * own_n * r * (1 - r)
-            d_gate[t] = np.concatenate([dr, dz, dn], 1)
-            d_own = np.concatenate([dr, dz, dn * r], 1)
-            g["state"] += before.T @ d_own
-            g["state_bias"] += d_own.sum(0)
-            carry = (dh * z + d_own @ self.w["state"].T) * held[t]
-        np.add.at(g["inputs"], inputs.ravel(), d_gate.reshape(-1, 3 * HIDDEN))
+            dn = dh * by_n[t]
+            dr = dn * by_r[t]
+            own = d_own[t]
+            own[:, :HIDDEN], own[:, 2 * HIDDEN:] = dr, dn * r[t]
+            np.multiply(dh, by_z[t], out=own[:, HIDDEN:2 * HIDDEN])
+            d_gate[t, :, 2 * HIDDEN:] = dn
+            carry = own @ turned
+            dh *= z[t]
+            carry += dh
+            carry *= held[t]
+        d_gate[:, :, :2 * HIDDEN] = d_own[:, :, :2 * HIDDEN]
+        flat = d_own.reshape(-1, 3 * HIDDEN)
+        g["state"] += before.reshape(-1, HIDDEN).T @ flat
+        g["state_bias"] += flat.sum(0)
+        order = np.argsort(inputs.ravel(), kind="stable")
+        seen = inputs.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+        g["inputs"][seen[first]] = np.add.reduceat(d_gate.reshape(-1, 3 * HIDDEN)[order], first)
         return -float(logp.sum()), h, g
 
 
-def train_on(network: Network, sequences: list[np.ndarray], rate: float) -> int:
-    """One pass of Adagrad over symbol sequences laid into parallel streams; the state starts anew with each comment. Returns tokens."""
+def fresh_squares() -> dict[str, np.ndarray]:
+    """Adagrad's sums of squared gradients before the first step."""
+    return {name: np.full(shape, 1e-6, np.float32) for name, shape in SHAPES}
+
+
+def train_on(network: Network, sequences: list[np.ndarray], rate: float, seen: dict[str, np.ndarray] | None = None) -> int:
+    """One pass of Adagrad over symbol sequences laid into parallel streams; the state starts anew with each comment. Returns tokens.
+
+    ``seen`` carries the sums of squared gradients from one call to the next.
+    """
     if not sequences:
         return 0
     order = np.random.default_rng(len(sequences)).permutation(len(sequences))
@@ -248,7 +303,7 @@ def train_on(network: Network, sequences: list[np.ndarray], rate: float) -> int:
     length = len(flat) // streams
     cut = lambda x: x[:streams * length].reshape(streams, length).T
     inputs, targets, fresh = cut(shifted), cut(flat), cut(starts)
-    seen = {name: np.full(shape, 1e-6, np.float32) for name, shape in SHAPES}
+    seen = fresh_squares() if seen is None else seen
 
     def update(x, y, new, h):
         _, h, g = network.learn(x, y, new, h)
@@ -310,97 +365,109 @@ def _lesson(texts: DataFrame, k: int, share: int) -> DataFrame:
     return texts.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(share)) == k % share)
 
 
-def _train(texts: DataFrame, vocabulary, network: Network, rounds: int, share: int, rate: float) -> Network:
-    """Rounds of local training on one in ``share`` comments each, other ones in each round, and weighted averaging."""
-    spark = texts.sparkSession
+def _encode(vocabulary):
+    """What is known of a comment from one look at its words: symbols, the sums over common words, and its rare words."""
+    names = ("id", "h", "learns", "n_tokens", "known", "base", "spelled", "rare", "symbols", "words", "times")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary.value
+        end_base = float(np.log10(v.ends + ALPHA)) - v.log_scale
+        for batch in batches:
+            sums, symbols, words, times, ends = [], [], [], [], [0]
+            for text in _binary_texts(batch):
+                ids, split = v.ids(text)
+                sequence = v.sequence(ids, split)
+                common = ids >= 0
+                log_count = v.log_count[ids[common]] if len(v.words) else np.empty(0)
+                inside = sequence[:-1] <= SPELLINGS  # words that stand behind a spelling symbol
+                mass = v.log_mass[sequence[:-1][inside] - 1].sum()
+                n = int(common.sum())
+                sums.append((len(ids) + 1, n + (v.ends > 0), log_count.sum() - n * v.log_scale + end_base,
+                             log_count[inside[common]].sum() - mass, len(ids) - n))
+                symbols.append(sequence.astype("<u2").tobytes())
+                rare = Counter([split[i] for i in np.flatnonzero(~common).tolist()])
+                words += rare.keys()
+                times += rare.values()
+                ends.append(len(words))
+            columns, offsets = list(zip(*sums)) or [()] * 5, pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("h"), batch.column("learns"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
+                 pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.int64()), pa.array(symbols, pa.binary()),
+                 pa.ListArray.from_arrays(offsets, pa.array(words, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))], names)
+
+    return run
+
+
+def _symbols(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(s.as_buffer(), "<u2").astype(np.int64) for s in batch.column("symbols")]
+
+
+def _add_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights times tokens, summed over what one task receives."""
+    tokens, flat = 0, None
+    for batch in batches:
+        for n, weights in zip(batch.column("tokens").to_pylist(), batch.column("weights")):
+            own = np.frombuffer(weights.as_buffer(), np.float32).astype(float) * n
+            tokens, flat = tokens + n, own if flat is None else flat + own
+    if tokens:
+        yield pa.RecordBatch.from_pydict({"tokens": [tokens], "sums": [flat.tobytes()]})
+
+
+def _train(encoded: DataFrame, network: Network, rounds: int, share: int, rate: float) -> Network:
+    """Rounds of local training on one in ``share`` comments each, other ones in each round, and averaging weighted by tokens."""
     for k in range(rounds):
-        weights = spark.sparkContext.broadcast(network.packed())
+        weights = encoded.sparkSession.sparkContext.broadcast(network.packed())
         speed = rate / (1 + k)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, words, held, tokens = Network.unpacked(weights.value), vocabulary.value, [], 0
-
-            def flush():
-                n = train_on(own, held, speed)
-                held.clear()
-                return n
-
-            waiting = 0
+            own, seen, held, tokens, waiting = Network.unpacked(weights.value), fresh_squares(), [], 0, 0
             for batch in batches:
-                for text in _binary_texts(batch):
-                    ids, split = words.ids(text)
-                    held.append(words.sequence(ids, split))
-                    waiting += len(ids) + 1
+                for sequence in _symbols(batch):
+                    held.append(sequence)
+                    waiting += len(sequence)
                     if waiting >= CHUNK_TOKENS:
-                        tokens += flush()
-                        waiting = 0
-            tokens += flush()
+                        tokens, waiting = tokens + train_on(own, held, speed, seen), 0
+                        held.clear()
+            tokens += train_on(own, held, speed, seen)
             if tokens:
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "tokens": [tokens], "weights": [own.packed()]})
 
-        local = _lesson(texts, k, share).select("text").mapInArrow(run, "part int, tokens long, weights binary")
-        fan = max(1, int(np.ceil(np.sqrt(texts.rdd.getNumPartitions()))))
-
-        def add(part: pd.DataFrame) -> pd.DataFrame:
-            flat = sum(np.frombuffer(w, np.float32).astype(float) * n for w, n in zip(part["weights"], part["tokens"]))
-            return pd.DataFrame({"tokens": [int(part["tokens"].sum())], "sums": [flat.tobytes()]})
-
-        sums = local.groupBy(F.pmod("part", F.lit(fan))).applyInPandas(add, "tokens long, sums binary").collect()  # at most fan rows
+        local = _lesson(encoded.filter("learns").select("id", "symbols"), k, share).select("symbols").mapInArrow(
+            run, "part int, tokens long, weights binary")
+        sums = local.repartition(FAN, "part").select("tokens", "weights").mapInArrow(_add_weights, "tokens long, sums binary").collect()  # at most FAN rows
         if sums:
             flat = sum(np.frombuffer(r.sums, float) for r in sums) / sum(r.tokens for r in sums)
             network = Network.unpacked(flat.astype(np.float32).tobytes())
     return network
 
 
-def _scored(vocabulary, weights):
+def _scored(weights):
     names = ("id", "h", "n_tokens", "known", "base", "score", "rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, network = vocabulary.value, Network.unpacked(weights.value)
-        end_base = float(np.log10(v.ends + ALPHA)) - v.log_scale
-        for batch in batches:
-            texts, at = _binary_texts(batch), 0
-            while at < len(texts):
-                sequences, sums, waiting, lo = [], [], 0, at
-                while at < len(texts) and waiting < CHUNK_TOKENS:
-                    ids, words = v.ids(texts[at])
-                    sequence = v.sequence(ids, words)
-                    common = ids >= 0
-                    log_count = v.log_count[ids[common]] if len(v.words) else np.empty(0)
-                    inside = sequence[:-1] <= SPELLINGS  # words that stand behind a spelling symbol
-                    mass = v.log_mass[sequence[:-1][inside] - 1].sum()
-                    n = int(common.sum())
-                    spelled = log_count[inside[common]].sum()
-                    sums.append((len(ids) + 1, n + (v.ends > 0), log_count.sum() - n * v.log_scale + end_base, spelled - mass, len(ids) - n))
-                    sequences.append(sequence)
-                    waiting += len(sequence)
-                    at += 1
-                lm = network.log10_of(sequences)
-                cols = list(zip(*sums))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, at - lo), batch.column("h").slice(lo, at - lo), pa.array(cols[0], pa.int64()),
-                     pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(np.array(cols[3]) + lm, pa.float64()),
-                     pa.array(cols[4], pa.int64())], names)
-
-    return run
+        network = Network.unpacked(weights.value)
 
+        def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if held:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                lm = network.log10_of([s for batch in held for s in _symbols(batch)])
+                yield pa.RecordBatch.from_arrays([rows.column(c) if c != "score" else pa.array(rows.column("spelled").to_numpy() + lm) for c in names], names)
 
-def _rare_words(vocabulary):
-    """(comment, word, how often) of the words outside the table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocabulary.value.lookup()
+        held, waiting = [], 0
         for batch in batches:
-            rows, words, counts = [], [], []
-            for i, text in enumerate(_binary_texts(batch)):
-                found = Counter(w for w in text.lower().split() if w not in table)
-                rows += [i] * len(found)
-                words += found.keys()
-                counts += found.values()
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(at), "h": batch.column("h").take(at),
-                                              "word": pa.array(words, pa.binary()), "k": pa.array(counts, pa.int64())})
+            lengths = batch.column("n_tokens").to_numpy().cumsum()
+            lo = 0
+            while lo < batch.num_rows:  # a batch may hold far more tokens than are scored at once
+                done_before = lengths[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(lengths, done_before + CHUNK_TOKENS - waiting, side="right")))
+                held.append(batch.slice(lo, hi - lo))
+                waiting += int(lengths[hi - 1] - done_before)
+                lo = hi
+                if waiting >= CHUNK_TOKENS or lo < batch.num_rows:
+                    yield from done(held)
+                    held, waiting = [], 0
+        yield from done(held)
 
     return run
 
@@ -420,19 +487,24 @@ def score(reviews: DataFrame, folds: int = 10, rounds: int = 3, share: int | Non
         raise ValueError("share is at most rounds, or comments would be left out of training")
     small_batches(reviews)
     spark = reviews.sparkSession
-    texts = reviews.select(F.col(review_case_id).alias("id"), text_of(comment).alias("text"), F.xxhash64(text_of(comment)).alias("h"))
-    learns = texts.filter(crc_remainder("id", folds) != 0)
-    documents = reviews.filter(crc_remainder(review_case_id, folds) != 0).count()
-    counts = stage(learns.select("text").mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    own, said = f"`{review_case_id}`", text_of(f"`{comment}`")
+    texts = reviews.select(F.col(own).alias("id"), said.alias("text"), F.xxhash64(said).alias("h"),
+                           F.coalesce(crc_remainder(own, folds) != 0, F.lit(False)).alias("learns"))
+    documents = texts.filter("learns").count()
+    counts = stage(texts.filter("learns").select("text").mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     words = _vocabulary(texts, counts, documents)
     vocabulary = spark.sparkContext.broadcast(words)
-    network = _train(learns.select("id", "text"), vocabulary, Network.start(words.unigram()), rounds, share, rate)
-    weights = spark.sparkContext.broadcast(network.packed())
     id_type = texts.schema["id"].dataType.simpleString()
-    rare = texts.mapInArrow(_rare_words(vocabulary), f"id {id_type}, h long, word binary, k long").join(counts, "word", "left").groupBy("id", "h").agg(
+    encoded = stage(texts.mapInArrow(_encode(vocabulary), f"id {id_type}, h long, learns boolean, n_tokens long, known long, base double, "
+                                     "spelled double, rare long, symbols binary, words array<binary>, times array<long>"))
+    network = _train(encoded, Network.start(words.unigram()), rounds, share, rate)
+    weights = spark.sparkContext.broadcast(network.packed())
+    rare = encoded.filter("rare > 0").select("id", "h", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
+        "id", "h", F.col("w.words").alias("word"), F.col("w.times").alias("k")).join(counts, "word", "left").groupBy("id", "h").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ALPHA))).alias("rare_log"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("rare_known"), F.sum("k").alias("all_rare"))
-    scored = texts.mapInArrow(_scored(vocabulary, weights), f"id {id_type}, h long, n_tokens long, known long, base double, score double, rare long")
+    scored = encoded.select("id", "h", "n_tokens", "known", "base", "spelled", "rare", "symbols").mapInArrow(
+        _scored(weights), f"id {id_type}, h long, n_tokens long, known long, base double, score double, rare long")
     # rows that repeat id and text were summed together: each has its share
     part = F.when(F.col("all_rare") > 0, F.col("rare") / F.col("all_rare")).otherwise(F.lit(0.0))
     log = F.coalesce(F.col("rare_log") * part, F.lit(0.0))

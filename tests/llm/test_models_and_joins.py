@@ -323,7 +323,7 @@ def test_network_gradients_and_windows():
     for s, whole in zip(texts, net.log10_of(texts)):
         h, last, total = np.zeros((1, recurrent_lm.HIDDEN)), np.array([recurrent_lm.END]), 0.0
         for t in s:
-            h = net.step(last, h)[0]
+            h = net.step(last, h)
             total += net.output(h, np.array([t]))[0][0]
             last = np.array([t])
         assert whole == pytest.approx(total / math.log(10), rel=1e-4)
