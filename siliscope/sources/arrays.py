@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import io
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siliscope import constants as C
+from siliscope.sources.sinks import write_files
 
 # fixed values: logical array names and the keys they have by default
 DEFAULT_KEYS = {"severity": "severity", "wafer_mask": "wafer_mask", "valid_test_mask": "valid_test_mask",
@@ -175,17 +175,7 @@ def pack_archives(pixels: DataFrame) -> DataFrame:
 
 
 def write_archives(pixels: DataFrame, folder: str) -> DataFrame:
-    """Write one archive file per wafer below a shared mounted folder; returns the paths."""
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            paths = []
-            for row in pdf.itertuples(index=False):
-                os.makedirs(f"{folder}/{row.sample_id}", exist_ok=True)
-                path = f"{folder}/{row.sample_id}/arrays.npz"
-                # a lost task is run again: write aside, then move into place
-                with open(path + ".part", "wb") as handle:
-                    handle.write(bytes(row.content))
-                os.replace(path + ".part", path)
-                paths.append(path)
-            yield pd.DataFrame({"sample_id": pdf["sample_id"], "path": paths})
-    return pack_archives(pixels).mapInPandas(save, "sample_id string, path string")
+    """Write one archive per wafer, <folder>/<sample_id>/arrays.npz; returns (sample_id, path) of all."""
+    path = F.concat(F.col("sample_id"), F.lit("/arrays.npz"))
+    write_files(pack_archives(pixels).select(path.alias("path"), "content"), folder)
+    return pixels.select("sample_id").distinct().select("sample_id", F.concat(F.lit(folder.rstrip("/") + "/"), path).alias("path"))

@@ -81,6 +81,29 @@ def decode(content: bytes) -> np.ndarray:
     return out
 
 
+def encode(gray: np.ndarray) -> bytes:
+    """An eight-bit gray image of a two-dimensional array."""
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    h, w = gray.shape
+    lines = np.zeros((h, w + 1), np.uint8)
+    lines[:, 1:] = gray
+    return (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0))
+            + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b""))
+
+
+def pack_images(pixels: DataFrame, path: str = "path", gray: str = "gray") -> DataFrame:
+    """(path, content): one gray image per path from rows (path, y, x, gray, height, width). One group is one image."""
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        plane = np.zeros((int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])), np.uint8)
+        plane[pdf["y"], pdf["x"]] = pdf["gray"]
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [encode(plane)]})
+
+    rows = pixels.select(F.col(path).alias("path"), "y", "x", F.col(gray).alias("gray"), "height", "width")
+    return rows.groupBy("path").applyInPandas(pack, "path string, content binary")
+
+
 def gray_of(samples: np.ndarray) -> np.ndarray:
     """The gray plane, if alpha is opaque everywhere and the colours agree."""
     c = samples.shape[2]
