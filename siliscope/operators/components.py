@@ -1,7 +1,8 @@
 """Connected regions on wafer maps.
 
-A wafer's cells arrive as one array (a map has a fixed size), many wafers per Arrow batch; the label of a region is the
-row-major position of its first cell.
+Chip maps arrive as one array per wafer (a map has a fixed size), many wafers per Arrow batch. Pixel images are labelled tile by
+tile, and the parts of a region in different tiles are united along the tiles' borders, so no task holds an image. Either
+way the label of a region is the row-major position of its first cell.
 """
 from __future__ import annotations
 
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siliscope.sources.staging import stage
 
+TILE = 256
 
 def label_mask(mask: np.ndarray, diagonal: bool) -> np.ndarray:
     """Label the regions of a stack of maps [batch, row, col]; cells outside the mask get the largest label."""
@@ -58,6 +61,77 @@ def region_labels(cells: Column, rows: Column, cols: Column, diagonal: bool = Tr
     return label(cells, rows, cols)
 
 
+def tile_labels(cells: DataFrame, diagonal: bool = False, tile: int = TILE) -> DataFrame:
+    """(sample_id, y, x, part, edge) of marked pixels (sample_id, y, x, width): regions as far as they reach within a tile.
+
+    ``part`` is the position of the part's first pixel in the image. ``edge`` is 1 if one of the four neighbours is not marked;
+    pixels along a border are handed to the tile beyond as well, where they are only looked at. One group is one tile.
+    """
+    ty, tx = F.floor(F.col("y") / tile).cast("int"), F.floor(F.col("x") / tile).cast("int")
+    at = [F.struct(ty.alias("ty"), tx.alias("tx"), F.lit(1).alias("own"))]
+    for coordinate, last, dy, dx in ((F.col("y"), 0, -1, 0), (F.col("y"), tile - 1, 1, 0), (F.col("x"), 0, 0, -1), (F.col("x"), tile - 1, 0, 1)):
+        at.append(F.when(coordinate % tile == last, F.struct((ty + dy).alias("ty"), (tx + dx).alias("tx"), F.lit(0).alias("own"))))
+    placed = cells.select("sample_id", "y", "x", "width", F.explode(F.array_compact(F.array(*at))).alias("p")).select("sample_id", "y", "x", "width", "p.*")
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(pdf["ty"].iloc[0]) * tile - 1, int(pdf["tx"].iloc[0]) * tile - 1
+        y, x, own = pdf["y"].to_numpy(), pdf["x"].to_numpy(), pdf["own"].to_numpy() == 1
+        seen = np.zeros((tile + 2, tile + 2), dtype=int)
+        seen[y - y0, x - x0] = 1
+        around = seen[:-2, 1:-1] + seen[2:, 1:-1] + seen[1:-1, :-2] + seen[1:-1, 2:]
+        y, x = y[own], x[own]
+        mask = np.zeros((1, tile, tile), dtype=bool)
+        mask[0, y - y0 - 1, x - x0 - 1] = True
+        first = label_mask(mask, diagonal)[0][y - y0 - 1, x - x0 - 1]
+        part = (first // tile + y0 + 1) * int(pdf["width"].iloc[0]) + first % tile + x0 + 1 if len(y) else first
+        return pd.DataFrame({"sample_id": pdf["sample_id"].to_numpy()[own], "y": y, "x": x, "part": part,
+                             "edge": (around[y - y0 - 1, x - x0 - 1] < 4).astype(int)})
+
+    kind = cells.schema["sample_id"].dataType.simpleString()
+    return placed.groupBy("sample_id", "ty", "tx").applyInPandas(label, f"sample_id {kind}, y int, x int, part long, edge int")
+
+
+def united_parts(labelled: DataFrame, diagonal: bool = False, tile: int = TILE) -> DataFrame:
+    """(sample_id, part, region) of the parts that go on beyond their tile; all others are regions of their own.
+
+    Only pixels along borders meet. The links of one wafer, at most a few per border pixel, are united in one group.
+    """
+    links = None
+    for dy, dx in ((1, 0), (0, 1), *(((1, 1), (1, -1)) if diagonal else ())):
+        crosses = (F.floor((F.col("y") + dy) / tile) != F.floor(F.col("y") / tile)) | (F.floor((F.col("x") + dx) / tile) != F.floor(F.col("x") / tile))
+        one = labelled.filter(crosses).select("sample_id", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.col("part").alias("a"))
+        along = [F.col(c) % tile == v for c, v in ([("y", 0)] if dy else []) + ([("x", 0), ("x", tile - 1)] if dx else [])]
+        border = along[0]
+        for more in along[1:]:
+            border = border | more
+        other = labelled.filter(border).select("sample_id", "y", "x", F.col("part").alias("b"))
+        met = one.join(other, ["sample_id", "y", "x"]).select("sample_id", "a", "b").distinct()
+        links = met if links is None else links.unionByName(met)
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        up: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while up.setdefault(v, v) != v:
+                up[v] = v = up[up[v]]
+            return v
+
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)  # the smallest position leads
+        return pd.DataFrame({"sample_id": [pdf["sample_id"].iloc[0]] * len(up), "part": list(up), "region": [root(v) for v in list(up)]})
+
+    kind = labelled.schema["sample_id"].dataType.simpleString()
+    return links.groupBy("sample_id").applyInPandas(unite, f"sample_id {kind}, part long, region long")
+
+
+def tiled_regions(cells: DataFrame, diagonal: bool = False, tile: int = TILE) -> DataFrame:
+    """(sample_id, y, x, region, edge) of marked pixels (sample_id, y, x, width) of images of any size."""
+    labelled = stage(tile_labels(cells, diagonal, tile))
+    return labelled.join(united_parts(labelled, diagonal, tile), ["sample_id", "part"], "left").select(
+        "sample_id", "y", "x", F.coalesce("region", "part").alias("region"), "edge")
+
+
 def hot_chip_regions(chip_rows: DataFrame) -> DataFrame:
     """Hot tested chips of each wafer with the label of their 8-connected region.
 

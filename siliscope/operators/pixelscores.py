@@ -7,14 +7,14 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siliscope.constants import MAX_GRADE
 from siliscope.functions.columns import bin_index, ratio
-from siliscope.operators.components import label_mask
+from siliscope.operators.components import TILE, tile_labels, united_parts
 from siliscope.operators.pooling import angular_spectrum, box_mean
+from siliscope.sources.staging import stage
 
 MIN_AREA = 12
 
@@ -23,28 +23,19 @@ def fail_pixels(pixels: DataFrame, grade: int) -> DataFrame:
     return pixels.filter((F.col("valid") == 1) & (F.col("severity") >= grade)).select("sample_id", "y", "x", "height", "width")
 
 
-def labelled_pixels(fails: DataFrame) -> DataFrame:
-    """4-connected regions of failing pixels; one group is one wafer image."""
+def region_table(fails: DataFrame, tile: int = TILE) -> DataFrame:
+    """Area, perimeter and elongation of every 4-connected region of failing pixels.
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-        h, w = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        mask = np.zeros((1, h, w), dtype=bool)
-        mask[0, y, x] = True
-        labels = label_mask(mask, diagonal=False)[0]
-        padded = np.pad(labels, 1, constant_values=-1)
-        same = sum((padded[y + 1 + dy, x + 1 + dx] == labels[y, x]).astype(int) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0)))
-        return pd.DataFrame({"sample_id": pdf["sample_id"], "y": y, "x": x, "region": labels[y, x], "edge": (same < 4).astype(int)})
-
-    return fails.groupBy("sample_id").applyInPandas(label, "sample_id string, y int, x int, region long, edge int")
-
-
-def region_table(fails: DataFrame) -> DataFrame:
-    """Area, perimeter and elongation of every region."""
-    sums = labelled_pixels(fails).groupBy("sample_id", "region").agg(
-        F.count(F.lit(1)).alias("area"), F.sum("edge").alias("perimeter"), F.sum("y").alias("sy"), F.sum("x").alias("sx"),
-        F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("x")).alias("sxy"))
+    Sums are taken per tile first, so only a row per part of a region meets the other parts.
+    """
+    labelled = stage(tile_labels(fails, tile=tile))
+    y, x = F.col("y").cast("long"), F.col("x").cast("long")
+    names = ("area", "perimeter", "sy", "sx", "syy", "sxx", "sxy")
+    parts = labelled.groupBy("sample_id", "part").agg(
+        F.count(F.lit(1)).alias("area"), F.sum("edge").alias("perimeter"), F.sum(y).alias("sy"), F.sum(x).alias("sx"),
+        F.sum(y * y).alias("syy"), F.sum(x * x).alias("sxx"), F.sum(y * x).alias("sxy"))
+    sums = parts.join(united_parts(labelled, tile=tile), ["sample_id", "part"], "left").groupBy(
+        "sample_id", F.coalesce("region", "part").alias("region")).agg(*[F.sum(n).alias(n) for n in names])
     n = F.col("area").cast("double")
     free = n * F.greatest(n - 1, F.lit(1.0))
     vy, vx = (n * F.col("syy") - F.col("sy") * F.col("sy")) / free, (n * F.col("sxx") - F.col("sx") * F.col("sx")) / free
