@@ -15,7 +15,6 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +35,10 @@ END = 0  # ends a comment, and starts it
 HIDDEN = 16
 WINDOW = 32
 STREAMS = 512  # comments trained side by side
-SCORED = 4096  # comments scored side by side
-CHUNK_TOKENS = 2_000_000
+SCORED = 2048  # comments scored side by side
+CHUNK_TOKENS = 2_000_000  # trained at once
+SCORED_TOKENS = 8_000_000  # scored at once: long comments are walked through beside as many others as possible
+SLICE = 8192  # states whose outputs are worked out at once, few enough for a processor's cache
 FAN = 32  # tasks that add up the weights of all others
 MOST = 60.0  # of a logit, so that its exponential fits a single-precision number
 ONES = {n: np.ones(n, np.float32) for n in (CLASSES, PER_CLASS)}
@@ -48,6 +49,13 @@ def spelling(word: bytes) -> int:
     return 1 + zlib.crc32(word[-2:]) % SPELLINGS
 
 
+class _Table(dict):
+    """Word to place; -1 for all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Vocabulary:
     """Counts of the common words, their symbols, and the mass of each spelling symbol."""
 
@@ -61,11 +69,11 @@ class Vocabulary:
         self.log_mass = np.log10(masses + ALPHA)
         self.log_scale = float(np.log10(total + ALPHA * (distinct + 1)))
         self.log_count = np.log10(self.counts + ALPHA)
-        self.table: dict[bytes, int] | None = None
+        self.table: _Table | None = None
 
-    def lookup(self) -> dict[bytes, int]:
+    def lookup(self) -> _Table:
         if self.table is None:
-            self.table = {w: i for i, w in enumerate(self.words)}
+            self.table = _Table(zip(self.words, range(len(self.words))))
         return self.table
 
     def __getstate__(self):
@@ -82,7 +90,7 @@ class Vocabulary:
     def ids(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
         """Table index of every word, -1 for those outside, and the words."""
         words = text.lower().split()
-        return np.fromiter(map(self.lookup().get, words, repeat(-1)), np.int64, len(words)), words
+        return np.fromiter(map(self.lookup().__getitem__, words), np.int64, len(words)), words
 
     def sequence(self, ids: np.ndarray, words: list[bytes]) -> np.ndarray:
         """Symbols of a text and its end."""
@@ -136,7 +144,7 @@ class Network:
 
     def step(self, symbols: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The states after one more symbol each."""
-        return self._step(self.w["inputs"][symbols], h)[0]
+        return self._step(self.w["inputs"].take(symbols, 0), h)[0]
 
     def _step(self, gate: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         own = h @ self.w["state"]
@@ -174,12 +182,12 @@ class Network:
             d *= (1 / total)[:, None]
             d[rows, cls] -= 1
             gradients["classes"] += h.T @ d
-            gradients["class_bias"] += d.sum(0)
+            gradients["class_bias"] += np.ones(len(d), d.dtype) @ d
             dh = d @ w["classes"].T
         # classes in turn, each a slice of the rows sorted by class
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls, np.arange(CLASSES + 1), sorter=order)
-        by_class, places, logs = h[order], place[order], np.empty(len(order), h.dtype)
+        order = np.argsort(cls.astype(np.uint8), kind="stable")  # a radix sort for so small a type
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
+        by_class, places, logs = h.take(order, 0), place[order], np.empty(len(order), h.dtype)
         back = None if gradients is None else np.empty_like(by_class)
         for c in range(CLASSES):
             lo, hi = cuts[c], cuts[c + 1]
@@ -199,11 +207,13 @@ class Network:
                 d *= (1 / total)[:, None]
                 d[here, at] -= 1
                 gradients["within"][c] += hc.T @ d
-                gradients["within_bias"][c] += d.sum(0)
+                gradients["within_bias"][c] += np.ones(len(d), d.dtype) @ d
                 back[lo:hi] = d @ w["within"][c].T
         logp[order] += logs
         if gradients is not None:
-            dh[order] += back
+            unsorted = np.empty_like(order)
+            unsorted[order] = rows
+            dh += back.take(unsorted, 0)
         return logp, dh
 
     def log10_of(self, sequences: list[np.ndarray]) -> np.ndarray:
@@ -228,8 +238,9 @@ class Network:
                     states.append(h)
                     targets.append(last)
                     owner.append(part[:live])
-                logp, _ = self.output(np.concatenate(states), np.concatenate(targets))
-                out += np.bincount(np.concatenate(owner), logp, len(sequences))
+                states, targets, owner = np.concatenate(states), np.concatenate(targets), np.concatenate(owner)
+                logp = np.concatenate([self.output(states[i:i + SLICE], targets[i:i + SLICE])[0] for i in range(0, len(owner), SLICE)])
+                out += np.bincount(owner, logp, len(sequences))
         return out / np.log(10)
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, dict]:
@@ -239,7 +250,7 @@ class Network:
         """
         w = self.w
         g = {name: np.zeros(shape, np.float32) for name, shape in SHAPES}
-        held, gates = (~fresh)[:, :, None], w["inputs"][inputs]
+        held, gates = (~fresh)[:, :, None], w["inputs"].take(inputs, 0)
         before, states, n, own_n = (np.empty((*inputs.shape, HIDDEN), h.dtype) for _ in range(4))
         rz = np.empty((*inputs.shape, 2 * HIDDEN), h.dtype)
         for t in range(len(inputs)):
@@ -274,11 +285,12 @@ class Network:
         d_gate[:, :, :2 * HIDDEN] = d_own[:, :, :2 * HIDDEN]
         flat = d_own.reshape(-1, 3 * HIDDEN)
         g["state"] += before.reshape(-1, HIDDEN).T @ flat
-        g["state_bias"] += flat.sum(0)
-        order = np.argsort(inputs.ravel(), kind="stable")
+        g["state_bias"] += np.ones(len(flat), flat.dtype) @ flat
+        order = np.argsort(inputs.ravel().astype(np.uint16), kind="stable")
         seen = inputs.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
-        g["inputs"][seen[first]] = np.add.reduceat(d_gate.reshape(-1, 3 * HIDDEN)[order], first)
+        by_symbol = np.ascontiguousarray(d_gate.reshape(-1, 3 * HIDDEN).take(order, 0).T)
+        g["inputs"][seen[first]] = np.add.reduceat(by_symbol, first, axis=1).T
         return -float(logp.sum()), h, g
 
 
@@ -295,7 +307,7 @@ def train_on(network: Network, sequences: list[np.ndarray], rate: float, seen: d
     if not sequences:
         return 0
     order = np.random.default_rng(len(sequences)).permutation(len(sequences))
-    flat = np.concatenate([sequences[i] for i in order])
+    flat = np.concatenate([sequences[i] for i in order]).astype(np.int64)
     shifted = np.concatenate([[END], flat[:-1]])
     starts = np.zeros(len(flat), bool)
     starts[np.cumsum([0, *[len(sequences[i]) for i in order[:-1]]])] = True
@@ -372,34 +384,41 @@ def _encode(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         end_base = float(np.log10(v.ends + ALPHA)) - v.log_scale
+        table, log_count = v.lookup().__getitem__, np.append(v.log_count, 0.0)  # the last stands for words outside the table
+        symbol_of = np.append(v.symbols, 0)
         for batch in batches:
-            sums, symbols, words, times, ends = [], [], [], [], [0]
+            words, lengths = [], []
             for text in _binary_texts(batch):
-                ids, split = v.ids(text)
-                sequence = v.sequence(ids, split)
-                common = ids >= 0
-                log_count = v.log_count[ids[common]] if len(v.words) else np.empty(0)
-                inside = sequence[:-1] <= SPELLINGS  # words that stand behind a spelling symbol
-                mass = v.log_mass[sequence[:-1][inside] - 1].sum()
-                n = int(common.sum())
-                sums.append((len(ids) + 1, n + (v.ends > 0), log_count.sum() - n * v.log_scale + end_base,
-                             log_count[inside[common]].sum() - mass, len(ids) - n))
-                symbols.append(sequence.astype("<u2").tobytes())
-                rare = Counter([split[i] for i in np.flatnonzero(~common).tolist()])
-                words += rare.keys()
-                times += rare.values()
-                ends.append(len(words))
-            columns, offsets = list(zip(*sums)) or [()] * 5, pa.array(ends, pa.int32())
+                own = text.lower().split()
+                words += own
+                lengths.append(len(own))
+            n, lengths = len(lengths), np.array(lengths, np.int64)
+            ids, owner = np.fromiter(map(table, words), np.int64, len(words)), np.repeat(np.arange(n), lengths)
+            rare = np.flatnonzero(ids < 0)
+            symbols, logs = symbol_of[ids], log_count[ids]
+            symbols[rare] = [spelling(words[i]) for i in rare.tolist()]
+            inside = symbols <= SPELLINGS  # words that stand behind a spelling symbol
+            spelled = np.where(inside, logs - v.log_mass[np.where(inside, symbols, 1) - 1], 0.0)
+            common = lengths - np.bincount(owner[rare], minlength=n)
+            base = np.bincount(owner, logs, n) - common * v.log_scale + end_base
+            edges = np.concatenate([[0], np.cumsum(lengths + 1)])  # every text's symbols and its end
+            flat = np.full(edges[-1], END, "<u2")
+            flat[np.arange(len(words)) + owner] = symbols
+            of_text = Counter(zip(owner[rare].tolist(), [words[i] for i in rare.tolist()]))  # text by text, as owners rise
+            per_text = np.bincount(np.fromiter((i for i, _ in of_text), np.int64, len(of_text)), minlength=n)
+            rare_ends = pa.array(np.concatenate([[0], np.cumsum(per_text)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("h"), batch.column("learns"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
-                 pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.int64()), pa.array(symbols, pa.binary()),
-                 pa.ListArray.from_arrays(offsets, pa.array(words, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))], names)
+                [batch.column("id"), batch.column("h"), batch.column("learns"), pa.array(lengths + 1), pa.array(common + (v.ends > 0)), pa.array(base),
+                 pa.array(np.bincount(owner, spelled, n)), pa.array(lengths - common),
+                 pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((edges * 2).astype("<i4").tobytes()), pa.py_buffer(flat.tobytes())]),
+                 pa.ListArray.from_arrays(rare_ends, pa.array([w for _, w in of_text], pa.binary())),
+                 pa.ListArray.from_arrays(rare_ends, pa.array(list(of_text.values()), pa.int64()))], names)
 
     return run
 
 
 def _symbols(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(s.as_buffer(), "<u2").astype(np.int64) for s in batch.column("symbols")]
+    return [np.frombuffer(s.as_buffer(), "<u2") for s in batch.column("symbols")]
 
 
 def _add_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,11 +479,11 @@ def _scored(weights):
             lo = 0
             while lo < batch.num_rows:  # a batch may hold far more tokens than are scored at once
                 done_before = lengths[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(lengths, done_before + CHUNK_TOKENS - waiting, side="right")))
+                hi = max(lo + 1, int(np.searchsorted(lengths, done_before + SCORED_TOKENS - waiting, side="right")))
                 held.append(batch.slice(lo, hi - lo))
                 waiting += int(lengths[hi - 1] - done_before)
                 lo = hi
-                if waiting >= CHUNK_TOKENS or lo < batch.num_rows:
+                if waiting >= SCORED_TOKENS or lo < batch.num_rows:
                     yield from done(held)
                     held, waiting = [], 0
         yield from done(held)
