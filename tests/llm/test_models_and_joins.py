@@ -57,13 +57,56 @@ def test_toxicity_without_classes(spark):
     assert toxicity.score(table.limit(0), model).count() == 0
 
 
-def test_kneser_ney_shares_add_up(spark):
-    """Both classes' word shares, unknown words included, are distributions."""
+def test_kneser_ney_shares_by_hand(spark):
+    """Shares and backoff against counting in Python: all words of the sample, unknown words, and all pairs, seen once or more."""
     rows, labels = comments(120, 3)
-    model = toxicity.fit(spark.createDataFrame(rows, COMMENT), spark.createDataFrame(labels, LABELS))
-    assert model.ceiling >= model.difference.max() - 1e-9
-    toxic_words = [model.words.index(w) + 1 for w in ("scum", "moron") if w in model.words]
-    assert toxic_words and all(model.difference[i] > model.ceiling - 1.2 for i in toxic_words)
+    truth = dict(labels)
+    pairs = [Counter(), Counter()]
+    for i, text in rows:
+        words = toxicity.WORDS.findall(text.lower())
+        pairs[truth[i]].update(zip(["", *words], words))
+    keys = pairs[0].keys() | pairs[1].keys()
+    table, chances, ceiling = toxicity.shares(spark.createDataFrame([(h, w, pairs[0][h, w], pairs[1][h, w]) for h, w in keys], "h string, w string, n0 long, n1 long"))
+    table = {r.w: r for r in table.collect()}
+    d, both = toxicity.DISCOUNT, [Counter(w for h, w in p) for p in pairs]
+    vocabulary, shared = sorted(both[0].keys() | both[1].keys()), sum(c.total() for c in both)
+    assert [table[w].i for w in vocabulary] == list(range(1, len(vocabulary) + 1)) and table[""].i == 0
+    share = [{}, {}]
+    for c in (0, 1):
+        for w in ["", *vocabulary]:
+            base = (max(both[0][w] + both[1][w] - d, 0) + d * len(vocabulary) / (len(vocabulary) + 1)) / shared
+            share[c][w] = (max(both[c][w] - d, 0) + d * len(both[c]) * base) / both[c].total()
+            assert math.isclose(table[w][f"share{c}"], share[c][w])
+        assert math.isclose(sum(share[c].values()), 1.0)  # unknown words included
+    heads = [Counter(), Counter()]
+    kinds = [Counter(), Counter()]
+    for c in (0, 1):
+        for (h, _), n in pairs[c].items():
+            heads[c][h] += n
+            kinds[c][h] += 1
+    name, got = {table[w].i: w for w in vocabulary}, {}
+    for r in chances.collect():
+        got[name[r.i_h], name[r.i_w]] = (r.p0, r.p1)
+    assert set(got) == {(h, w) for h, w in keys if h} and any(pairs[0][k] + pairs[1][k] == 1 for k in got)
+    for (h, w), p in got.items():
+        for c in (0, 1):
+            want = share[c][w] if not heads[c][h] else max(pairs[c][h, w] - d, 0) / heads[c][h] + d * kinds[c][h] / heads[c][h] * share[c][w]
+            assert math.isclose(p[c], want)
+    # after any word, seen pairs and what is left for the others make one
+    for c in (0, 1):
+        h = max(heads[c], key=lambda x: (heads[c][x], x) if x else (0, x))
+        unseen = sum(share[c][w] for w in ["", *vocabulary] if (h, w) not in got) * d * kinds[c][h] / heads[c][h]
+        assert math.isclose(sum(p[c] for (g, _), p in got.items() if g == h) + unseen, 1.0)
+    assert ceiling >= max(math.log(share[1][w] / share[0][w]) for w in share[0])
+
+
+def test_toxicity_of_tables_with_clashing_columns(spark):
+    rows, labels = comments(60, 5)
+    table = spark.createDataFrame([(*r, "t", 1, 2.0) for r in rows], COMMENT + ", __text string, `a.b` int, score double")
+    model = toxicity.fit(table, spark.createDataFrame(labels, LABELS))
+    got = toxicity.score(table, model)
+    assert got.columns == ["review_case_id", "safe_comment", "__text", "a.b", "score", "predicted"]
+    assert {(r["__text"], r["a.b"]) for r in got.collect()} == {("t", 1)} and all(r.score <= 1 for r in got.collect())
 
 
 def test_site_quality_shrinks_sparse_sites(spark):
