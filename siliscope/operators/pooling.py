@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siliscope import constants as C
 from siliscope.functions.columns import ratio, TWO_PI
+from siliscope.sources.staging import stage
 
 
 def grid_cell(position: Column, length: Column, cells: int) -> Column:
@@ -44,6 +45,32 @@ def pooled(pixels: DataFrame, cells: int, classes: tuple[str, ...] = ()) -> Data
              *[F.count_if(F.col(c) > 0).alias(f"n_{c}") for c in classes]))
 
 
+def coarser(cells: DataFrame, factor: int) -> DataFrame:
+    """The counts of ``pooled`` on a grid with ``factor`` times fewer cells a side.
+
+    A grid's edges are edges of every grid whose cells it joins, so the counts add up exactly and pixels are read once.
+    """
+    names = [c for c in cells.columns if c not in ("sample_id", "gy", "gx")]
+    largest = lambda c: c == "sev_max" or c.startswith("any_")
+    return cells.groupBy("sample_id", F.floor(F.col("gy") / factor).cast("int").alias("gy"), F.floor(F.col("gx") / factor).cast("int").alias("gx")).agg(
+        *[(F.max(c) if largest(c) else F.sum(c)).alias(c) for c in names])
+
+
+def representations(pixels: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """(space, id, vec): the plain picture and the semantic channels of every wafer on grids of the given sizes, from one pass
+    over the pixels at the finest grid. Sizes divide the largest; vectors of one space are equally long for maps of one shape."""
+    finest = max(sizes)
+    if any(finest % n for n in sizes):
+        raise ValueError("every grid size has to divide the largest")
+    cells, out = stage(pooled(pixels, finest)), None
+    for n in sizes:
+        grid = cells if n == finest else coarser(cells, finest // n)
+        for name, vectors in (("naive_gray", gray_vector(grid, n)), ("semantic_pool", semantic_vector(grid, n))):
+            one = vectors.select(F.lit(f"{name}_{n}").alias("space"), "id", "vec")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def semantic_maps(cells: DataFrame, size: int) -> DataFrame:
     """Mean grade, peak, fail and high-grade rates over tested pixels, untested share, wafer share, distance from centre."""
     c = (size - 1) / 2.0

@@ -364,17 +364,23 @@ def _(spark, sf):
 
 
 # ---- representations compared
-part("repz", f"""SELECT space, id, feature, (v-avg(v) OVER w)/greatest(stddev_pop(v) OVER w,1e-6) AS z FROM (SELECT 'gray' AS space, id, pos AS feature, v FROM ({flat_sql([('pool', 'image_sum::DOUBLE/(7.0::DOUBLE*area)')])})
-   UNION ALL SELECT 'semantic', id, pos, v FROM ({flat_sql([('maps', c) for c in SEM])})) WINDOW w AS (PARTITION BY space, feature)""", ("pool", "maps"))
+SIZES = (32, 64)
+for _n in SIZES:
+    part(f"pool{_n}", f"""SELECT sample_id AS id, ((y+1)*{_n}-1)//24 AS gy, ((x+1)*{_n}-1)//24 AS gx, sum(CASE WHEN stby=1 THEN 7 WHEN in_wafer=1 THEN severity ELSE 0 END)::DOUBLE/(7.0::DOUBLE*count(*)) AS gray,
+       sum(valid*severity)::DOUBLE/greatest(1,sum(valid))/7.0::DOUBLE AS severity, sum((valid=1 AND severity>0)::INT)::DOUBLE/greatest(1,sum(valid)) AS fail, sum((valid=1 AND severity>=6)::INT)::DOUBLE/greatest(1,sum(valid)) AS high,
+       sum(in_wafer*stby)::DOUBLE/greatest(1,sum(in_wafer)) AS stby, sum(in_wafer*valid)::DOUBLE/greatest(1,sum(in_wafer)) AS valid, sum(in_wafer)::DOUBLE/count(*) AS wafer FROM px GROUP BY 1,2,3""", ("px",))
+_spaces = " UNION ALL ".join(
+    [f"SELECT 'naive_gray_{n}' AS space, id, gy*1000+gx AS feature, gray AS v FROM pool{n}" for n in SIZES]
+    + [f"SELECT 'semantic_pool_{n}', id, {i}*1000000+gy*1000+gx, {c} FROM pool{n}" for n in SIZES for i, c in enumerate(SEM)])
+part("repz", f"""SELECT space, id, feature::VARCHAR AS feature, (v-avg(v) OVER w)/greatest(stddev_pop(v) OVER w,1e-6) AS z FROM ({_spaces}) WINDOW w AS (PARTITION BY space, feature)
+   UNION ALL SELECT 'compact_features', id, feature, z FROM zc""", (*[f"pool{n}" for n in SIZES], "zc"))
 part("repnn", space_nn_sql("repz", K), ("repz",))
 
 
 def representation_neighbors(spark, sf):
     def build():
-        grid = stage(cells(spark, sf))
-        both = pl.gray_vector(grid, G).withColumn("space", F.lit("gray")).unionByName(
-            pl.semantic_vector(grid, G).withColumn("space", F.lit("semantic")))
-        both = search.standardised_vectors(both)
+        compact = search.standardised(wafer_features(spark, sf), COMPACT).select(F.lit("compact_features").alias("space"), "id", "vec")
+        both = search.standardised_vectors(pl.representations(demo.pixels(spark, sf), SIZES)).select("space", "id", "vec").unionByName(compact)
         return search.nearest(both, both, K, exclude_same_id=True)
     return staged_once(spark, sf, "representations", build)
 

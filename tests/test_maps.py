@@ -242,3 +242,17 @@ def test_combined_vectors_hold_profiles_and_scores_in_order(spark):
     turned = pixelscores.combined_vectors(polar, 8, 8, 3, 2, invariant=True).first()["vec"]
     waves = np.abs(np.fft.rfft(parts[39:75]))
     assert turned == pytest.approx([*parts[:39], *(waves[1:13] / (waves[0] + 1e-6)), *tail])
+
+
+def test_coarser_grids_add_up(spark):
+    """Counts joined from a fine grid are those of the coarse one, also where edges do not divide the map."""
+    rng = np.random.default_rng(3)
+    px = pixel_table(spark, rng.integers(0, 8, (29, 22)), stby=(rng.random((29, 22)) < 0.1).astype(int), in_wafer=(rng.random((29, 22)) < 0.9).astype(int))
+    fine = pooling.pooled(px, 8)
+    for factor in (2, 4):
+        joined, direct = pooling.coarser(fine, factor), pooling.pooled(px, 8 // factor)
+        assert sorted(map(tuple, joined.select(*direct.columns).collect())) == sorted(map(tuple, direct.collect()))
+    spaces = {r["space"]: len(r["vec"]) for r in pooling.representations(px, (4, 8)).collect()}
+    assert spaces == {"naive_gray_4": 16, "naive_gray_8": 64, "semantic_pool_4": 96, "semantic_pool_8": 384}
+    with pytest.raises(ValueError):
+        pooling.representations(px, (3, 8))

@@ -124,6 +124,25 @@ def test_keyed_permutation_is_one_to_one():
     assert (retrieval._shuffled_position(np.arange(1000), np.full(1000, 3), 1000) != np.arange(1000)).mean() > 0.9
 
 
+def test_permutation_equals_relabelling_by_hand(spark):
+    rng = np.random.default_rng(6)
+    n, runs, seed = 30, 40, 9
+    own = rng.integers(0, 8, n)
+    sigs = spark.createDataFrame([(f"w{i:03d}", int(s)) for i, s in enumerate(own)], "id string, signature long")
+    near = [(f"w{i:03d}", r + 1, f"w{j:03d}") for i in range(n) for r, j in enumerate(rng.choice(n, 3, replace=False).tolist())]
+    neighbors = spark.createDataFrame(near, "query_id string, rank int, neighbor_id string")
+    got = retrieval.permutation_p_value(neighbors.repartition(4), sigs, runs, seed).first()
+    values, counts = np.unique(own, return_counts=True)
+    jac = lambda a, b: 1.0 if not a | b else bin(a & b).count("1") / bin(a | b).count("1")
+    pairs = [(int(q[1:]), int(m[1:])) for q, _, m in near]
+    real, better = np.mean([jac(int(own[a]), int(own[b])) for a, b in pairs]), 0
+    for run in range(runs):
+        at = retrieval.relabelled(np.arange(n), run, seed, np.cumsum(counts))
+        assert sorted(values[at].tolist()) == sorted(own.tolist())  # the same label sets, handed out anew
+        better += np.mean([jac(int(values[at[a]]), int(values[at[b]])) for a, b in pairs]) >= real - 1e-12
+    assert got["runs"] == runs and np.isclose(got["p_value"], (better + 1) / (runs + 1))
+
+
 def test_permutation_and_bootstrap_see_a_real_signal(spark):
     n = 40
     sigs = spark.createDataFrame([(f"w{i:03d}", 1 if i < n // 2 else 2) for i in range(n)], "id string, signature long")
