@@ -29,10 +29,56 @@ def pca(points: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     return coords, [float(v) for v in model.explainedVariance.toArray()]
 
 
+#: columns of the basis beside those asked for, and the change of the leading values at which it counts as settled
+SPARE, SETTLED = 8, 1e-10
+
+
+def leading_axes(vectors: DataFrame, k: int, passes: int = 40, seed: int = 20260618) -> tuple[np.ndarray, np.ndarray]:
+    """(axes in columns, explained shares) of centred vectors (vec) of any width, by a randomised range finder.
+
+    A random basis of k and some spare columns is multiplied by X'X pass after pass and made orthonormal anew, until the leading
+    values settle; each pass adds up X'(XQ) over the tasks. The driver holds some matrices as wide as a vector and as long as
+    the basis has columns, never one that grows with the square of the width. The largest entry of an axis is positive.
+    """
+    rows = stage(vectors.select("vec"))
+    first = rows.agg(F.max(F.size("vec")).alias("d"), F.sum(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)).alias("total")).first()
+    if first["d"] is None or not first["total"]:
+        return np.zeros((first["d"] or 0, 0)), np.zeros(0)
+    d, total = first["d"], first["total"]
+    columns = min(d, k + SPARE)
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, columns)))[0]
+    values = np.zeros(columns)
+    for _ in range(passes):
+        held = rows.sparkSession.sparkContext.broadcast(basis)
+
+        def step(pdf: pd.DataFrame, held=held) -> np.ndarray:
+            x = np.stack(pdf["vec"])
+            y = x @ held.value
+            return np.concatenate([(x.T @ y).ravel(), (y.T @ y).ravel()])
+
+        sums = _tree_sum(rows, step)
+        held.destroy()
+        image, inner = sums[:d * columns].reshape(d, columns), sums[d * columns:].reshape(columns, columns)
+        was, (values, turn) = values, np.linalg.eigh(inner)
+        values, axes = values[::-1], basis @ turn[:, ::-1]
+        if np.abs(values[:k] - was[:k]).max() <= SETTLED * values[0]:
+            break
+        basis = np.linalg.qr(image)[0]
+    kept = [i for i in range(min(k, columns)) if values[i] > 1e-12 * values[0]]
+    axes = axes[:, kept]
+    return axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(len(kept))]), values[kept] / total
+
+
 def pca_embedding(vectors: DataFrame, k: int) -> DataFrame:
-    """(id, vec): unit-length projections of flattened tensors, flat positions left unscaled."""
-    coords, _ = pca(search.standardised_vectors(vectors, flat_as_one=True), k)
-    return coords.select("id", search.unit_vector(F.col("coords")).alias("vec"))
+    """(id, vec): unit-length projections of flattened tensors on their leading axes, flat positions left unscaled."""
+    rows = stage(search.standardised_vectors(vectors, flat_as_one=True).select("id", "vec"))
+    axes = rows.sparkSession.sparkContext.broadcast(leading_axes(rows, k)[0])
+
+    @F.pandas_udf("array<double>")
+    def project(vec: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(vec) @ axes.value)) if len(vec) else pd.Series([], dtype=object)
+
+    return rows.select("id", project("vec").alias("vec")).select("id", search.unit_vector(F.col("vec")).alias("vec"))
 
 
 def kmeans_spaces(points: DataFrame, k: int | dict[str, int], seed: int, iterations: int = 80) -> tuple[DataFrame, dict[str, np.ndarray]]:
@@ -159,13 +205,13 @@ PAIR_BLOCK = 2048
 def fragile_pairs(baseline: DataFrame, runs: DataFrame, n_runs: int, top: int = 3) -> DataFrame:
     """The pairs inside each baseline cluster that fall together least often.
 
-    Wafers with the same run labels are alike, so of each such set only the ``top`` lowest ids can matter. Blocks of
+    Wafers with the same run labels are alike, so of each such set only the ``top`` + 1 lowest ids can matter. Blocks of
     label sets meet pairwise and return ``top`` pairs each; the pairs themselves are never listed.
     """
     paths = runs.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "cluster_id"))), lambda s: s["cluster_id"]).alias("path"))
     rows = paths.join(baseline.select("id", "cluster_id"), "id")
     low = Window.partitionBy("cluster_id", "path").orderBy("id")
-    rows = rows.withColumn("copy", F.row_number().over(low)).filter(F.col("copy") <= top).drop("copy")
+    rows = rows.withColumn("copy", F.row_number().over(low)).filter(F.col("copy") <= top + 1).drop("copy")
     sizes = rows.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("blocks"))
     placed = stage(rows.join(sizes, "cluster_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -174,8 +220,9 @@ def fragile_pairs(baseline: DataFrame, runs: DataFrame, n_runs: int, top: int =
         F.col("cluster_id").alias("cluster_id"), F.col("o").alias("i"), F.col("block").alias("j"), F.col("id").alias("id"), F.col("path").alias("path"))
 
     def lowest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"cluster_id": np.empty(0, np.int32), "left_id": np.empty(0, object), "right_id": np.empty(0, object), "coassociation": np.empty(0)})
         if a.empty or b.empty:
-            return pd.DataFrame({"cluster_id": [], "left_id": [], "right_id": [], "coassociation": []})
+            return none
         pa, pb = np.stack(a["path"]), np.stack(b["path"])
         share = np.zeros((len(pa), len(pb)))
         for r in range(pa.shape[1]):
@@ -186,7 +233,7 @@ def fragile_pairs(baseline: DataFrame, runs: DataFrame, n_runs: int, top: int =
             share[ia[:, None] >= ib[None, :]] = np.inf
         finite = np.isfinite(share)
         if not finite.any():
-            return pd.DataFrame({"cluster_id": [], "left_id": [], "right_id": [], "coassociation": []})
+            return none
         flat = share[finite]
         limit = np.partition(flat, min(top, len(flat)) - 1)[min(top, len(flat)) - 1]
         x, y = np.nonzero(share <= limit)
@@ -219,12 +266,12 @@ def perturbed(points: DataFrame, runs: int, dim: int, rate: float, noise: float,
     return wide.select(F.col("run").cast("string").alias("space"), "id", noisy.alias("vec"))
 
 
-def stability(points: DataFrame, dim: int, runs: int, clusters: dict[int, int], k: int, rate: float = 0.85,
-              noise: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Summary rows, baseline clusters and run clusters of repeated clustering on perturbed features.
+def repeated_clusterings(points: DataFrame, dim: int, runs: int, clusters: dict[int, int], rate: float = 0.85,
+                         noise: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(perturbed points, clusters, id, cluster_id, distance of the whole features, clusters, run, id, cluster_id of every run).
 
-    ``clusters`` maps each number of clusters to try to its seed. All runs of all numbers are perturbed, clustered and searched
-    in the same jobs, each in a space of its own.
+    ``clusters`` maps each number of clusters to try to its seed. All runs of all numbers are perturbed and clustered in the same
+    jobs, each in a space of its own.
     """
     points = stage(points)
     spaces = None
@@ -239,6 +286,16 @@ def stability(points: DataFrame, dim: int, runs: int, clusters: dict[int, int],
     based = points.select(F.explode(F.array(*[F.lit(f"{n}/base") for n in clusters])).alias("space"), "id", "vec")
     baseline = stage(kmeans_spaces(stage(based), {f"{n}/base": n for n in clusters}, min(clusters.values()))[0].select(
         number, "id", "cluster_id", "distance"))
+    return every, baseline, labelled
+
+
+def stability(points: DataFrame, dim: int, runs: int, clusters: dict[int, int], k: int, rate: float = 0.85,
+              noise: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Summary rows, baseline clusters and run clusters of repeated clustering on perturbed features; the runs are searched as they
+    are clustered, in the same jobs (see ``repeated_clusterings``)."""
+    points = stage(points)
+    every, baseline, labelled = repeated_clusterings(points, dim, runs, clusters, rate, noise)
+    number = F.split("space", "/")[0].cast("int").alias("clusters")
     base_nn = search.nearest(points, points, k, exclude_same_id=True).select("query_id", "neighbor_id", F.lit(1).alias("shared"))
     run_nn = search.nearest(every, every, k, exclude_same_id=True, staged=True).select(number, "query_id", "neighbor_id")
     overlap = run_nn.join(base_nn, ["query_id", "neighbor_id"], "left").groupBy("clusters").agg(

@@ -114,6 +114,53 @@ def _(spark, sf):
     return rounded9(md.fragile_pairs(fixed_clusters(spark, sf), run_clusters(spark, sf), RUNS))
 
 
+# ---- the same summaries over clusters that were fitted: five on the features, 64 runs on perturbed ones
+def fitted_clusters(spark, sf):
+    return staged_once(spark, sf, "fitted_clusters", lambda: md.kmeans(points(spark, sf), 5, 7)[0])
+
+
+def fitted_runs(spark, sf):
+    """(baseline, runs) of the published stability check."""
+    both = {}
+
+    def build(which):
+        if not both:
+            _, both["base"], both["runs"] = md.repeated_clusterings(points(spark, sf), len(COMPACT), 64, {5: 17})
+        return both[which].drop("clusters")
+
+    return tuple(staged_once(spark, sf, f"fitted_{name}", lambda name=name: build(name)) for name in ("base", "runs"))
+
+
+@query("m03_fitted_deviations")
+def _(spark, sf):
+    return md.cluster_deviations(points(spark, sf), fitted_clusters(spark, sf), COMPACT)
+
+
+@query("m03_fitted_label_rates")
+def _(spark, sf):
+    return md.cluster_label_rates(fitted_clusters(spark, sf), wafer_features(spark, sf), C.REPORT_CLASSES)
+
+
+@query("m03_fitted_representatives")
+def _(spark, sf):
+    return md.representatives(fitted_clusters(spark, sf))
+
+
+@query("j12_fitted_coassociation")
+def _(spark, sf):
+    return md.coassociation(*fitted_runs(spark, sf))
+
+
+@query("r13_fitted_coassociation")
+def _(spark, sf):
+    return md.cluster_coassociation(*fitted_runs(spark, sf))
+
+
+@query("r13_fitted_fragile_pairs")
+def _(spark, sf):
+    return md.fragile_pairs(*fitted_runs(spark, sf), 64)
+
+
 @query("r13_neighbor_stability")
 def _(spark, sf):
     return md.stability(points(spark, sf), len(COMPACT), 64, {5: 17}, K)[0].drop("clusters")

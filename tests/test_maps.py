@@ -256,3 +256,57 @@ def test_coarser_grids_add_up(spark):
     assert spaces == {"naive_gray_4": 16, "naive_gray_8": 64, "semantic_pool_4": 96, "semantic_pool_8": 384}
     with pytest.raises(ValueError):
         pooling.representations(px, (3, 8))
+
+
+def test_leading_axes_equal_a_whole_factorisation(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 5)) @ np.diag([5, 4, 3, 2, 1]) @ rng.standard_normal((5, 80)) + 0.1 * rng.standard_normal((60, 80))
+    x -= x.mean(0)
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, vec array<double>").repartition(4)
+    axes, shares = models.leading_axes(table, 3)
+    _, s, vt = np.linalg.svd(x)
+    assert np.abs(shares - (s ** 2)[:3] / (s ** 2).sum()).max() < 1e-9
+    assert np.abs(np.abs(axes.T @ vt[:3].T) - np.eye(3)).max() < 1e-4
+    got = np.array([r["vec"] for r in models.pca_embedding(table, 3).orderBy("id").collect()])
+    z = x / x.std(0)
+    want = z @ np.linalg.svd(z)[2][:3].T
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.abs(got * np.sign((got * want).sum(0)) - want).max() < 1e-4
+    flat = spark.createDataFrame([(1, [2.0, 2.0]), (2, [2.0, 2.0])], "id long, vec array<double>")
+    assert models.leading_axes(flat.selectExpr("id", "array(0D, 0D) AS vec"), 2)[0].shape == (2, 0)
+    assert models.leading_axes(table.limit(0), 2)[1].shape == (0,)
+
+
+def test_summaries_of_fitted_clusters_by_hand(spark):
+    """Every wafer is with its nearest centre; summaries and co-association follow from the assignment."""
+    rng = np.random.default_rng(2)
+    cloud = np.repeat([0, 1, 2], 12)
+    x = np.eye(3)[cloud] * 20 + rng.standard_normal((36, 3)) * 0.1
+    x = (x - x.mean(0)) / x.std(0)
+    pts = spark.createDataFrame([(f"w{i:02d}", v.tolist()) for i, v in enumerate(x)], "id string, vec array<double>")
+    fitted = models.kmeans(pts, 3, 7)[0]
+    of = {r["id"]: (r["cluster_id"], r["distance"]) for r in fitted.collect()}
+    centre = {c: x[[int(i[1:]) for i in of if of[i][0] == c]].mean(0) for c in range(3)}
+    assert all(np.isclose(d, np.linalg.norm(x[int(i[1:])] - centre[c])) for i, (c, d) in of.items())
+    assert all(min(np.linalg.norm(x[int(i[1:])] - m) for m in centre.values()) >= d - 1e-9 for i, (_, d) in of.items())
+    top = {r["cluster_id"]: r["feature"] for r in models.cluster_deviations(pts, fitted, ["a", "b", "c"], 1).collect()}
+    assert all(top[c] == "abc"[np.abs(centre[c]).argmax()] for c in range(3))
+    nearest = {r["cluster_id"]: r["id"] for r in models.representatives(fitted, 1).collect()}
+    assert all(nearest[c] == min((d, i) for i, (own, d) in of.items() if own == c)[1] for c in range(3))
+    _, base, runs = models.repeated_clusterings(pts, 3, 6, {3: 17})
+    row = models.coassociation(base.drop("clusters"), runs.drop("clusters")).first()
+    paths = {}
+    for r in runs.collect():
+        paths.setdefault(r["id"], {})[r["run"]] = r["cluster_id"]
+    own = {r["id"]: r["cluster_id"] for r in base.collect()}
+    share = lambda a, b: np.mean([paths[a][k] == paths[b][k] for k in range(6)])
+    ids = sorted(own)
+    same = [share(a, b) for a in ids for b in ids if a < b and own[a] == own[b]]
+    other = [share(a, b) for a in ids for b in ids if a < b and own[a] != own[b]]
+    assert np.isclose(row["same_cluster_mean_coassociation"], np.mean(same)) and np.isclose(row["different_cluster_mean_coassociation"], np.mean(other))
+    for top in (1, 3):
+        got = {}
+        for r in models.fragile_pairs(base.drop("clusters"), runs.drop("clusters"), 6, top).orderBy("cluster_id", "place").collect():
+            got.setdefault(r["cluster_id"], []).append((round(r["coassociation"], 9), r["left_id"], r["right_id"]))
+        want = {c: sorted((round(share(a, b), 9), a, b) for a in ids for b in ids if a < b and own[a] == own[b] == c)[:top] for c in set(own.values())}
+        assert got == {c: pairs for c, pairs in want.items() if pairs}  # alike wafers are pairs as well
