@@ -25,10 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siliscope.llm.common import runs, small_batches, tasks, text_of
 from siliscope.llm.graph import connected
 from siliscope.llm.shingles import text_sets
+from siliscope.operators.ordering import row_index
 from siliscope.sources.staging import release, stage
 
 BATCH_TEXTS = 1000
@@ -262,10 +264,23 @@ def join(reviews: DataFrame, percent: int = 85, width: int = 4, review_case_id:
     """Number of n-grams and component of every comment, linked where 100 * intersection >= percent * union.
 
     Returns the id, ``n_shingles`` and ``component_id``, the smallest id reachable over links, itself included, one row per input
-    row. Ids are whole numbers; a null id takes part as the largest of all. Empty and missing comments are linked with nothing
-    and are components of their own. Rows that repeat an id are one node of the links; such a row shows its own set's size and the
-    id's component. Texts are read four times and shuffled once, to be joined with the few that may have a partner.
+    row. Ids are whole numbers or texts, as the project's own are; a null id takes part as the largest of all. Empty and missing
+    comments are linked with nothing and are components of their own. Rows that repeat an id are one node of the links; such a row
+    shows its own set's size and the id's component. Other columns are ignored. Texts are read four times and shuffled once, to be
+    joined with the few that may have a partner; text ids are numbered in their order first, which shuffles them once more.
     """
+    if not isinstance(reviews.schema[review_case_id].dataType, T.StringType):
+        return _join_numbers(reviews, percent, width, review_case_id, comment)
+    named = reviews.select(F.col(f"`{review_case_id}`").alias("name"), F.col(f"`{comment}`").alias("text"))
+    numbers = stage(row_index(named.filter("name IS NOT NULL").select("name").distinct(), ["name"], "number"))
+    joined = _join_numbers(named.join(numbers, "name", "left"), percent, width, "number", "text")
+    of = numbers.withColumnsRenamed({"number": "component_id", "name": "component"})
+    return joined.join(numbers, "number", "left").join(of, "component_id", "left").select(
+        F.col("name").alias(review_case_id), "n_shingles", F.col("component").alias("component_id"))
+
+
+def _join_numbers(reviews: DataFrame, percent: int, width: int, review_case_id: str, comment: str) -> DataFrame:
+    """``join`` over whole numbers."""
     small_batches(reviews)
     none = 2 ** 63 - 1
     texts = reviews.select(F.coalesce(F.col(review_case_id).cast("long"), F.lit(none)).alias("id"), text_of(comment).alias("text"))

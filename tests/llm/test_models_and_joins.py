@@ -256,6 +256,20 @@ def test_join_links_texts_with_one_word_more(spark, percent, width):
     assert {r.review_case_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_join_takes_the_projects_own_ids(spark):
+    """Text ids, a null one, repeated ones and columns whose names clash."""
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [("w9__rank1__w2", base), ("w10__rank1__w2", base + " more"), ("w10__rank2__w3", "something else altogether here"), (None, base),
+            ("w10__rank2__w3", "something else altogether here"), ("z", None)]
+    table = spark.createDataFrame([(*r, 1, 2) for r in rows], "review_case_id string, safe_comment string, id int, number int")
+    got = ngram_join.join(table)
+    assert got.columns == ["review_case_id", "n_shingles", "component_id"]
+    first = "w10__rank1__w2"
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [
+        ("w9__rank1__w2", 37, first), (first, 38, first), ("w10__rank2__w3", 1, "w10__rank2__w3"), ("w10__rank2__w3", 1, "w10__rank2__w3"),
+        (None, 37, first), ("z", 0, "z")]))
+
+
 def test_first_ngrams_keep_every_link():
     for percent in (60, 80, 85, 100):
         for n in range(1, 90):
