@@ -40,8 +40,8 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             step = c * d
             h *= step
         if np.all(np.abs(step - 1.0) < 1e-15):
-            break
-    return h
+            return h
+    raise ArithmeticError("the continued fraction has not settled after 100,000 terms")
 
 
 def binomial_tail(observed: np.ndarray, trials: np.ndarray, rate: np.ndarray) -> np.ndarray:

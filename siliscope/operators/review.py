@@ -55,7 +55,13 @@ def format_distance(distance: Column) -> Column:
 
 
 def review_form(neighbors: DataFrame) -> DataFrame:
-    """One blank review row per neighbour row; label columns are never copied, so they cannot sway a reviewer."""
+    """One blank review row per neighbour row; label columns are never copied, so they cannot sway a reviewer.
+
+    A table without the columns of neighbours is refused.
+    """
+    missing, _ = form_problems(neighbors.columns)
+    if missing:
+        raise ValueError(f"neighbour columns are missing: {missing}")
     q, r, n = (F.trim(F.col(c).cast("string")) for c in ("query_sample_id", "rank", "neighbor_sample_id"))
     blank = [F.lit("").alias(c) for c in C.REVIEW_COLUMNS[5:]]
     return neighbors.select(F.concat(q, F.lit("__rank"), r, F.lit("__"), n).alias("review_case_id"),

@@ -3,11 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siliscope import constants as C
 from siliscope.functions import columns as fc
+from siliscope.operators import validation as va
 from siliscope.plans import demo
 from siliscope.plans.registry import part, query
 from siliscope.plans.review_queries import CODES, gray_pixels, numbered_pixels
-from siliscope.sources import arrays, catalog, folders, png
+from siliscope.sources import arrays, catalog, folders, png, samples
 from siliscope.sources.sinks import write_files
 from siliscope.sources.staging import shared_folder
 
@@ -86,3 +88,43 @@ def _(spark, sf):
     folder = shared_folder(spark, "tables")
     catalog.write_table(events, folder, "json")
     return spark.read.schema(events.schema).json(folder)
+
+
+# ---- sample folders: archives with documents; some documents are missing, some list other classes or unknown pattern types
+def sample_folder(spark, sf):
+    folder = shared_folder(spark, "samples")
+    pixels = numbered_pixels(spark, sf)
+    arrays.write_archives(pixels, folder)
+    wafers = pixels.select("sample_id", "w").distinct().filter("w % 7 <> 3")
+    classes = F.array(*[F.lit(c) for c in C.PATTERN_CLASSES])
+    listed = F.when(F.col("w") % 5 == 1, F.reverse(classes)).when(F.col("w") % 5 == 2, F.slice(classes, 1, 2)).otherwise(classes)
+    types = F.when(F.col("w") % 3 == 1, F.array(F.lit("ring"), F.lit("smear"))).otherwise(F.array(F.lit("scratch")))
+    document = F.to_json(F.struct("sample_id", listed.alias("pattern_classes"), F.transform(types, lambda t: F.struct(t.alias("type"))).alias("patterns"),
+                                  F.array(F.lit(24), F.lit(24)).alias("image_shape")))
+    document = F.when(F.col("w") % 11 == 9, F.lit("[1, 2]")).otherwise(document)
+    write_files(wafers.select(F.concat("sample_id", F.lit("/metadata.json")).alias("path"), document.cast("binary").alias("content")), folder)
+    return samples.read_samples(spark, folder)
+
+
+part("wafers", "SELECT DISTINCT sample_id, w FROM px", ("px",))
+
+
+@query("s01_sample_folders", """SELECT sample_id, count(*) AS pixels, sum(severity)::BIGINT AS severity, sum(stby)::BIGINT AS stby FROM px WHERE w%7<>3 AND w%11<>9 GROUP BY 1""", ("px",))
+def _(spark, sf):
+    return sample_folder(spark, sf).pixels.groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("pixels"), F.sum("severity").alias("severity"), F.sum("stby").alias("stby"))
+
+
+@query("s01_sample_folder_errors", """SELECT sample_id, CASE WHEN w%7=3 THEN 'metadata.json is missing' ELSE 'metadata.json is not an object' END AS error FROM wafers WHERE w%7=3 OR w%11=9""", ("wafers",))
+def _(spark, sf):
+    return sample_folder(spark, sf).errors.select("sample_id", F.explode("errors").alias("error"))
+
+
+@query("v01_class_lists", "SELECT sample_id FROM wafers WHERE w%7<>3 AND w%11<>9 AND w%5 IN (1, 2)", ("wafers",))
+def _(spark, sf):
+    return va.class_list_errors(sample_folder(spark, sf).metadata)
+
+
+@query("v01_pattern_types", "SELECT sample_id, 'smear' AS type FROM wafers WHERE w%7<>3 AND w%11<>9 AND w%3=1", ("wafers",))
+def _(spark, sf):
+    return va.pattern_type_errors(sample_folder(spark, sf).metadata)
